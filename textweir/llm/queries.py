@@ -16,6 +16,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE_KINDS, KINDS, find_pii, listed
+
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.col("pii")[k]).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(BASE_KINDS, F.col("pii")), 256).alias("base_sha256"), listed(KINDS, F.col("pii")).alias("spans")
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge, trusted_ids
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, trusted_ids(table(spark, sf_dir, "labels"))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +45,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
