@@ -35,6 +35,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex16, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +54,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op6_simhash": op6_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
