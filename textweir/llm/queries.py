@@ -42,6 +42,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: The target mixture: weights by name at each level, others 1; the budget as a share of all tokens.
+MIX = {
+    "share": 0.9,
+    "weights": {"domain": {"domain0": 3.0, "domain1": 2.0}, "lang": {"en": 5.0, "de": 2.0}, "source": {"src0": 2.0}},
+    "epochs": 2,
+}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), **MIX).select("doc_id", "domain", "lang", "source", "tokens", "copies")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +75,9 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
