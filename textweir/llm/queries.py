@@ -62,6 +62,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
     "pipeline": pipeline,
 }
