@@ -62,6 +62,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import remove_repeats
+
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wrapper import main_texts
 
@@ -82,6 +89,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_passages": op8_passages,
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
     "pipeline": pipeline,
