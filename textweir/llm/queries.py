@@ -16,6 +16,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngrams import stupid_backoff
+
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE_KINDS, KINDS, find_pii, listed
 
@@ -85,6 +91,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_ngrams": op2_ngrams,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
