@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,18 +13,23 @@ from pyspark.sql import functions as F
 
 from .common import discard, staged
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of a window, and of an anchor inside it.
 WINDOW, ANCHOR = 13, 6
 #: Documents that share an anchor from which its windows are dealt out one by one.
 HOT = 1000
+#: Bytes of all removed spans up to which they are broadcast; beyond, they are joined by id.
+BROADCAST_BYTES = 32 << 20
 #: Distinct texts that an automaton is built from, about.
 SHARD = 4000
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8: bytes are split at exactly the six ASCII blanks."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -75,7 +79,7 @@ def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         for batch in batches:
             keys, ids = [], []
             for doc, text in zip(batch["id"], batch["text"]):
-                at, grams = anchors(word_hashes(WORD.findall(text or "")), window, anchor)
+                at, grams = anchors(word_hashes(words_of(text)), window, anchor)
                 found = np.unique(grams[np.unique(at)]) if len(at) else grams[:0]
                 keys.append(signed(found))
                 ids.append(np.full(len(found), doc, np.int64))
@@ -92,7 +96,7 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         for batch in batches:
             out: list[tuple[int, int, int, str]] = []
             for doc, text, shared, hot in zip(batch["id"], batch["text"], batch["shared"], batch["hot"]):
-                words = WORD.findall(text or "")
+                words = words_of(text)
                 hashes = word_hashes(words)
                 at, grams = anchors(hashes, window, anchor)
                 if not len(at):
@@ -104,7 +108,7 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist()):
                     if known[a]:
                         route = whole[a] if is_hot[a] else keys[a]
-                        out.append((int(route), doc, a, " ".join(words[a : b + window - 1])))
+                        out.append((int(route), doc, a, b" ".join(words[a : b + window - 1]).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["route", "id", "start", "text"])
 
     return docs.mapInPandas(run, "route long, id long, start int, text string")
@@ -149,16 +153,27 @@ def owners(window: int):
     return run
 
 
-def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
-    return np.cumsum(edge[:-1]) > 0
+def merged_spans(window: int):
+    """From rows (id, starts): the words that windows at these places cover, as bounds
+    [begin, end, begin, end, ...] of disjoint spans in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bounds = []
+            for starts in batch["starts"]:
+                at = np.unique(np.asarray(starts, np.int64))
+                new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + window]))
+                ends = np.append(at[new[1:] - 1], at[-1]) + window
+                bounds.append(np.stack([at[new], ends], 1).ravel().astype(np.int32))
+            yield pd.DataFrame({"id": batch["id"], "bounds": bounds})
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, starts array<int>, whole boolean): of every document, the windows that also start in a
-    document with a smaller id; `whole` marks a document whose word sequence a smaller id has.
+    """(id, bounds array<int>, whole boolean): of every document, the spans of words covered by
+    windows that also start in a document with a smaller id; `whole` marks a document whose word
+    sequence a smaller id has.
 
     `docs` has id long and text. Only the first document of equal word sequences is searched.
     Equal windows have equal anchors, so only windows with an anchor in two documents can repeat;
@@ -177,7 +192,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     )
     found = staged(pieces(alone.join(by_doc, "id").select("id", "text", "shared", "hot"), window, anchor))
     discard(rows)
-    keyed = found.withColumn("key", F.md5(F.concat(F.col("route").cast("string"), F.lit(":"), "text")))
+    keyed = found.withColumn("key", F.unhex(F.md5(F.concat(F.col("route").cast("string"), F.lit(":"), "text"))))
     # A text of one document can still share windows with others of its route.
     texts = keyed.groupBy("key", "route").agg(F.first("text").alias("text"), F.min("id").alias("first"), F.max("id").alias("last"))
     shards = max(1, -(-found.count() // SHARD))
@@ -185,13 +200,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         texts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .select("shard", "key", "text", "first", "last")
         .groupBy("shard")
-        .applyInPandas(owners(window), "key string, owners array<long>")
+        .applyInPandas(owners(window), "key binary, owners array<long>")
     )
     hits = keyed.select("key", "id", "start").join(located, "key")
     later = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull())
     starts = hits.select("id", later.alias("starts")).where(F.size("starts") > 0).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    whole = copies.select("id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole"))
-    return starts.withColumn("whole", F.lit(False)).union(whole)
+    spans = starts.mapInPandas(merged_spans(window), "id long, bounds array<int>").withColumn("whole", F.lit(False))
+    return spans.union(copies.select("id", F.array().cast("array<int>").alias("bounds"), F.lit(True).alias("whole")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -203,23 +218,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept, the words left joined by one space.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_windows(source, window)
+    gone = staged(repeated_windows(source, window))
+    bytes_ = gone.agg(F.coalesce(F.sum(F.size("bounds") * 4 + 32), F.lit(0))).head()[0]
+    if bytes_ <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for text, starts, whole in zip(batch["text"], batch["starts"], batch["whole"]):
-                words = WORD.findall(text or "")
-                if whole is True and len(words) >= window:
-                    words, n = [], len(words)
-                elif starts is not None and len(starts):
-                    n, out = len(words), covered(np.asarray(starts, np.int64), len(words), window)
-                    words = [w for w, c in zip(words, out.tolist()) if not c]
-                else:
-                    n = len(words)
+            for text, bounds, whole in zip(batch["text"], batch["bounds"], batch["whole"]):
+                words = words_of(text)
+                n, left = len(words), words
+                if whole is True and n >= window:
+                    left = []
+                elif bounds is not None and len(bounds):
+                    edges = [0, *bounds.tolist(), n]
+                    left = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
                 sizes.append(n)
-                removed.append(n - len(words))
-                kept.append(" ".join(words))
+                removed.append(n - len(left))
+                kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pd.DataFrame({"id": batch["id"], "n_words": sizes, "n_removed": removed, "kept": kept})
 
     marked = source.join(gone, "id", "left")
