@@ -41,6 +41,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex16, near_duplicates
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op2_ngrams": op2_ngrams,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_neighbours": op5_neighbours,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_passages": op8_passages,
