@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
 #: Bytes of text in a chunk, about, and bytes of text for each partition of the count tables.
-CHUNK, PART, MOST_PARTS = 16 << 20, 12 << 20, 100_000
+CHUNK, PART, MOST_PARTS = 24 << 20, 12 << 20, 100_000
 BACKOFF = 0.4
 
 
@@ -44,6 +45,18 @@ def grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]
     return out
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers, ascending or small, in few bytes: differences, bytes of equal weight together,
+    compressed."""
+    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def slices(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each partition's range of hashes begins among sorted keys."""
     width = (1 << 64) // parts + 1
@@ -61,7 +74,7 @@ def chunk_tables(order: int, parts: int):
             edges = [*slices(keys, parts).tolist(), len(keys)]
             for part, (a, b) in enumerate(zip(edges, edges[1:])):
                 if b > a:
-                    rows.append((part, int(pdf["chunk"].iloc[0]), n, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()))
+                    rows.append((part, int(pdf["chunk"].iloc[0]), n, squeezed(keys[a:b]), squeezed(counts[a:b])))
         return pd.DataFrame(rows, columns=["part", "chunk", "n", "keys", "counts"])
 
     return run
@@ -71,12 +84,12 @@ def count_partition(pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts over the whole corpus of one hash range of n-grams, for each chunk that has them."""
     out = []
     for n, rows in pdf.groupby("n"):
-        keys = [np.frombuffer(k, "<u8") for k in rows["keys"]]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"]])
+        keys = [unsqueezed(k) for k in rows["keys"]]
+        counts = np.concatenate([unsqueezed(c) for c in rows["counts"]])
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, weights=counts).astype("<i8")[where]
+        total = np.bincount(where, weights=counts).astype(np.uint64)[where]
         edges = np.cumsum([0, *map(len, keys)])
-        out += [(c, n, p, total[a:b].tobytes()) for c, p, a, b in zip(rows["chunk"], rows["part"], edges[:-1], edges[1:])]
+        out += [(c, n, p, squeezed(total[a:b])) for c, p, a, b in zip(rows["chunk"], rows["part"], edges[:-1], edges[1:])]
     return pd.DataFrame(out, columns=["chunk", "n", "part", "totals"])
 
 
@@ -90,7 +103,7 @@ def score_chunk(order: int, least: int):
         for n, keys in enumerate(grams(hashes, sizes, order), 1):
             there = keys > 0
             own = counts[counts["n"] == n].sort_values("part")["totals"]
-            total = np.frombuffer(b"".join(own), "<i8")
+            total = np.concatenate([np.zeros(0, np.uint64), *map(unsqueezed, own)]).astype(np.int64)
             c = np.zeros(len(keys), np.int64)
             c[there] = total[np.unique(keys[there], return_inverse=True)[1]]
             if n == 1:
