@@ -15,12 +15,14 @@ from .common import discard, staged
 
 #: Neighbours of a node, reverse neighbours drawn for a join (on average), joins at most, and the
 #: share of new neighbours in the graph under which joins end.
-DEGREE, REVERSE, ROUNDS, SETTLED = 28, 14, 6, 0.02
-#: Random trees that begin the graph, vectors of a leaf, and the best partners that a vector keeps
-#: from one join.
-TREES, LEAF, PARTNERS = 6, 80, 6
+DEGREE, REVERSE, ROUNDS, SETTLED = 32, 16, 5, 0.02
+#: Random trees that begin the graph and vectors of a leaf; the best partners that a vector keeps
+#: from one leaf, and from one join.
+TREES, LEAF, FIRST, PARTNERS = 20, 1024, 8, 8
 #: Of a search: nodes kept, nodes whose neighbours are visited in a round, and rounds.
-KEPT, EXPANDED, STEPS = 48, 16, 4
+KEPT, EXPANDED, STEPS = 96, 40, 4
+#: Products computed at once, and bytes of queries up to which they are broadcast.
+CELLS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -50,8 +52,8 @@ def matrix(halves: pd.Series) -> np.ndarray:
 def leaves(halves: DataFrame, n: int, seed: int) -> DataFrame:
     """(x, y): vectors y in the leaves x of TREES random trees, leaves of about LEAF vectors.
 
-    A leaf is named by the sides of random planes through the mean of the two ends that name the
-    plane; large leaves, such as those of many equal vectors, are divided by a hash of the id.
+    A leaf is named by the sides of random planes; large leaves, such as those of many equal
+    vectors, are divided by a hash of the id.
     """
     depth = max(0, ceil(log2(max(n, 1) / LEAF)))
 
@@ -78,8 +80,12 @@ def join_block(rows: pd.DataFrame, partners: int) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     sizes = np.diff(np.append(starts, len(x)))
     out: list[tuple[np.ndarray, ...]] = []
-    for a in range(0, len(starts), 32):
-        s, n = starts[a : a + 32], sizes[a : a + 32]
+    a = 0
+    while a < len(starts):
+        wide = int(sizes[a : a + 32].max())
+        some = min(32, max(1, CELLS // wide**2))
+        s, n = starts[a : a + some], sizes[a : a + some]
+        a += some
         wide = int(n.max())
         at = np.minimum(s[:, None] + np.arange(wide), len(x) - 1)
         real = np.arange(wide) < n[:, None]
@@ -134,7 +140,7 @@ def nn_descent(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, s
     halves = staged(packed(vectors))
     n = halves.count()
     first = leaves(halves, n, seed).join(halves.withColumnRenamed("id", "y"), "y")
-    start = joined(first.withColumns({"fresh": F.lit(True), "least": F.lit(float("-inf")).cast("float")}), degree)
+    start = joined(first.withColumns({"fresh": F.lit(True), "least": F.lit(float("-inf")).cast("float")}), FIRST if n > LEAF else degree)
     graph = staged(best(start.withColumn("fresh", F.lit(True)), degree))
     for turn in range(rounds):
         worst = graph.groupBy(F.col("u").alias("y")).agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
@@ -143,7 +149,11 @@ def nn_descent(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, s
         share = F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(1_000_000)) / 1e6
         back = graph.join(pointed, "v").where(share < F.lit(float(REVERSE)) / F.col("n")).select(F.col("v").alias("x"), F.col("u").alias("y"), "fresh")
         near = graph.select(F.col("u").alias("x"), F.col("v").alias("y"), "fresh")
-        lists = near.union(back).groupBy("x", "y").agg(F.max("fresh").alias("fresh"))
+        both = near.union(back).repartition("x").groupBy("x", "y").agg(F.max("fresh").alias("fresh"))
+        sizes = both.groupBy("x").agg(F.count_if("fresh").alias("new"), F.count_if(~F.col("fresh")).alias("old")).where("new > 0")
+        # As many old neighbours as there are fresh ones: pairs of old ones have met before.
+        drawn = F.pmod(F.xxhash64("y", "x", F.lit(turn)), F.lit(1_000_000)) / 1e6 * F.col("old") < F.col("new")
+        lists = both.join(sizes, "x").where(F.col("fresh") | drawn).select("x", "y", "fresh")
         found = joined(lists.join(known, "y"), PARTNERS).withColumn("fresh", F.lit(True))
         after = staged(best(graph.withColumn("fresh", F.lit(False)).unionByName(found), degree))
         discard(graph)
@@ -173,8 +183,11 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: i
     back = graph.join(pointed, "v").where(draw < F.lit(float(DEGREE)) / F.col("n")).select(F.col("v").alias("u"), F.col("u").alias("v"))
     links = staged(graph.union(back).distinct())
 
+    size = asked.agg(F.coalesce(F.sum(F.size("q_vec") * 8 + 32), F.lit(0))).head()[0]
+    side = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
+
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(targets, "v").join(asked, "q").select("q", "v", product("q_vec", "v_vec").alias("s"))
+        return pairs.join(targets, "v").join(side, "q").select("q", "v", product("q_vec", "v_vec").alias("s"))
 
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     top = lambda df: df.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= KEPT).drop("r")

@@ -68,7 +68,7 @@ def class_key() -> str:
 
 def first_of_class(docs: DataFrame) -> DataFrame:
     """(id, first): the smallest id with the same word sequence."""
-    keyed = docs.selectExpr("id", f"{class_key()} as key")
+    keyed = staged(docs.selectExpr("id", f"unhex({class_key()}) as key"))
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("first")), "key").select("id", "first")
 
 
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[int, int, int, str]] = []
+            routes, ids, starts, texts = [], [], [], []
             for doc, text, shared, hot in zip(batch["id"], batch["text"], batch["shared"], batch["hot"]):
                 words = words_of(text)
                 hashes = word_hashes(words)
@@ -103,13 +103,24 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     continue
                 keys = signed(grams)[at]
                 known, is_hot = np.isin(keys, shared), np.isin(keys, hot)
-                whole = signed(gram_hashes(hashes, window))
-                cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | is_hot[1:] | is_hot[:-1]]))
-                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist()):
-                    if known[a]:
-                        route = whole[a] if is_hot[a] else keys[a]
-                        out.append((int(route), doc, a, b" ".join(words[a : b + window - 1]).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["route", "id", "start", "text"])
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | is_hot[1:] | is_hot[:-1]]))
+                last = np.append(first[1:], len(at)) - 1
+                first, last = first[known[first]], last[known[first]]
+                if not len(first):
+                    continue
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                joined = b" ".join(words)
+                begin = np.concatenate([[0], ends[:-1] + 1])[first].tolist()
+                texts += [joined[i:j].decode("utf-8", "surrogatepass") for i, j in zip(begin, ends[last + window - 1].tolist())]
+                if is_hot[first].any():
+                    whole = signed(gram_hashes(hashes, window))
+                    routes.append(np.where(is_hot[first], whole[first], keys[first]))
+                else:
+                    routes.append(keys[first])
+                ids.append(np.full(len(first), doc, np.int64))
+                starts.append(first.astype(np.int32))
+            none = np.zeros(0, np.int64)
+            yield pd.DataFrame({"route": np.concatenate([none, *routes]), "id": np.concatenate([none, *ids]), "start": np.concatenate([none, *starts]).astype(np.int32), "text": texts})
 
     return docs.mapInPandas(run, "route long, id long, start int, text string")
 
@@ -184,7 +195,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     copies = classes.where("id <> first").select("id")
     alone = docs.join(F.broadcast(copies) if copies.count() <= 100_000 else copies, "id", "left_anti").select("id", "text")
     rows = staged(anchor_rows(alone, window, anchor))
-    shared = rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b")
+    shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")  # a document has an anchor once
     by_doc = (
         rows.join(shared.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
         .groupBy("id")
