@@ -23,7 +23,7 @@ NONE, IN_LETTER, IN_NUMBER, IN_OTHER, IN_BLANK, JOINED, ONE_MORE, TWO_MORE = ran
 #: White_Space of Unicode.
 BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points handled in one scan, unless a single text is longer; pieces kept with their ids.
-CHUNK, CACHED = 4_000_000, 400_000
+CHUNK, CACHED = 1_000_000, 150_000
 #: Bytes from which a piece is merged by itself.
 LONG = 400
 
