@@ -11,9 +11,9 @@ def scores(spark, texts):
 
 def test_structure_only(spark):
     many_lines, headers, roles = "\n" * 16, "# a\n" * 4, "user: bot: admin:"
-    got = scores(spark, [many_lines, "\n" * 15, headers, roles, "x" * 5001, "😀" * 2501, "", None])
+    got = scores(spark, [many_lines, "\n" * 15, headers, roles, "x " * 2501, "😀" * 2501, "", None])
     assert [None if g is None else round(g, 6) for g in got] == [0.05, 0.0, 0.05, 0.1, 0.05, 0.05, 0.0, None]
-    everything = roles + "\n" * 16 + "# a\n" * 4 + "x" * 5001
+    everything = roles + "\n" * 16 + "# a\n" * 4 + "x " * 2501
     row = scan(spark.createDataFrame([(everything,)], "text string")).head()
     assert row.decision == "block" and row.violations == []
 

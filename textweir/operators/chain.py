@@ -12,8 +12,6 @@ from textweir.functions.fixed import RULES
 
 from . import injection, pii, policy
 
-RANK = {"allow": 0, "warn": 1, "block": 2}
-
 
 @dataclass(frozen=True)
 class ScanConfig:
@@ -95,8 +93,8 @@ def scanners(config: ScanConfig) -> list[tuple[str, Scanner]]:
 
 def worst(a: Column, b: Column) -> Column:
     """The graver of two decisions; a null one does not count."""
-    rank = lambda d: F.when(d == "block", 2).when(d == "warn", 1).when(d == "allow", 0)
-    return F.element_at(F.array(*map(F.lit, RANK)), F.greatest(rank(a), rank(b)) + 1)
+    either = lambda d: F.coalesce((a == d) | (b == d), a == d, b == d)
+    return F.when(either("block"), "block").when(either("warn"), "warn").when(either("allow"), "allow")
 
 
 def scan(
