@@ -348,31 +348,31 @@ SQL_BUDGETS = "(VALUES " + ", ".join(f"('{k}', {b.soft}::DOUBLE, {b.hard}::DOUBL
 
 def cost_by_model(spark: SparkSession, d: str) -> DataFrame:
     p = cost.price(F.col("model"))
-    return cost_calls(spark, d).groupBy("model", p["input"].alias("in_per_m"), p["output"].alias("out_per_m")).agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+    return cost_calls(spark, d).groupBy("model", p["input"].alias("in_per_m"), p["output"].alias("out_per_m")).agg(F.count("*").alias("n"), F.round(F.sum("cost"), 8).alias("cost"))
 
 
-SQL_BY_MODEL = f"SELECT model, {sql_price(0)} AS in_per_m, {sql_price(1)} AS out_per_m, count(*) AS n, round(sum(cost), 6) AS cost FROM ({SQL_SPENT}) GROUP BY ALL"
+SQL_BY_MODEL = f"SELECT model, {sql_price(0)} AS in_per_m, {sql_price(1)} AS out_per_m, count(*) AS n, round(sum(cost), 8) AS cost FROM ({SQL_SPENT}) GROUP BY ALL"
 
 
 def budget_bucket_spend(spark: SparkSession, d: str) -> DataFrame:
     spent = cost.bucket_spend(cost_calls(spark, d), cost.budgets_table(spark, BUDGETS))
-    return spent.select("entity_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("spend", 6).alias("spend"))
+    return spent.select("entity_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("spend", 8).alias("spend"))
 
 
 SQL_BUCKETS = f"""WITH c AS ({SQL_SPENT}), o AS (SELECT entity_id, ts, cost FROM c UNION ALL SELECT 'global', ts, cost FROM c)
-SELECT o.entity_id, CAST(date_trunc(unit, ts) AS TIMESTAMP) AS bucket, round(sum(cost), 6) AS spend FROM o JOIN {SQL_BUDGETS} ON o.entity_id = b.entity_id GROUP BY ALL"""
+SELECT o.entity_id, CAST(date_trunc(unit, ts) AS TIMESTAMP) AS bucket, round(sum(cost), 8) AS spend FROM o JOIN {SQL_BUDGETS} ON o.entity_id = b.entity_id GROUP BY ALL"""
 
 
 def budget_check_running(spark: SparkSession, d: str) -> DataFrame:
     done = cost.check_running(cost_calls(spark, d), cost.budgets_table(spark, BUDGETS), "event_id")
     said = F.when(F.col("check.warning").isNull(), "none").when(F.startswith("check.warning", F.lit("Hard")), "hard").otherwise("soft")
-    return done.select("event_id", "entity_id", F.col("check.allowed").alias("allowed"), F.round("check.current_spend", 6).alias("spend"), said.alias("state"))
+    return done.select("event_id", "entity_id", F.col("check.allowed").alias("allowed"), F.round("check.current_spend", 8).alias("spend"), said.alias("state"))
 
 
 SQL_RUNNING = f"""
 WITH r AS (SELECT c.*, hard_limit, soft_limit, CASE WHEN hard_limit IS NULL THEN 0 ELSE coalesce(sum(cost) OVER (PARTITION BY c.entity_id, date_trunc(unit, ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS spend
  FROM ({SQL_SPENT}) c LEFT JOIN {SQL_BUDGETS} ON c.entity_id = b.entity_id)
-SELECT event_id, entity_id, coalesce(spend + estimate <= hard_limit, true) AS allowed, round(spend, 6) AS spend,
+SELECT event_id, entity_id, coalesce(spend + estimate <= hard_limit, true) AS allowed, round(spend, 8) AS spend,
  CASE WHEN hard_limit IS NULL THEN 'none' WHEN spend + estimate > hard_limit THEN 'hard' WHEN spend + estimate > soft_limit THEN 'soft' ELSE 'none' END AS state FROM r"""
 
 
@@ -381,7 +381,7 @@ def budget_gated(spark: SparkSession, d: str) -> DataFrame:
     calls = cost_calls(spark, d).withColumn("estimate", estimate).join(cost.budgets_table(spark, BUDGETS), "entity_id")
     timed = calls.withColumn("bucket", cost.bucket(F.col("ts"), F.col("period"))).select("event_id", "ts", "entity_id", "bucket", "estimate", "cost", "hard_limit")
     done = cost.gated(timed, ["entity_id", "bucket"], "ts", "event_id", "estimate", "cost", "hard_limit")
-    return done.select("event_id", "entity_id", "allowed", F.round("spend", 6).alias("spend"))
+    return done.select("event_id", "entity_id", "allowed", F.round("spend", 8).alias("spend"))
 
 
 SQL_GATED = f"""
@@ -389,19 +389,19 @@ WITH RECURSIVE n AS (SELECT c.*, hard_limit, date_trunc(unit, ts) AS bucket, row
  g AS (SELECT event_id, entity_id, bucket, rn, cost, 0::DOUBLE AS spend, estimate <= hard_limit AS allowed FROM n WHERE rn = 1
  UNION ALL SELECT n.event_id, n.entity_id, n.bucket, n.rn, n.cost, g.spend + CASE WHEN g.allowed THEN g.cost ELSE 0 END, g.spend + CASE WHEN g.allowed THEN g.cost ELSE 0 END + n.estimate <= n.hard_limit
  FROM g JOIN n ON n.entity_id = g.entity_id AND n.bucket = g.bucket AND n.rn = g.rn + 1)
-SELECT event_id, entity_id, allowed, round(spend, 6) AS spend FROM g"""
+SELECT event_id, entity_id, allowed, round(spend, 8) AS spend FROM g"""
 
 
 def spend_anomalies(spark: SparkSession, d: str) -> DataFrame:
     daily = cost_calls(spark, d).groupBy("entity_id", F.to_date("ts").alias("day")).agg(F.sum("cost").alias("total"))
     done = cost.anomalies(daily, "entity_id", "day", "total")
-    return done.select("entity_id", "day", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"), F.round("z_score", 4).alias("z_score"), "is_anomaly")
+    return done.select("entity_id", "day", F.round("total", 8).alias("total"), F.round("mean", 6).alias("mean"), F.round("z_score", 4).alias("z_score"), "is_anomaly")
 
 
 SQL_ANOMALIES = f"""
 WITH s AS (SELECT entity_id, CAST(ts AS DATE) AS day, sum(cost) AS total FROM ({SQL_SPENT}) GROUP BY ALL),
  w AS (SELECT *, count(*) OVER p AS n, avg(total) OVER p AS m, stddev_pop(total) OVER p AS sd FROM s WINDOW p AS (PARTITION BY entity_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT entity_id, day, round(total, 6) AS total, round(CASE WHEN n < 3 THEN total ELSE m END, 6) AS mean, round(CASE WHEN n < 3 THEN 0 ELSE (total - m) / sd END, 4) AS z_score, n >= 3 AND (total - m) / sd > 2.5 AS is_anomaly FROM w"""
+SELECT entity_id, day, round(total, 8) AS total, round(CASE WHEN n < 3 THEN total ELSE m END, 6) AS mean, round(CASE WHEN n < 3 THEN 0 ELSE (total - m) / sd END, 4) AS z_score, n >= 3 AND (total - m) / sd > 2.5 AS is_anomaly FROM w"""
 
 
 # Canary, cache, audit
