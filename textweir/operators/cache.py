@@ -16,7 +16,7 @@ def cache_key(text: Column, preset: Column, tools: Column | None = None, agent:
     if agent is not None:
         parts.append(F.coalesce(agent, F.lit("default")))
     if tools is not None:
-        names = F.array_join(F.array_sort(F.transform(tools, lambda t: t["name"])), ",")
+        names = F.array_join(F.sort_array(F.transform(tools, lambda t: t["name"])), ",")
         parts.append(F.when(F.size(tools) > 0, names))
     return F.sha2(F.concat_ws("\0", *parts, text), 256)
 

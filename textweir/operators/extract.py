@@ -56,7 +56,7 @@ def tool_names(declared: Column) -> Column:
 def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, messages) from one row a turn, in order of turns."""
     message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text"))).alias("content"))
-    ordered = F.array_sort(F.collect_list(message))
+    ordered = F.sort_array(F.collect_list(message))
     return turns.groupBy(F.col(conv).alias("conv_id")).agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 

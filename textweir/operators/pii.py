@@ -107,7 +107,7 @@ def detect(text: Column) -> Column:
 
     Kept entities never overlap, so the end of the last one decides.
     """
-    everything = F.array_sort(F.concat(*[detect_type(text, p.type) for p in PII_PATTERNS]))
+    everything = F.sort_array(F.concat(*[detect_type(text, p.type) for p in PII_PATTERNS]))
     kind = f"array<{ENTITY}>"
 
     def step(a: Column, e: Column) -> Column:

@@ -126,7 +126,7 @@ def tool_decision(violations: Column) -> Column:
 
 
 def manifest_hash(names: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(names), ","), 256)
+    return F.sha2(F.array_join(F.sort_array(names), ","), 256)
 
 
 def pin_manifests(tools: DataFrame, server: str = "server_id", name: str = "name") -> DataFrame:
@@ -134,7 +134,7 @@ def pin_manifests(tools: DataFrame, server: str = "server_id", name: str = "name
 
     A server's list is its manifest and so small; repeated names count as they do in a list.
     """
-    names = F.array_sort(F.collect_list(name))
+    names = F.sort_array(F.collect_list(name))
     return tools.groupBy(F.col(server).alias("server_id")).agg(names.alias("known_tools")).select(
         "server_id", manifest_hash(F.col("known_tools")).alias("tools_hash"), F.size("known_tools").alias("tool_count"), "known_tools"
     )

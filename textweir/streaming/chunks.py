@@ -17,7 +17,7 @@ from textweir.operators.cost import bucket
 def reassemble(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text") -> DataFrame:
     """Whole texts from chunks in a table, in order; null texts add nothing (R1, R3). The last
     non-null usage wins (R4)."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.coalesce(text, F.lit("")).alias("text"))))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.coalesce(text, F.lit("")).alias("text"))))
     usage = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in ("in_tok", "out_tok") if c in chunks.columns]
     return chunks.groupBy(F.col(stream).alias("stream_id")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.count("*").alias("n_chunks"), *usage)
 
