@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+@lru_cache(1)
+def local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="textweir-")
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that the driver and all executors share.
 
@@ -31,8 +37,7 @@ def scratch(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="textweir-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = local_folder()
     return f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 

@@ -205,7 +205,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
         label = F.lit(f"[{kind.upper()}]").alias("kind")
         return F.transform(F.col("_pii")[kind], lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), label))
 
-    spans = F.array_sort(F.concat(*map(named, KINDS)))
+    spans = F.sort_array(F.concat(*map(named, KINDS)))
     kept = "array<struct<start:int,end:int,kind:string>>"
     # A span that begins before the last one ends is swallowed; ends only grow.
     step = lambda a, m: F.struct(
