@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textweir.llm import jaccard
+from textweir.llm import jaccard, quality
 
 
 # Near copies of the pipeline
@@ -68,3 +68,41 @@ def test_near_dedup_of_pipeline(spark):
     kept = Counter(r.doc_id for r in cp.near_dedup(spark, docs, "").select(cp.COLUMNS).collect())
     assert kept == Counter(set(joined_by_jaccard(texts).values())) + Counter({None: 2})
     assert cp.near_dedup(spark, docs.where("false"), "").count() == 0
+
+
+# Quality
+
+
+@pytest.mark.parametrize("size,least", [("sf0.001", 0.93), ("sf0.01", 0.98), ("sf0.1", 0.99)])
+def test_held_out_good_documents_stay(spark, size, least):
+    """Trained on half of the labels, at every size: good documents of the other half stay, most bad ones go."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 1").collect()}
+    rows = quality.judge(docs, quality.trusted_ids(labels.where("doc_id % 2 = 0"))).select("doc_id", "base_failed", "kept").collect()
+    stays = {q: [r.kept for r in rows if known.get(r.doc_id) == q and not r.base_failed] for q in (0, 1)}
+    share = {q: sum(x) / len(x) for q, x in stays.items() if x}
+    assert share[1] >= least
+    assert len(stays[0]) < 10 or share[0] <= 0.2  # three bad ones at sf0.001 say little
+
+
+def test_no_trusted_documents_no_verdict(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 90}" for j in range(60))) for i in range(5)] + [(9, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.kept for r in quality.judge(docs, quality.trusted_ids(labels)).collect()} == {0: True, 1: True, 2: True, 3: True, 4: True, 9: False}
+
+
+def test_trusted_documents_score_as_held_out(spark):
+    """The ratio without a document's own trusted counts, by plain arithmetic."""
+    import math
+
+    texts = {i: " ".join(f"w{(7 * i + j * j) % 40}" for j in range(55)) for i in range(6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    listed = {r.doc_id: r.b for r in docs.select("doc_id", quality.buckets(quality.word_hashes(F.col("text"))).alias("b")).collect()}
+    raw, good = Counter(b for x in listed.values() for b in x), Counter(b for i in (0, 1, 2) for b in listed[i])
+    trusted = docs.where("doc_id < 3").select("doc_id")
+    for r in quality.judge(docs, trusted).collect():
+        x, own = listed[r.doc_id], Counter(listed[r.doc_id]) if r.doc_id < 3 else Counter()
+        rest = sum(good.values()) - sum(own.values())
+        expected = sum(math.log((good[b] - own[b] + 1) / (rest + quality.BUCKETS)) - math.log((raw[b] + 1) / (sum(raw.values()) + quality.BUCKETS)) for b in x) / len(x)
+        assert r.ratio == pytest.approx(expected, abs=1e-9)
