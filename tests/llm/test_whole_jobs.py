@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textweir.llm import jaccard, quality
+from textweir.llm import jaccard, passages, quality
 
 
 # Near copies of the pipeline
@@ -106,3 +106,14 @@ def test_trusted_documents_score_as_held_out(spark):
         rest = sum(good.values()) - sum(own.values())
         expected = sum(math.log((good[b] - own[b] + 1) / (rest + quality.BUCKETS)) - math.log((raw[b] + 1) / (sum(raw.values()) + quality.BUCKETS)) for b in x) / len(x)
         assert r.ratio == pytest.approx(expected, abs=1e-9)
+
+
+# Passages
+
+
+def test_repeated_rows_of_a_copy(spark):
+    """A row given three times behind a smaller id of equal text is returned three times."""
+    text = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text)] + [(2, text)] * 3 + [(3, "other")], "doc_id long, text string")
+    rows = passages.remove_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in rows) == {(1, 0): 1, (2, 20): 3, (3, 0): 1}

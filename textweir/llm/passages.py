@@ -192,7 +192,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     text once. A shard confirms the windows that repeat and locates all of them by automaton.
     """
     classes = staged(first_of_class(docs))
-    copies = classes.where("id <> first").select("id")
+    copies = classes.where("id <> first").select("id").distinct()
     alone = docs.join(F.broadcast(copies) if copies.count() <= 100_000 else copies, "id", "left_anti").select("id", "text")
     rows = staged(anchor_rows(alone, window, anchor))
     shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")  # a document has an anchor once
