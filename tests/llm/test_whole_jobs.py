@@ -117,3 +117,27 @@ def test_repeated_rows_of_a_copy(spark):
     docs = spark.createDataFrame([(1, text)] + [(2, text)] * 3 + [(3, "other")], "doc_id long, text string")
     rows = passages.remove_repeats(docs).collect()
     assert Counter((r.doc_id, r.n_removed) for r in rows) == {(1, 0): 1, (2, 20): 3, (3, 0): 1}
+
+
+# Language model
+
+
+def test_registered_ngrams_use_all_trigrams(spark, docs, texts, tmp_path):
+    """Trigrams first, every n-gram of the corpus counts, also one seen once."""
+    import math
+    import re
+
+    from textweir.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    listed = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    counts = [Counter(tuple(w[i : i + n]) for w in listed for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(counts[0].values())
+    for r in queries.op2_ngrams(spark, str(tmp_path)).collect():
+        w = listed[r.doc_id]
+        expected = 0.0
+        for i in range(len(w)):
+            n = min(3, i + 1)
+            gram = tuple(w[i - n + 1 : i + 1])
+            expected += math.log(counts[n - 1][gram] / (counts[n - 2][gram[:-1]] if n > 1 else total))
+        assert r.n_tokens == len(w) and r.log_score == pytest.approx(expected, abs=1e-6)

@@ -20,7 +20,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngrams import stupid_backoff
 
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    return stupid_backoff(table(spark, sf_dir, "documents"), order=3, least=1)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
