@@ -13,24 +13,75 @@ def page(i):
 
 
 def test_template_and_content():
-    template = wrapper.induce([page(i) for i in range(6)])
-    found = wrapper.extract(page(77), wrapper.load(template)).split("\n")
+    template = wrapper.load(wrapper.dump(wrapper.induce([page(i) for i in range(6)])))
+    found = wrapper.extract(page(77), template).split("\n")
     assert found == ["Head 77", "First & bold text 77", "Second text goes on 77", "item 77"]
     # "last" is the same on all pages too: part of the template like the two appeals.
     plain = wrapper.extract(page(77), None).split("\n")
     assert plain == ["Head 77", "Share this page", "First & bold text 77", "Second text goes on 77", "item 77", "last", "Follow us"]
 
 
-@pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<article><p>a</article", "a"), ("<main>m<nav>n</nav></main>x", "m"), ("<div>a <b>b", "a b"), ("<script>x", ""), ("&lt;p&gt;", "<p>"), ("<article>s</article><article>longer</article>", "longer")])
+@pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<article><p>a</article", "a"), ("<main>m<nav>n</nav></main>x", "m"), ("<div>a <b>b", "a b"), ("<script>x", ""), ("&lt;p&gt;", "<p>"), ("<article>s</article><article>longer</article>", "s\nlonger"), ("<body class='has-sidebar'><div class='post ad-free'><h1 class='entry-header'>T</h1><p>x</div>", "T\nx"), ("<main><h1>t</h1><article><p>a</article><p>z</main>y", "t\na\nz")])
 def test_odd_pages(html, text):
     assert wrapper.extract(html, None) == text
 
 
+def test_the_template_decides():
+    """Boxes without telling names or elements: a page alone takes the longest, its host knows better."""
+    box = lambda i, long: f"<div class='x{i}'><div><p>offer {i} {'deal ' * (60 if long else 1)}</p></div><section><h2>title {i}</h2><p>text {i} {'word ' * (3 if long else 40)}</p><p>Read on</p></section><div><p>foot {i}</p></div></div>"
+    template = wrapper.load(wrapper.dump(wrapper.induce([box(i, False) for i in range(6)])))
+    right = "title 9\ntext 9 word word word"
+    assert wrapper.extract(box(9, True), template) == right
+    assert wrapper.extract(box(9, True), None).startswith("offer 9 deal")
+
+
+def test_trees_match_as_plain_recursion_says():
+    """The size of the matching against the textbook recursion, on random trees."""
+    import random
+
+    rng = random.Random(2)
+
+    def grow(depth):
+        node = wrapper.Group(rng.choice("ab"), ())
+        node.kids = [grow(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        return node
+
+    def plain(x, y):
+        if x.tag != y.tag:
+            return 0
+        best = [[0] * (len(y.kids) + 1) for _ in range(len(x.kids) + 1)]
+        for i, a in enumerate(x.kids):
+            for j, b in enumerate(y.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(a, b))
+        return best[-1][-1] + 1
+
+    for _ in range(300):
+        a, b = grow(3), grow(3)
+        a.tag = b.tag = "r"
+        pairs = wrapper.match(a, b)
+        assert all(x.tag == y.tag for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+        assert len(pairs) == plain(a, b)
+
+
+@pytest.mark.parametrize("make", [
+    lambda k: "<div>" * 5000 + f"deep {k}" + "</div>" * 5000,
+    lambda k: "".join(f"<p>para {i} {k}</p>" for i in range(5000)),
+    lambda k: "<hr><div>z</div>" * (k % 3) + "".join(f"<p>p {i} {k}</p>" if (i * k) % 3 else f"<ul><li>{i} {k}</ul>" for i in range(5000)),
+])
+def test_deep_and_wide_pages(make):
+    import time
+
+    began = time.time()
+    template = wrapper.load(wrapper.dump(wrapper.induce([make(k) for k in range(1, 9)])))
+    found = wrapper.extract(make(10), template).split("\n")
+    assert found[-1].endswith("10") and len(found) in (1, 5000, 5001) and time.time() - began < 30
+
+
 def test_pages(spark):
-    rows = [(i, f"http://h{i % 2}.example/{i}", page(i), "clash") for i in range(40)] + [(90, None, None, ""), (91, "nonsense", "<p>x", ""), (92, "http://few.example/", page(1), "")]
+    rows = [(i, f"http://h{i % 2}.example/{i}", page(i), "clash") for i in range(40)] + [(90, None, None, ""), (91, "nonsense", "<p>x", ""), (92, "http://few.example/", page(1), ""), (None, "http://h0.example/", page(7), ""), (7, "http://h1.example/7", page(7), "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
     got = {r.page_id: r for r in wrapper.main_texts(df).collect()}
-    assert len(got) == 43
+    assert len(got) == 44 and wrapper.main_texts(df).count() == 45 and got[None].text == got[7].text
     assert got[7].text == "Head 7\nFirst & bold text 7\nSecond text goes on 7\nitem 7" and got[7].n_chars == len(got[7].text)
     assert (got[90].text, got[90].n_chars, got[91].text) == ("", 0, "x")
     assert got[92].text.startswith("Head 1\nShare this page")  # one page makes no template
