@@ -119,6 +119,22 @@ def test_repeated_rows_of_a_copy(spark):
     assert Counter((r.doc_id, r.n_removed) for r in rows) == {(1, 0): 1, (2, 20): 3, (3, 0): 1}
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row is judged by its own id and text, null ids by none."""
+    t, u, v = (" ".join(f"{c}{i}" for i in range(20)) for c in "tuv")
+    rows = [(1, t), (2, t), (2, u), (2, u), (2, v), (3, u + " x"), (None, t), (None, "n " + v), (4, None), (5, "a b"), (6, "a b"), (1, v + " y")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+    def expected(i, text):
+        w, gone = (text or "").split(), set()
+        for j in range(len(w) - 12):
+            if i is not None and any(o is not None and o < i and any((x or "").split()[k : k + 13] == w[j : j + 13] for k in range(len((x or "").split()) - 12)) for o, x in rows):
+                gone |= set(range(j, j + 13))
+        return i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)
+
+    assert got == Counter(expected(*r) for r in rows)
+
+
 # Language model
 
 

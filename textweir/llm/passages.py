@@ -17,8 +17,9 @@ from .common import discard, staged
 WINDOW, ANCHOR = 13, 6
 #: Documents that share an anchor from which its windows are dealt out one by one.
 HOT = 1000
-#: Bytes of all removed spans up to which they are broadcast; beyond, they are joined by id.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of all removed spans up to which they are broadcast, and rows of texts that repeat as a
+#: whole; beyond, they are joined by key.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 100_000
 #: Distinct texts that an automaton is built from, about.
 SHARD = 4000
 
@@ -61,41 +62,48 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def class_key() -> str:
-    """Names a word sequence: blanks of any kind and number part words."""
-    return r"md5(array_join(array_remove(split(coalesce(text, ''), r'[\x20\x09-\x0D]+'), ''), ' '))"
+def distinct_texts(source: DataFrame) -> DataFrame:
+    """(key, first, last, n, salt) of each text: its smallest and largest id and its rows. An id and
+    a salt name one text: the salt is 0 unless an id is the first of several texts."""
+    texts = source.where("id is not null").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    texts = staged(texts)
+    several = texts.groupBy("first").agg(F.count("*").alias("texts")).where("texts > 1").select("first", F.lit(True).alias("several"))
+    return staged(texts.join(several, "first", "left").select("key", "first", "last", "n", F.when(F.col("several"), F.xxhash64("key")).otherwise(0).alias("salt")))
 
 
-def first_of_class(docs: DataFrame) -> DataFrame:
-    """(id, first): the smallest id with the same word sequence."""
-    keyed = staged(docs.selectExpr("id", f"unhex({class_key()}) as key"))
-    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("first")), "key").select("id", "first")
+def one_row_each(source: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, salt, text) of the first document of each text. Only texts with several rows move."""
+    odd = texts.where("n > 1 or salt <> 0").select("key", "first", "salt")
+    if odd.count() <= BROADCAST_ROWS:
+        odd = F.broadcast(odd)
+    marked = source.where("id is not null").join(odd, "key", "left")
+    alone = marked.where("salt is null").select("id", F.lit(0).cast("long").alias("salt"), "text")
+    return alone.union(marked.where("id = first").dropDuplicates(["key"]).select("id", "salt", "text"))
 
 
 def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor long, id) once for each anchor of a document's windows."""
+    """(anchor long, id, salt) once for each anchor of a text's windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, ids = [], []
-            for doc, text in zip(batch["id"], batch["text"]):
+            keys = []
+            for text in batch["text"]:
                 at, grams = anchors(word_hashes(words_of(text)), window, anchor)
-                found = np.unique(grams[np.unique(at)]) if len(at) else grams[:0]
-                keys.append(signed(found))
-                ids.append(np.full(len(found), doc, np.int64))
-            yield pd.DataFrame({"anchor": np.concatenate(keys), "id": np.concatenate(ids)})
+                keys.append(signed(np.unique(grams[np.unique(at)]) if len(at) else grams[:0]))
+            n = list(map(len, keys))
+            yield pd.DataFrame({"anchor": np.concatenate(keys), "id": np.repeat(batch["id"].to_numpy(), n), "salt": np.repeat(batch["salt"].to_numpy(), n)})
 
-    return docs.mapInPandas(run, "anchor long, id long")
+    return docs.mapInPandas(run, "anchor long, id long, salt long")
 
 
 def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(route, id, start, text) from rows (id, text, shared, hot): runs of consecutive windows
+    """(route, id, salt, start, text) from rows (id, salt, text, shared, hot): runs of consecutive windows
     with one shared anchor, or single windows where the anchor is hot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            routes, ids, starts, texts = [], [], [], []
-            for doc, text, shared, hot in zip(batch["id"], batch["text"], batch["shared"], batch["hot"]):
+            routes, ids, salts, starts, texts = [], [], [], [], []
+            for doc, salt, text, shared, hot in zip(batch["id"], batch["salt"], batch["text"], batch["shared"], batch["hot"]):
                 words = words_of(text)
                 hashes = word_hashes(words)
                 at, grams = anchors(hashes, window, anchor)
@@ -118,54 +126,63 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 else:
                     routes.append(keys[first])
                 ids.append(np.full(len(first), doc, np.int64))
+                salts.append(np.full(len(first), salt, np.int64))
                 starts.append(first.astype(np.int32))
             none = np.zeros(0, np.int64)
-            yield pd.DataFrame({"route": np.concatenate([none, *routes]), "id": np.concatenate([none, *ids]), "start": np.concatenate([none, *starts]).astype(np.int32), "text": texts})
+            yield pd.DataFrame({"route": np.concatenate([none, *routes]), "id": np.concatenate([none, *ids]), "salt": np.concatenate([none, *salts]), "start": np.concatenate([none, *starts]).astype(np.int32), "text": texts})
 
-    return docs.mapInPandas(run, "route long, id long, start int, text string")
+    return docs.mapInPandas(run, "route long, id long, salt long, start int, text string")
+
+
+def recurring(texts: list[tuple[int, ...]], firsts: list[int], lasts: list[int], window: int) -> set[tuple[int, ...]]:
+    """Windows that two documents can have, by their hashes: those in two texts or twice in one, and
+    all of a text of two documents."""
+    grams = [gram_hashes(np.array(words, np.uint64), window) for words in texts]
+    _, inverse, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    several = np.split(counts[inverse] > 1, np.cumsum(list(map(len, grams)))[:-1])
+    found = set()
+    for words, marks, first, last in zip(texts, several, firsts, lasts):
+        places = range(len(marks)) if last > first else np.flatnonzero(marks).tolist()
+        found.update(words[i : i + window] for i in places)
+    return found
 
 
 def owners(window: int):
     """For the distinct texts of a shard with their first documents: of each window, the first
-    document that has it, or null where no other document can. Windows in two or more texts, or in
-    a text of two or more documents, are confirmed and compiled; every text is streamed through
-    the automaton."""
+    document that has it, or null where no other document can.
+
+    Windows that recur by hash are compiled to an automaton. Every text of the shard is streamed
+    through it: what it finds, by the words themselves, gives each window's first document and
+    every place.
+    """
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         ids: dict[str, int] = {}
         texts = [tuple(ids.setdefault(w, len(ids) + 1) for w in t.split(" ")) for t in shard["text"]]
-        first: dict[tuple[int, ...], int] = {}
-        several: set[tuple[int, ...]] = set()
-        for words, doc, last in zip(texts, shard["first"].tolist(), shard["last"].tolist()):
-            for i in range(len(words) - window + 1):
-                key = words[i : i + window]
-                seen = first.get(key)
-                if seen is None:
-                    first[key] = doc
-                    if last > doc:
-                        several.add(key)
-                else:
-                    if seen != doc or last > doc:
-                        several.add(key)
-                    first[key] = min(seen, doc)
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key in several:
-            machine.add_word(key, first[key])
+        docs = shard["first"].tolist()
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, passage in enumerate(recurring(texts, docs, shard["last"].tolist(), window)):
+            machine.add_word(passage, i)
         machine.make_automaton()
-        found = []
-        for words in texts:
+        first = np.full(len(machine), np.iinfo(np.int64).max)
+        hits = []
+        for words, doc in zip(texts, docs):
+            found = np.array(list(machine.iter(words)) if len(machine) else [], np.int64).reshape(-1, 2)
+            np.minimum.at(first, found[:, 1], doc)
+            hits.append(found)
+        out = []
+        for words, found in zip(texts, hits):
             own: list[int | None] = [None] * (len(words) - window + 1)
-            if several:
-                for end, doc in machine.iter(words):
-                    own[end - window + 1] = doc
-            found.append(own)
-        return pd.DataFrame({"key": shard["key"], "owners": found})
+            for end, doc in zip(found[:, 0].tolist(), first[found[:, 1]].tolist()):
+                own[end - window + 1] = doc
+            out.append(own)
+        return pd.DataFrame({"key": shard["key"], "owners": out})
 
     return run
 
 
 def merged_spans(window: int):
-    """From rows (id, starts): the words that windows at these places cover, as bounds
+    """From rows (id, salt, starts): the words that windows at these places cover, as bounds
     [begin, end, begin, end, ...] of disjoint spans in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,61 +193,66 @@ def merged_spans(window: int):
                 new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + window]))
                 ends = np.append(at[new[1:] - 1], at[-1]) + window
                 bounds.append(np.stack([at[new], ends], 1).ravel().astype(np.int32))
-            yield pd.DataFrame({"id": batch["id"], "bounds": bounds})
+            yield pd.DataFrame({"id": batch["id"], "salt": batch["salt"], "bounds": bounds})
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, bounds array<int>, whole boolean): of every document, the spans of words covered by
-    windows that also start in a document with a smaller id; `whole` marks a document whose word
-    sequence a smaller id has.
+def repeated_windows(source: DataFrame, texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(id, salt, bounds array<int>): of the first document of each text, the spans of words covered
+    by windows that also start in a document with a smaller id.
 
-    `docs` has id long and text. Only the first document of equal word sequences is searched.
-    Equal windows have equal anchors, so only windows with an anchor in two documents can repeat;
-    their texts go to shards by anchor, those of hot anchors by the window itself, each distinct
-    text once. A shard confirms the windows that repeat and locates all of them by automaton.
+    `source` has id, key and text, `texts` is distinct_texts() of it. Equal windows have equal
+    anchors, so only windows with an anchor in two texts can repeat; their texts go to shards by
+    anchor, those of hot anchors by the window itself, each distinct piece once. A shard compiles
+    the windows that recur and locates all of them by automaton.
     """
-    classes = staged(first_of_class(docs))
-    copies = classes.where("id <> first").select("id").distinct()
-    alone = docs.join(F.broadcast(copies) if copies.count() <= 100_000 else copies, "id", "left_anti").select("id", "text")
+    alone = one_row_each(source, texts)
     rows = staged(anchor_rows(alone, window, anchor))
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")  # a document has an anchor once
+    shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")  # a text has an anchor once
     by_doc = (
         rows.join(shared.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
-        .groupBy("id")
+        .groupBy("id", "salt")
         .agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     )
-    found = staged(pieces(alone.join(by_doc, "id").select("id", "text", "shared", "hot"), window, anchor))
+    found = staged(pieces(alone.join(by_doc, ["id", "salt"]).select("id", "salt", "text", "shared", "hot"), window, anchor))
     discard(rows)
     keyed = found.withColumn("key", F.unhex(F.md5(F.concat(F.col("route").cast("string"), F.lit(":"), "text"))))
-    # A text of one document can still share windows with others of its route.
-    texts = keyed.groupBy("key", "route").agg(F.first("text").alias("text"), F.min("id").alias("first"), F.max("id").alias("last"))
+    # A piece of one document can still share windows with others of its route.
+    parts = keyed.groupBy("key", "route").agg(F.first("text").alias("text"), F.min("id").alias("first"), F.max("id").alias("last"))
     shards = max(1, -(-found.count() // SHARD))
     located = (
-        texts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+        parts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .select("shard", "key", "text", "first", "last")
         .groupBy("shard")
         .applyInPandas(owners(window), "key binary, owners array<long>")
     )
-    hits = keyed.select("key", "id", "start").join(located, "key")
+    hits = keyed.select("key", "id", "salt", "start").join(located, "key")
     later = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull())
-    starts = hits.select("id", later.alias("starts")).where(F.size("starts") > 0).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    spans = starts.mapInPandas(merged_spans(window), "id long, bounds array<int>").withColumn("whole", F.lit(False))
-    return spans.union(copies.select("id", F.array().cast("array<int>").alias("bounds"), F.lit(True).alias("whole")))
+    starts = hits.select("id", "salt", later.alias("starts")).where(F.size("starts") > 0).groupBy("id", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    spans = staged(starts.mapInPandas(merged_spans(window), "id long, salt long, bounds array<int>"))
+    discard(found)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Every document without the words of windows that also start in a document with a smaller id.
 
     Words are runs without ASCII white space, unchanged; windows are judged on the input. Null
-    texts and texts shorter than a window keep all their words; rows that repeat an id with the
-    same text count as one document and are returned each. Returns id, n_words, n_removed and
+    texts and texts shorter than a window keep all their words. Each row is judged by its own id
+    and text: rows that share an id but not the text are different documents, rows that repeat are
+    returned each. A null id is not smaller than any other and none is smaller than it. An empty
+    table gives an empty result; other columns are not read. Returns id, n_words, n_removed and
     kept, the words left joined by one space.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = staged(repeated_windows(source, window))
-    bytes_ = gone.agg(F.coalesce(F.sum(F.size("bounds") * 4 + 32), F.lit(0))).head()[0]
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"))
+    texts = distinct_texts(source)
+    spans = repeated_windows(source, texts, window)
+    named = texts.select("key", "first", "salt").join(spans.withColumnRenamed("id", "first"), ["first", "salt"]).select("key", "first", "bounds")
+    copied = texts.where("last > first").select("key", F.col("first").alias("of"))
+    gone = staged(copied.join(named, "key", "full").select("key", F.coalesce("of", "first").alias("first"), "bounds"))
+    bytes_ = gone.agg(F.coalesce(F.sum(F.size(F.coalesce("bounds", F.array().cast("array<int>"))) * 4 + 64), F.lit(0))).head()[0]
     if bytes_ <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
 
@@ -240,9 +262,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, bounds, whole in zip(batch["text"], batch["bounds"], batch["whole"]):
                 words = words_of(text)
                 n, left = len(words), words
-                if whole is True and n >= window:
-                    left = []
-                elif bounds is not None and len(bounds):
+                if whole is True:
+                    left = words if n < window else []
+                elif whole is False and bounds is not None and len(bounds):
                     edges = [0, *bounds.tolist(), n]
                     left = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
                 sizes.append(n)
@@ -250,5 +272,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pd.DataFrame({"id": batch["id"], "n_words": sizes, "n_removed": removed, "kept": kept})
 
-    marked = source.join(gone, "id", "left")
+    marked = source.join(gone, "key", "left").select("id", "text", "bounds", (F.col("id") > F.col("first")).alias("whole"))
     return marked.mapInPandas(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
