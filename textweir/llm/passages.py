@@ -22,6 +22,8 @@ HOT = 1000
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 100_000
 #: Distinct texts that an automaton is built from, about.
 SHARD = 4000
+#: Stands for no document: no id is larger.
+NOBODY = np.iinfo(np.int64).max
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -134,49 +136,48 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInPandas(run, "route long, id long, salt long, start int, text string")
 
 
-def recurring(texts: list[tuple[int, ...]], firsts: list[int], lasts: list[int], window: int) -> set[tuple[int, ...]]:
-    """Windows that two documents can have, by their hashes: those in two texts or twice in one, and
-    all of a text of two documents."""
-    grams = [gram_hashes(np.array(words, np.uint64), window) for words in texts]
-    _, inverse, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    several = np.split(counts[inverse] > 1, np.cumsum(list(map(len, grams)))[:-1])
-    found = set()
-    for words, marks, first, last in zip(texts, several, firsts, lasts):
-        places = range(len(marks)) if last > first else np.flatnonzero(marks).tolist()
-        found.update(words[i : i + window] for i in places)
-    return found
+def recurring(codes: np.ndarray, places: np.ndarray, copied: np.ndarray, window: int) -> set[tuple[int, ...]]:
+    """Windows that two documents can have: of those that begin at `places`, the ones whose hash
+    comes twice and the ones in a text that is `copied`."""
+    if not len(places):
+        return set()
+    _, inverse, counts = np.unique(gram_hashes(codes.astype(np.uint64), window)[places], return_inverse=True, return_counts=True)
+    words = codes.tolist()
+    return {tuple(words[i : i + window]) for i in places[(counts[inverse] > 1) | copied].tolist()}
 
 
 def owners(window: int):
     """For the distinct texts of a shard with their first documents: of each window, the first
-    document that has it, or null where no other document can.
+    document that has it, or NOBODY where no other document can.
 
-    Windows that recur by hash are compiled to an automaton. Every text of the shard is streamed
-    through it: what it finds, by the words themselves, gives each window's first document and
-    every place.
+    Windows that recur by hash are compiled to an automaton. The texts of the shard are streamed
+    through it, one behind the other: what it finds, by the words themselves, gives each window's
+    first document and every place.
     """
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         ids: dict[str, int] = {}
-        texts = [tuple(ids.setdefault(w, len(ids) + 1) for w in t.split(" ")) for t in shard["text"]]
-        docs = shard["first"].tolist()
+        texts = [t.split(" ") for t in shard["text"]]
+        codes: list[int] = []
+        for words in texts:
+            codes += [ids.setdefault(w, len(ids) + 1) for w in words]
+            codes.append(0)  # ends a text; no window has it
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        windows = np.maximum(sizes - window + 1, 0)
+        places = np.repeat(starts, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        first, last = shard["first"].to_numpy(np.int64), shard["last"].to_numpy(np.int64)
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, passage in enumerate(recurring(texts, docs, shard["last"].tolist(), window)):
+        for i, passage in enumerate(recurring(np.array(codes, np.int64), places, np.repeat(last > first, windows), window)):
             machine.add_word(passage, i)
-        machine.make_automaton()
-        first = np.full(len(machine), np.iinfo(np.int64).max)
-        hits = []
-        for words, doc in zip(texts, docs):
-            found = np.array(list(machine.iter(words)) if len(machine) else [], np.int64).reshape(-1, 2)
-            np.minimum.at(first, found[:, 1], doc)
-            hits.append(found)
-        out = []
-        for words, found in zip(texts, hits):
-            own: list[int | None] = [None] * (len(words) - window + 1)
-            for end, doc in zip(found[:, 0].tolist(), first[found[:, 1]].tolist()):
-                own[end - window + 1] = doc
-            out.append(own)
-        return pd.DataFrame({"key": shard["key"], "owners": out})
+        own = np.full(len(codes), NOBODY)
+        if len(machine):
+            machine.make_automaton()
+            ends, found = np.array(list(machine.iter(tuple(codes))), np.int64).T
+            least = np.full(len(machine), NOBODY)
+            np.minimum.at(least, found, np.repeat(first, sizes + 1)[ends])
+            own[ends - window + 1] = least[found]
+        return pd.DataFrame({"key": shard["key"], "owners": [own[a : a + n] for a, n in zip(starts.tolist(), windows.tolist())]})
 
     return run
 
