@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textweir.functions.arrays import blocks as text_blocks
+from textweir.functions.arrays import cut, in_chunks, let, matches
 from textweir.functions.fixed import PII_PATTERNS
 from textweir.functions.regex import SPACE, js_regex
 
@@ -20,7 +22,7 @@ HINTS = {
     "german_tax_id": r"[0-9]{2}[^a-zA-Z0-9]?[0-9]{3}[^a-zA-Z0-9]?[0-9]{3}",
     "german_social_security": r"[0-9]{6}[^a-zA-Z0-9]?[A-Z]",
     "email": "@",
-    "phone": r"[+0][0-9 (/-]",
+    "phone": f"[+0][0-9(/{SPACE}-]",
     "ip_address": r"[0-9]\.[0-9]{1,3}\.[0-9]",
     "url_with_credentials": r"https?://",
 }
@@ -79,27 +81,18 @@ VALID = {"iban": valid_iban, "credit_card": valid_card, "german_tax_id": valid_t
 def detect_type(text: Column, pii_type: str) -> Column:
     """All valid entities of one type from left to right, before overlaps are resolved.
 
-    Matches that fail their validator still consume text. Places are in code points: gaps and
-    matches, walked together, give them without a UDF.
+    Matches that fail their validator still consume text.
     """
     ord_, (_, source, confidence) = next((i, p) for i, p in enumerate(PII_PATTERNS) if p.type == pii_type)
-    pattern = js_regex(source)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        entity = F.struct(start.alias("start"), (start - end).alias("minus"), F.lit(ord_).alias("ord"), F.lit(pii_type).alias("type"), x["value"].alias("value"), end.alias("end"), F.lit(confidence).alias("confidence"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(entity)).alias("out"))
+    def entity(m: Column) -> Column:
+        return F.struct(m["start"].alias("start"), (m["start"] - m["end"]).alias("minus"), F.lit(ord_).alias("ord"), F.lit(pii_type).alias("type"), m["value"].alias("value"), m["end"].alias("end"), F.lit(confidence).alias("confidence"))
 
     kind = "array<struct<start:int,minus:int,ord:int,type:string,value:string,end:int,confidence:double>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    entities = F.aggregate(pairs, first, step, lambda a: a["out"])
+    found = matches(text, js_regex(source))
     if pii_type in VALID:
-        entities = F.filter(entities, lambda e: VALID[pii_type](cleaned(e["value"])))
-    return F.when(text.rlike(HINTS[pii_type]), entities).otherwise(F.array().cast(kind))
+        found = F.filter(found, lambda m: VALID[pii_type](cleaned(m["value"])))
+    return F.when(text.rlike(HINTS[pii_type]), F.transform(found, entity)).otherwise(F.array().cast(kind))
 
 
 def detect(text: Column) -> Column:
@@ -108,15 +101,13 @@ def detect(text: Column) -> Column:
     Kept entities never overlap, so the end of the last one decides.
     """
     everything = F.sort_array(F.concat(*[detect_type(text, p.type) for p in PII_PATTERNS]))
-    kind = f"array<{ENTITY}>"
 
     def step(a: Column, e: Column) -> Column:
         entity = F.struct(*[e[c].alias(c) for c in ("type", "value", "start", "end", "confidence")])
         free = e["start"] >= a["last"]
         return F.struct(F.when(free, e["end"]).otherwise(a["last"]).alias("last"), F.when(free, F.concat(a["kept"], F.array(entity))).otherwise(a["kept"]).alias("kept"))
 
-    first = F.struct(F.lit(0).alias("last"), F.array().cast(kind).alias("kept"))
-    return F.aggregate(everything, first, step, lambda a: a["kept"])
+    return in_chunks(everything, F.lit(0), step, ENTITY)
 
 
 def active(entities: Column, allowed_types: Iterable[str] = ()) -> Column:
@@ -173,13 +164,16 @@ def masked_value(entity: Column) -> Column:
 def mask(text: Column, entities: Column) -> Column:
     """Text with every entity replaced; entities are in order and disjoint."""
 
-    def step(a: Column, e: Column) -> Column:
-        before = F.substring(text, a["at"] + 1, e["start"] - a["at"])
-        return F.struct(e["end"].alias("at"), F.concat(a["out"], before, masked_value(e)).alias("out"))
+    def spliced(found: Column) -> Column:
+        after = F.concat(F.array(F.lit(0)), F.transform(found, lambda e: e["end"]))
+
+        def joined(parts: Column) -> Column:
+            piece = lambda at, e: F.concat(cut(parts, at, F.when(e.isNull(), F.lit(1 << 30)).otherwise(e["start"] - at)), F.when(e.isNull(), "").otherwise(masked_value(e)))
+            return F.array_join(F.zip_with(after, found, piece), "")
+
+        return let(text_blocks(text), joined)
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(entities, first, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
-    return F.when(F.size(entities) == 0, text).otherwise(done)
+    return F.when(F.size(entities) == 0, text).otherwise(let(entities, spliced))
 
 
 def sanitize(text: Column, entities: Column, default: str = "mask", types: Mapping[str, str] | None = None) -> Column:
