@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Code points in a block of a text that is cut in many places.
 BLOCK = 4096
 #: Elements that one step of `in_chunks` handles.
-CHUNK = 256
+CHUNK = 64
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -102,12 +102,18 @@ def detect(text: Column) -> Column:
     """
     everything = F.sort_array(F.concat(*[detect_type(text, p.type) for p in PII_PATTERNS]))
 
+    def entity(e: Column) -> Column:
+        return F.struct(*[e[c].alias(c) for c in ("type", "value", "start", "end", "confidence")])
+
     def step(a: Column, e: Column) -> Column:
-        entity = F.struct(*[e[c].alias(c) for c in ("type", "value", "start", "end", "confidence")])
         free = e["start"] >= a["last"]
-        return F.struct(F.when(free, e["end"]).otherwise(a["last"]).alias("last"), F.when(free, F.concat(a["kept"], F.array(entity))).otherwise(a["kept"]).alias("kept"))
+        return F.struct(F.when(free, e["end"]).otherwise(a["last"]).alias("last"), F.when(free, F.concat(a["kept"], F.array(entity(e)))).otherwise(a["kept"]).alias("kept"))
+
+    def chosen(found: Column) -> Column:
+        meets = F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), lambda a, b: F.coalesce(b["start"] < a["end"], F.lit(False)))
+        return F.when(F.exists(meets, lambda m: m), in_chunks(found, F.lit(0), step, ENTITY)).otherwise(F.transform(found, entity))
 
-    return in_chunks(everything, F.lit(0), step, ENTITY)
+    return let(everything, chosen)
 
 
 def active(entities: Column, allowed_types: Iterable[str] = ()) -> Column:
