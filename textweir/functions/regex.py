@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from re import _constants as op
+from re import _parser
+
 #: White space of ECMAScript, as members of a Java character class.
 SPACE = r"\t\n\x0B\f\r    -     　﻿"
 LINE_ENDS = r"\n\r  "
@@ -57,3 +61,29 @@ def wildcard_regex(pattern: str) -> str:
     if "*" not in pattern:
         return r"\A\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E\z"
     return js_regex("^" + pattern.replace("*", ".*").replace("?", ".") + "$")
+
+
+@lru_cache(1024)
+def needed(source: str) -> tuple[str, ...]:
+    """Lower-case words of which any text that a pattern matches has one, in whatever case; empty if
+    the pattern needs none of two letters or more."""
+
+    def best(sequence) -> frozenset[str]:
+        found, run = [], ""
+        for kind, value in [*sequence, (None, None)]:
+            if kind is op.LITERAL and chr(value).isascii():
+                run += chr(value).lower()
+                continue
+            if len(run) > 1:
+                found.append(frozenset([run]))
+            run = ""
+            if kind is op.SUBPATTERN:
+                found.append(best(value[3]))
+            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] > 0:
+                found.append(best(value[2]))
+            elif kind is op.BRANCH:
+                ways = [best(way) for way in value[1]]
+                found.append(frozenset().union(*ways) if all(ways) else frozenset())
+        return max(found, key=lambda words: (min(map(len, words), default=0), -len(words)), default=frozenset())
+
+    return tuple(sorted(best(_parser.parse(source))))

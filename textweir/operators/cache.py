@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textweir.functions.names import fresh
+
 
 def cache_key(text: Column, preset: Column, tools: Column | None = None, agent: Column | None = None) -> Column:
     """Hash of preset, sorted tool names and text (L5). Giving an agent keeps agents apart."""
@@ -23,9 +25,10 @@ def cache_key(text: Column, preset: Column, tools: Column | None = None, agent:
 
 def scan_once(df: DataFrame, key: Column, scan: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     """Scans each distinct key once and joins the result columns back."""
-    keyed = df.withColumn("_key", key)
-    scanned = scan(keyed.dropDuplicates(["_key"])).select("_key", *columns)
-    return keyed.join(scanned, "_key", "left").drop("_key")
+    (name,) = fresh(df, "_key")
+    keyed = df.withColumn(name, key)
+    scanned = scan(keyed.dropDuplicates([name])).select(name, *columns)
+    return keyed.join(scanned, name, "left").drop(name)
 
 
 def replay(events: DataFrame, cache: str, key: str, at: str, tie: str, ttl_ms: int = 300_000, capacity: int = 1000) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textweir.functions.fixed import FALLBACK_PRICE, PRICES
+from textweir.functions.names import fresh
 
 
 class Budget(NamedTuple):
@@ -20,6 +21,7 @@ class Budget(NamedTuple):
 
 
 UNITS = {"hourly": "hour", "daily": "day", "monthly": "month"}
+#: Seconds that a period lasts at most; a counter lives for two of them.
 PERIOD_SECONDS = {"hourly": 3600, "daily": 86_400, "monthly": 31 * 86_400}
 
 
@@ -63,19 +65,35 @@ def bucket_spend(records: DataFrame, budgets: DataFrame) -> DataFrame:
     return each.groupBy("entity_id", bucket(F.col("ts"), F.col("period")).alias("bucket")).agg(F.sum("cost").alias("spend"))
 
 
+def current_spend(records: DataFrame, budgets: DataFrame, now: Column) -> DataFrame:
+    """(entity_id, bucket, spend) of every budget at a moment; 0 without spending in its bucket."""
+    open_ = budgets.select("entity_id", bucket(now, F.col("period")).alias("bucket"))
+    spent = bucket_spend(records, budgets)
+    return open_.join(spent, ["entity_id", "bucket"], "left").select("entity_id", "bucket", F.coalesce("spend", F.lit(0.0)).alias("spend"))
+
+
+def live_counters(spent: DataFrame, budgets: DataFrame, now: Column) -> DataFrame:
+    """Counters of bucket_spend() that have not expired: those of buckets that began less than two
+    periods ago (C12)."""
+    seconds = F.create_map(*[x for p, n in PERIOD_SECONDS.items() for x in (F.lit(p), F.lit(2 * n))])
+    dated = spent.join(budgets.select("entity_id", "period"), "entity_id")
+    return dated.where(now.cast("long") - F.col("bucket").cast("long") < F.element_at(seconds, F.col("period"))).drop("period")
+
+
 def running_total(df: DataFrame, keys: list[str], at: str, tie: str, value: str, out: str, chunk: str = "hour") -> DataFrame:
     """Adds the sum of `value` over earlier rows of the same keys, by time and `tie`.
 
     In two levels, so that a very busy key is spread over its hours: totals of chunks are summed
     in order, rows only within their chunk.
     """
-    cut = df.withColumn("_chunk", F.date_trunc(chunk, at))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = cut.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
-    joined = placed.join(chunks.drop("_sum"), [*keys, "_chunk"])
-    return joined.withColumn(out, F.col("_before") + F.col("_inside")).drop("_chunk", "_before", "_inside")
+    cut_, sum_, before_, inside_ = fresh(df, "_chunk", "_sum", "_before", "_inside")
+    cut = df.withColumn(cut_, F.date_trunc(chunk, at))
+    before = Window.partitionBy(*keys).orderBy(cut_).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = cut.groupBy(*keys, cut_).agg(F.sum(value).alias(sum_)).withColumn(before_, F.coalesce(F.sum(sum_).over(before), F.lit(0.0)))
+    inside = Window.partitionBy(*keys, cut_).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn(inside_, F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+    joined = placed.join(chunks.drop(sum_), [*keys, cut_])
+    return joined.withColumn(out, F.col(before_) + F.col(inside_)).drop(cut_, before_, inside_)
 
 
 def check(spend: Column, estimate: Column, soft: Column, hard: Column) -> Column:
@@ -138,20 +156,21 @@ def anomalies(series: DataFrame, entity: str, at: str, value: str, threshold: fl
     Fewer than three values: no anomaly and z 0. A zero deviation: any difference is one, with
     z infinite. `history` limits how many values count.
     """
+    mean, std = fresh(series, "_mean", "_std")
     first = Window.unboundedPreceding if history is None else -history
     past = Window.partitionBy(entity).orderBy(at).rowsBetween(first, -1)
     now = F.col(value)
     few = F.col("n_history") < 3
-    z = F.when(F.col("_std") == 0, F.when(now == F.col("_mean"), 0.0).otherwise(F.lit(float("inf")))).otherwise((now - F.col("_mean")) / F.col("_std"))
+    z = F.when(F.col(std) == 0, F.when(now == F.col(mean), 0.0).otherwise(F.lit(float("inf")))).otherwise((now - F.col(mean)) / F.col(std))
     return (
-        series.withColumns({"n_history": F.count(value).over(past), "_mean": F.avg(value).over(past), "_std": F.stddev_pop(value).over(past)})
+        series.withColumns({"n_history": F.count(value).over(past), mean: F.avg(value).over(past), std: F.stddev_pop(value).over(past)})
         .withColumns(
             {
-                "mean": F.when(few, now).otherwise(F.col("_mean")),
-                "std_dev": F.when(few, 0.0).otherwise(F.col("_std")),
+                "mean": F.when(few, now).otherwise(F.col(mean)),
+                "std_dev": F.when(few, 0.0).otherwise(F.col(std)),
                 "z_score": F.when(few, 0.0).otherwise(z),
             }
         )
-        .withColumn("is_anomaly", ~few & F.when(F.col("_std") == 0, now != F.col("_mean")).otherwise(F.col("z_score") > threshold))
-        .drop("_mean", "_std")
+        .withColumn("is_anomaly", ~few & F.when(F.col(std) == 0, now != F.col(mean)).otherwise(F.col("z_score") > threshold))
+        .drop(mean, std)
     )

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textweir.functions.arrays import let, running
 from textweir.functions.fixed import BODY_FIELDS, SKIPPED_METHODS
+from textweir.functions.names import fresh
+
+from .chain import ScanConfig, scan
 
 #: Messages whose content is a list of blocks; plain strings are one text block.
 MESSAGES = "array<struct<role:string,content:array<struct<type:string,text:string>>>>"
@@ -38,6 +43,48 @@ def user_text(messages: Column, keep_empty: bool = False, no_role_is_user: bool
     return F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
 
 
+def system_text(messages: Column) -> Column:
+    """Text blocks of system messages, one to a line."""
+    said = F.flatten(F.transform(F.filter(messages, lambda m: m["role"] == "system"), lambda m: m["content"]))
+    kept = F.filter(said, lambda b: (b["type"] == "text") & (F.length(b["text"]) > 0))
+    return F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+
+
+def scan_system(conversations: DataFrame, config: ScanConfig | None = None, messages: str = "messages") -> DataFrame:
+    """Scans system prompts by themselves, for injection only: they are the operator's own and may
+    hold personal data (X8). Conversations without one give no row."""
+    (text,) = fresh(conversations, "_system")
+    asked = conversations.withColumn(text, system_text(F.col(messages))).where(F.length(text) > 0)
+    return scan(asked, text, replace(config or ScanConfig(), pii=False, tools=None)).drop(text)
+
+
+def normalised(request: Column) -> Column:
+    """A JSON request as messages: a string is one user message, an array is a list of messages or
+    strings, an object one message; contents are strings, or lists of blocks or strings (X6). Null
+    where nothing fits."""
+    parsed = F.try_parse_json(request)
+    kind = lambda v: F.substring(F.schema_of_variant(v), 1, 5)
+
+    def as_block(v: Column) -> Column:
+        plain = F.struct(F.lit("text").alias("type"), F.try_variant_get(v, "$", "string").alias("text"))
+        part = F.coalesce(string_field(v, "$.type"), F.when(string_field(v, "$.text").isNotNull(), "text"))
+        return F.when(F.schema_of_variant(v) == "STRING", plain).otherwise(F.struct(part.alias("type"), string_field(v, "$.text").alias("text")))
+
+    def content(v: Column) -> Column:
+        many = lambda path: F.transform(F.try_variant_get(v, path, "array<variant>"), as_block)
+        one = lambda path: F.when(string_field(v, path).isNotNull(), F.array(F.struct(F.lit("text").alias("type"), string_field(v, path).alias("text"))))
+        return F.coalesce(one("$.content"), many("$.content"), one("$.text"), many("$.parts"), F.array().cast("array<struct<type:string,text:string>>"))
+
+    def message(v: Column) -> Column:
+        plain = F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.try_variant_get(v, "$", "string").alias("text"))).alias("content"))
+        role = F.coalesce(string_field(v, "$.role"), F.lit("user"))
+        return F.when(F.schema_of_variant(v) == "STRING", plain).otherwise(F.struct(role.alias("role"), content(v).alias("content")))
+
+    return F.when(kind(parsed) == "ARRAY", F.transform(F.try_variant_get(parsed, "$", "array<variant>"), message)).when(
+        kind(parsed).isin("STRIN", "OBJEC"), F.array(message(parsed))
+    )
+
+
 def messages_of(text: Column) -> Column:
     """A plain request as one user message."""
     return F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content")))
@@ -53,6 +100,45 @@ def tool_names(declared: Column) -> Column:
     return F.transform(declared, lambda n: F.struct(n.alias("name"), F.lit(None).cast("string").alias("server_id")))
 
 
+def declared_tools(request: Column) -> Column:
+    """Names of the functions that a JSON request declares, as tool calls: tools by name, by function,
+    or in nested lists of function declarations (X9)."""
+    tools = F.try_variant_get(F.try_parse_json(request), "$.tools", "array<variant>")
+
+    def names(v: Column) -> Column:
+        nested = F.transform(F.try_variant_get(v, "$.functionDeclarations", "array<variant>"), lambda f: string_field(f, "$.name"))
+        own = F.array(F.coalesce(string_field(v, "$.name"), string_field(v, "$.function.name")))
+        return F.array_compact(F.coalesce(nested, own))
+
+    return tool_names(F.coalesce(F.flatten(F.transform(tools, names)), F.array().cast("array<string>")))
+
+
+def rewrite_parts(messages: Column, sanitized: Column) -> Column:
+    """Messages with the text blocks of user messages replaced by slices of a sanitized joint text,
+    which user_text() made of them: each block takes as many code points as it had, the last one
+    what is left (X10). Blocks that are no text stay."""
+    is_text = lambda m, b: (m["role"] == "user") & (b["type"] == "text") & (F.length(b["text"]) > 0)
+    sizes = F.flatten(F.transform(messages, lambda m: F.transform(m["content"], lambda b: F.when(is_text(m, b), F.length(b["text"]) + 1).otherwise(0))))
+
+    def made(ends: Column) -> Column:
+        last = F.array_max(ends)
+        firsts = running(F.transform(messages, lambda m: F.size(m["content"])), lambda a, b: a + b)
+
+        def message(m: Column, upto: Column) -> Column:
+            def block(b: Column, i: Column) -> Column:
+                end = F.get(ends, upto - F.size(m["content"]) + i)
+                size = F.length(b["text"])
+                rest = F.when(end == last, F.length(sanitized)).otherwise(size)
+                text = F.substring(sanitized, end - size, rest)
+                return F.struct(b["type"].alias("type"), F.when(is_text(m, b), text).otherwise(b["text"]).alias("text"))
+
+            return F.struct(m["role"].alias("role"), F.transform(m["content"], block).alias("content"))
+
+        return F.zip_with(messages, firsts, message)
+
+    return let(running(sizes, lambda a, b: a + b), made)
+
+
 def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, messages) from one row a turn, in order of turns."""
     message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text"))).alias("content"))
@@ -62,8 +148,9 @@ def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
 def rewrite(turns: DataFrame, sanitized: DataFrame, keys: Sequence[str], text: str = "text", role: str = "role") -> DataFrame:
     """User turns with their own sanitized text; other turns as they are (X10, per message)."""
-    new = sanitized.select(*keys, F.col("sanitized").alias("_new"))
-    return turns.join(new, list(keys), "left").withColumn(text, F.when(F.col(role) == "user", F.coalesce("_new", text)).otherwise(F.col(text))).drop("_new")
+    (name,) = fresh(turns, "_new")
+    new = sanitized.select(*keys, F.col("sanitized").alias(name))
+    return turns.join(new, list(keys), "left").withColumn(text, F.when(F.col(role) == "user", F.coalesce(name, text)).otherwise(F.col(text))).drop(name)
 
 
 def preflight_tokens(text: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textweir.functions.fixed import PRESETS, Preset
-from textweir.functions.regex import wildcard_regex
+from textweir.functions.names import fresh
+from textweir.functions.regex import LINE_ENDS, wildcard_regex
 
 from .injection import NO_VIOLATIONS
 
@@ -44,6 +45,12 @@ def pii_action(name: str | None, key: str | None = None) -> str:
     return chosen.pii_by_key.get(key or "", chosen.pii_action)
 
 
+def threshold_of(name: Column) -> Column:
+    """Threshold of each row's preset, the default's for null and unknown names."""
+    known = F.create_map(*[x for p in PRESETS.values() for x in (F.lit(p.name), F.lit(p.threshold))])
+    return F.coalesce(F.try_element_at(known, F.coalesce(name, F.lit(""))), F.lit(preset().threshold))
+
+
 def presets_table(spark: SparkSession) -> DataFrame:
     """The presets as a small table for joins by preset name."""
     rows = [(p.name, p.threshold, p.pii_action, list(p.dangerous), p.max_chain_depth, p.daily_budget, p.warn_at_percent) for p in PRESETS.values()]
@@ -153,9 +160,89 @@ def verify_manifests(pins: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("server_id", valid.alias("valid"), missing(F.col("now"), F.col("known_tools")).alias("added"), missing(F.col("known_tools"), F.col("now")).alias("removed"))
 
 
+def policy_tables(spark: SparkSession, policy: ToolPolicy) -> tuple[DataFrame, DataFrame]:
+    """A policy as tables (agent_id, allowed, denied) and (server_id, known_tools) for check_calls()."""
+    agents = [(who, list(p.allowed), list(p.denied)) for who, p in policy.permissions.items()]
+    pins = [(server, list(names)) for server, names in policy.pins.items()]
+    return spark.createDataFrame(agents, "agent_id string, allowed array<string>, denied array<string>"), spark.createDataFrame(pins, "server_id string, known_tools array<string>")
+
+
+def wildcard_column(pattern: Column) -> Column:
+    """The Java pattern of a column of wildcards, as wildcard_regex() makes it of one."""
+    plain = F.concat(F.lit(r"\A\Q"), F.replace(pattern, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\z"))
+    any_ = F.replace(F.replace(pattern, F.lit("*"), F.lit(f"[^{LINE_ENDS}]*")), F.lit("?"), F.lit(f"[^{LINE_ENDS}]"))
+    return F.when(pattern == "*", F.lit(r"(?s)\A.*\z")).when(F.contains(pattern, F.lit("*")), F.concat(F.lit("^"), any_, F.lit(r"\z"))).otherwise(plain)
+
+
+def check_calls(calls: DataFrame, agents: DataFrame, pins: DataFrame, dangerous: Sequence[str] = ()) -> DataFrame:
+    """Adds decision and violations to calls (agent_id, name, server_id) by policies in tables
+    (T2-T8): `agents` has agent_id, allowed and denied, `pins` server_id and known_tools, such as
+    pin_manifests() gives, each name once. Checks and order are those of tool_violations(); agents
+    and servers that are not in the tables are not checked. Both joins keep every call, also those
+    with a null agent ("default") or server."""
+    allowed, denied, known, who = fresh(calls, "_allowed", "_denied", "_known", "_agent")
+    named = calls.withColumn(who, F.coalesce("agent_id", F.lit("default")))
+    listed = named.join(agents.select(F.col("agent_id").alias(who), F.col("allowed").alias(allowed), F.col("denied").alias(denied)), who, "left")
+    pinned = listed.join(pins.select("server_id", F.col("known_tools").alias(known)), "server_id", "left")
+    name, server, agent = F.col("name"), F.col("server_id"), F.col(who)
+    hits = lambda patterns: F.filter(patterns, lambda p: F.rlike(name, wildcard_column(p)))
+    rule = F.get(hits(F.col(denied)), F.lit(0))
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    danger = F.array(violation("tool_denied", said("Tool '", name, "' matches global dangerous pattern"), F.lit("Matched global.dangerousPatterns")))
+    refused = F.array(violation("tool_denied", said("Tool '", name, "' denied for agent '", agent, "'"), said("Matched deny pattern: ", rule)))
+    unlisted = F.when(F.size(hits(F.col(allowed))) == 0, violation("tool_denied", said("Tool '", name, "' not in allow list for agent '", agent, "'"), None))
+    drift = F.when(
+        (F.length(server) > 0) & ~F.array_contains(known, name),
+        violation("manifest_drift", said("Tool '", name, "' not in pinned manifest for server '", server, "'"), said("Known tools: ", F.array_join(known, ", "))),
+    )
+    found = F.when(matches_any(name, dangerous), danger).when(rule.isNotNull(), refused).otherwise(F.array_compact(F.array(unlisted, drift))).cast(NO_VIOLATIONS)
+    done = pinned.withColumn("violations", found).withColumn("decision", tool_decision(F.col("violations")))
+    return done.select(*[c for c in calls.columns if c not in ("violations", "decision")], "decision", "violations")
+
+
 def call_rates(calls: DataFrame, agent: str, at: str, per_minute: int) -> DataFrame:
-    """Adds calls_last_minute and over_limit for each call of an agent (T11, an extension)."""
-    seconds = F.col(at).cast("timestamp").cast("long")
-    recent = Window.partitionBy(agent).orderBy("_s").rangeBetween(-59, 0)
-    counted = calls.withColumn("_s", seconds).withColumn("calls_last_minute", F.count("*").over(recent))
-    return counted.withColumn("over_limit", F.col("calls_last_minute") > per_minute).drop("_s")
+    """Adds calls_last_minute and over_limit for each call of an agent (T11, an extension).
+
+    Calls are counted by agent and second first. A minute's seconds, and copies of those of the
+    minute before, make one window, so a busy agent is spread over its minutes. Calls without a
+    time or an agent count among themselves by what they have.
+    """
+    second, minute, n, here, recent = fresh(calls, "_second", "_minute", "_n", "_here", "_recent")
+    timed = calls.withColumn(second, F.col(at).cast("timestamp").cast("long"))
+    by = F.coalesce(F.col(second), F.lit(-1))
+    counts = timed.groupBy(agent, second).agg(F.count("*").alias(n))
+    own = F.floor(by / 60)
+    twice = counts.select(agent, second, n, F.explode(F.array(F.struct(own.alias("m"), F.lit(True).alias("own")), F.struct((own + 1).alias("m"), F.lit(False).alias("own")))).alias(minute))
+    span = Window.partitionBy(agent, f"{minute}.m").orderBy(second).rangeBetween(-59, 0)
+    sums = twice.withColumn(recent, F.sum(n).over(span)).where(F.col(minute)["own"]).select(F.col(agent).alias(here), F.col(second).alias(minute), F.col(recent).alias("calls_last_minute"))
+    same = timed[agent].eqNullSafe(sums[here]) & timed[second].eqNullSafe(sums[minute])
+    joined = timed.join(sums, same, "left").select(*[timed[c] for c in calls.columns if c not in ("calls_last_minute", "over_limit")], "calls_last_minute")
+    return joined.withColumn("over_limit", F.col("calls_last_minute") > per_minute)
+
+
+def limit_calls(calls: DataFrame, session: str, tie: str, depth: str | None = None, per_session: int | None = None, approvals: Sequence[str] = (), max_depth: int | None = None) -> DataFrame:
+    """Adds `limits`, the names of the limits that a call breaks or meets (T11, E4): calls of its
+    session in order of `tie` beyond `per_session`, tools that need approval (wildcards over
+    `name`), and chains deeper than `max_depth`. Null sessions and depths break no limit.
+
+    Numbers of calls are sums over ranges of `tie` first, so a long session is spread.
+    """
+    tests = []
+    nth, part, start, inside = fresh(calls, "_nth", "_part", "_start", "_inside")
+    out = calls
+    if per_session is not None:
+        cut = F.floor(F.col(tie).cast("double") / 10_000)
+        parted = calls.withColumn(part, cut)
+        before = Window.partitionBy(session).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        starts = parted.groupBy(session, part).agg(F.count("*").alias(inside)).withColumn(start, F.coalesce(F.sum(inside).over(before), F.lit(0))).drop(inside)
+        order = Window.partitionBy(session, part).orderBy(tie)
+        placed = parted.withColumn(inside, F.row_number().over(order))
+        joined = placed.join(starts.withColumnsRenamed({session: "s", part: "p"}), placed[session].eqNullSafe(F.col("s")) & placed[part].eqNullSafe(F.col("p")), "left")
+        out = joined.select(*[placed[c] for c in calls.columns], (F.col(start) + F.col(inside)).alias(nth))
+        tests.append(F.when(F.col(session).isNotNull() & (F.col(nth) > per_session), "session_limit"))
+    if approvals:
+        tests.append(F.when(matches_any(F.col("name"), approvals), "needs_approval"))
+    if max_depth is not None and depth is not None:
+        tests.append(F.when(F.col(depth) > max_depth, "chain_depth"))
+    made = F.array_compact(F.array(*tests)) if tests else F.array()
+    return out.withColumn("limits", made.cast("array<string>")).drop(nth)

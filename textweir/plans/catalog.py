@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,8 +164,10 @@ TYPES = [p.type for p in pii.PII_PATTERNS]
 
 def pii_type_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    counts = F.array(*[F.struct(F.lit(t).alias("pii_type"), F.size(pii.detect_type(F.col("text"), t)).alias("n")) for t in TYPES])
-    return docs.select(F.explode(counts).alias("c")).groupBy("c.pii_type").agg(F.sum("c.n").alias("n_entities"), F.count_if(F.col("c.n") > 0).alias("n_docs"))
+    # One row a document first: a sum over an exploded array would make each count twice.
+    sized = docs.select(F.explode(F.array(F.array(*[F.size(pii.detect_type(F.col("text"), t)) for t in TYPES]))).alias("sizes"))
+    counts = sized.select(F.explode(F.zip_with(F.array(*map(F.lit, TYPES)), "sizes", lambda t, n: F.struct(t.alias("pii_type"), n.alias("n")))).alias("c"))
+    return counts.groupBy("c.pii_type").agg(F.sum("c.n").alias("n_entities"), F.count_if(F.col("c.n") > 0).alias("n_docs"))
 
 
 SQL_TYPE_COUNTS = f"WITH t AS MATERIALIZED ({SQL_DOCS}) " + " UNION ALL ".join(
@@ -174,11 +178,11 @@ SQL_TYPE_COUNTS = f"WITH t AS MATERIALIZED ({SQL_DOCS}) " + " UNION ALL ".join(
 def pii_values(spark: SparkSession, d: str) -> DataFrame:
     """Every valid value by document and type, before overlaps are resolved."""
     docs = documents(spark, d)
-    values = F.flatten(F.array(*[F.transform(pii.detect_type(F.col("text"), t), lambda e: F.struct(e["type"].alias("pii_type"), e["value"].alias("value"))) for t in TYPES if t != "phone"]))
+    values = F.flatten(F.array(*[F.transform(pii.detect_type(F.col("text"), t), lambda e: F.struct(e["type"].alias("pii_type"), e["value"].alias("value"))) for t in TYPES]))
     return docs.select("doc_id", F.explode(values).alias("v")).groupBy("doc_id", "v.pii_type", "v.value").agg(F.count("*").alias("n"))
 
 
-SQL_VALUES = f"WITH t AS MATERIALIZED ({SQL_DOCS}), v AS (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS pii_type, unnest({sql_entities(t)}) AS value FROM t" for t in TYPES if t != "phone") + ") SELECT doc_id, pii_type, value, count(*) AS n FROM v GROUP BY ALL"
+SQL_VALUES = f"WITH t AS MATERIALIZED ({SQL_DOCS}), v AS (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS pii_type, unnest({sql_entities(t)}) AS value FROM t" for t in TYPES) + ") SELECT doc_id, pii_type, value, count(*) AS n FROM v GROUP BY ALL"
 
 
 def pii_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +196,42 @@ def pii_masked(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conv_id", "turn", pii.decide(F.col("entities")).alias("decision"), pii.sanitize(F.col("text"), F.col("entities")).alias("sanitized"))
 
 
+def sql_places(pii_type: str, keys: str) -> str:
+    """Valid entities of a type of table t with their places: gaps and matches, added up."""
+    ord_, source, confidence = next((i, p.pattern, p.confidence) for i, p in enumerate(pii.PII_PATTERNS) if p.type == pii_type)
+    pattern, group = (sql_text("(?:^|[^0-9])(" + source.replace(r"(?<!\d)", "") + ")"), 1) if pii_type == "phone" else (sql_text(source), 0)
+    valid = SQL_VALID.get(pii_type, "true")
+    return f"""SELECT {keys}, {ord_} AS ord, '{pii_type}' AS pii_type, x AS value, s AS start, s + len(x) AS stop, {confidence}::DOUBLE AS confidence FROM (
+ SELECT {keys}, g[i] AS x, CAST(list_sum(list_transform(gaps[1:i], lambda z: len(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: len(z))), 0) + len(m[i]) - len(g[i]) AS INT) AS s FROM (
+ SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {keys}, regexp_extract_all(text, {pattern}, 0) AS m, regexp_extract_all(text, {pattern}, {group}) AS g, string_split_regex(text, {pattern}) AS gaps FROM t))) WHERE {valid}"""
+
+
+def sql_kept(table: str, keys: str) -> str:
+    """CTEs t (the table) and f: entities without overlaps, found one after the other."""
+    same = " AND ".join(f"n.{k} = k.{k}" for k in keys.split(", "))
+    own = ", ".join(f"n.{k}" for k in keys.split(", "))
+    return f"""t AS MATERIALIZED ({table}), e AS ({" UNION ALL ".join(sql_places(p, keys) for p in TYPES)}),
+ n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY start, stop DESC, ord) AS rn FROM e),
+ k AS (SELECT {keys}, rn, true AS keep, stop AS last FROM n WHERE rn = 1
+ UNION ALL SELECT {own}, n.rn, n.start >= k.last, CASE WHEN n.start >= k.last THEN n.stop ELSE k.last END FROM k JOIN n ON {same} AND n.rn = k.rn + 1),
+ f AS (SELECT n.* FROM n JOIN k ON {same} AND n.rn = k.rn WHERE keep)"""
+
+
+SQL_PII_ENTITIES = f"WITH RECURSIVE {sql_kept(SQL_DOCS, 'doc_id')} SELECT doc_id, pii_type, value, start, stop AS \"end\", confidence FROM f"
+SQL_MASK = (
+    "CASE pii_type WHEN 'email' THEN CASE WHEN instr(value, '@') <= 2 THEN '[EMAIL]' ELSE substr(value, 1, 1) || '***@' || substr(value, instr(value, '@') + 1) END"
+    " WHEN 'phone' THEN substr(value, 1, 4) || '****' || substr(value, greatest(len(value) - 1, 1)) WHEN 'iban' THEN substr(value, 1, 4) || ' **** **** ****'"
+    " WHEN 'credit_card' THEN '**** **** **** ' || substr(regexp_replace(value, '[^0-9]', '', 'g'), 13) ELSE '[' || upper(pii_type) || ']' END"
+)
+#: CTEs over turns: t, f, and p with each turn's masked text and what was found in it.
+SQL_MASKED = f"""WITH RECURSIVE {sql_kept(SQL_TURNS, 'conv_id, turn')},
+ p AS (SELECT conv_id, turn, string_agg(substr(text, "before" + 1, start - "before") || masked, '' ORDER BY start) || substr(any_value(text), max(stop) + 1) AS masked, count(*) AS n,
+ string_agg('{{"type":"pii_detected","scanner":"pii","score":' || confidence || ',"threshold":0.0,"message":"' || pii_type || ' detected","detail":"Found ' || pii_type || ' at position ' || start || '-' || stop || ' (action: mask)"}}', ',' ORDER BY start) AS said,
+ string_agg(pii_type || ' detected', '; ' ORDER BY start) AS reason
+ FROM (SELECT f.*, t.text, {SQL_MASK} AS masked, coalesce(lag(stop) OVER (PARTITION BY f.conv_id, f.turn ORDER BY start), 0) AS "before" FROM f JOIN t ON f.conv_id = t.conv_id AND f.turn = t.turn) GROUP BY conv_id, turn)"""
+SQL_PII_MASKED = f"{SQL_MASKED} SELECT t.conv_id, t.turn, CASE WHEN p.n > 0 THEN 'warn' ELSE 'allow' END AS decision, coalesce(p.masked, t.text) AS sanitized FROM t LEFT JOIN p ON t.conv_id = p.conv_id AND t.turn = p.turn"
+
+
 def pii_density_by_lang(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(read(spark, d, "documents").select("text", "lang"))
     n = lambda t: F.size(pii.detect_type(F.col("text"), t))
@@ -215,12 +255,34 @@ def scan_decisions(spark: SparkSession, d: str) -> DataFrame:
 SQL_SCAN = f"SELECT conv_id, turn, decision, decision = 'allow' AS safe, CASE WHEN raw >= 0.25::DOUBLE THEN 'heuristic' ELSE 'heuristic,pii' END AS scanners_run FROM (SELECT *, {SQL_CHAIN} AS decision FROM (SELECT *, {SQL_SCORE} AS raw FROM ({SQL_TURNS})))"
 
 
+def sql_hits(make) -> str:
+    """List of what `make` says of each rule that matches, in rule order."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {sql_rule(r)} THEN {sql_text(make(r))} END" for r in RULES) + "], lambda x: x IS NOT NULL)"
+
+
+def violation_json(r) -> str:
+    return json.dumps({"type": "prompt_injection", "scanner": "heuristic", "score": r.weight, "threshold": 0.25, "message": r.description, "detail": f"Rule {r.id} ({r.category})"}, separators=(",", ":"))
+
+
+#: After SQL_MASKED: v, every turn with the whole result of the chain.
+SQL_RESULTS = f"""{SQL_MASKED}, s AS MATERIALIZED (SELECT *, {SQL_SCORE} AS raw, {sql_hits(violation_json)} AS hits, {sql_hits(lambda r: r.description)} AS messages FROM t),
+ v AS (SELECT s.conv_id, s.turn, s.role, s.text, CASE WHEN raw >= 0.25::DOUBLE THEN 'block' WHEN raw >= 0.25::DOUBLE * 0.6::DOUBLE OR p.n > 0 THEN 'warn' ELSE 'allow' END AS decision,
+ CASE WHEN raw >= 0.25::DOUBLE THEN s.text ELSE coalesce(masked, s.text) END AS sanitized,
+ CAST(len(hits) + CASE WHEN raw >= 0.25::DOUBLE THEN 0 ELSE coalesce(p.n, 0) END AS INT) AS n_violations,
+ '[' || array_to_string(list_filter(list_concat(hits, [CASE WHEN raw < 0.25::DOUBLE THEN said END]), lambda x: x IS NOT NULL), ',') || ']' AS violations,
+ nullif(array_to_string(list_filter(list_concat(messages, [CASE WHEN raw < 0.25::DOUBLE THEN reason END]), lambda x: x IS NOT NULL), '; '), '') AS reason
+ FROM s LEFT JOIN p ON s.conv_id = p.conv_id AND s.turn = p.turn)"""
+
+
 def scan_results(spark: SparkSession, d: str) -> DataFrame:
     """Full results of the chain, violations as JSON."""
     done = chain.scan(turns(spark, d))
     return done.select("conv_id", "turn", "decision", "sanitized", F.size("violations").alias("n_violations"), F.to_json("violations").alias("violations"))
 
 
+SQL_SCAN_RESULTS = f"{SQL_RESULTS} SELECT conv_id, turn, decision, sanitized, n_violations, violations FROM v"
+
+
 def decision_rollup(spark: SparkSession, d: str) -> DataFrame:
     return chain.scan(documents(spark, d)).groupBy("lang", "decision").agg(F.count("*").alias("n"))
 
@@ -283,6 +345,25 @@ SELECT event_id, CASE WHEN danger OR denied OR unlisted OR drift THEN 'block' EL
   WHEN unlisted THEN 'Tool ''' || name || ''' not in allow list for agent ''' || agent_id || '''' WHEN drift THEN 'Tool ''' || name || ''' not in pinned manifest for server ''' || server_id || '''' ELSE '' END AS message FROM f"""
 
 
+def tool_policy_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The same by policies in tables, joined by row."""
+    agents, pins = policy.policy_tables(spark, POLICY)
+    done = policy.check_calls(tool_calls(spark, d), agents, pins, POLICY.dangerous)
+    kinds = F.array_join(F.transform("violations", lambda v: v["type"]), ",")
+    return done.select("event_id", "decision", kinds.alias("kinds"), F.coalesce(F.get(F.transform("violations", lambda v: v["message"]), F.lit(0)), F.lit("")).alias("message"))
+
+
+def session_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Limits of sessions, approvals and chains that calls break."""
+    calls = tool_calls(spark, d).withColumns({"session_id": F.concat("agent_id", F.lit("/"), F.to_date("ts").cast("string")), "depth": (F.col("event_id") % 11).cast("int")})
+    done = policy.limit_calls(calls, "session_id", "event_id", "depth", per_session=100, approvals=("send_*", "*_6"), max_depth=8)
+    return done.select("event_id", F.array_join("limits", ",").alias("limits"))
+
+
+SQL_LIMITS = f"""SELECT event_id, concat_ws(',', CASE WHEN nth > 100 THEN 'session_limit' END, CASE WHEN {sql_wild(("send_*", "*_6"))} THEN 'needs_approval' END, CASE WHEN event_id % 11 > 8 THEN 'chain_depth' END) AS limits
+ FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, CAST(ts AS DATE) ORDER BY event_id) AS nth FROM ({SQL_CALLS}))"""
+
+
 def manifest_pins(spark: SparkSession, d: str) -> DataFrame:
     tools = tool_calls(spark, d).where("server_id is not null").select("server_id", "name").distinct()
     return policy.pin_manifests(tools).select("server_id", "tools_hash", "tool_count", F.array_join("known_tools", ",").alias("known_tools"))
@@ -363,17 +444,33 @@ SQL_BUCKETS = f"""WITH c AS ({SQL_SPENT}), o AS (SELECT entity_id, ts, cost FROM
 SELECT o.entity_id, CAST(date_trunc(unit, ts) AS TIMESTAMP) AS bucket, round(sum(cost), 8) AS spend FROM o JOIN {SQL_BUDGETS} ON o.entity_id = b.entity_id GROUP BY ALL"""
 
 
+NOW = "2024-01-20 15:30:00"
+
+
+def current_spend(spark: SparkSession, d: str) -> DataFrame:
+    """What every budget has spent in its present bucket, also nothing."""
+    now = F.lit(NOW).cast("timestamp")
+    spent = cost.current_spend(cost_calls(spark, d).where(F.col("ts") <= now), cost.budgets_table(spark, {**BUDGETS, "idle": cost.Budget(1.0, 2.0, "daily")}), now)
+    return spent.select("entity_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("spend", 8).alias("spend"))
+
+
+SQL_CURRENT = f"""WITH c AS (SELECT * FROM ({SQL_SPENT}) WHERE ts <= TIMESTAMP '{NOW}'), o AS (SELECT entity_id, ts, cost FROM c UNION ALL SELECT 'global', ts, cost FROM c),
+ b AS (SELECT entity_id, unit, CAST(date_trunc(unit, TIMESTAMP '{NOW}') AS TIMESTAMP) AS bucket FROM (SELECT entity_id, unit FROM {SQL_BUDGETS} UNION ALL SELECT 'idle', 'day'))
+SELECT b.entity_id, bucket, round(coalesce(sum(cost), 0), 8) AS spend FROM b LEFT JOIN o ON o.entity_id = b.entity_id AND date_trunc(unit, ts) = bucket GROUP BY ALL"""
+
+
 def budget_check_running(spark: SparkSession, d: str) -> DataFrame:
     done = cost.check_running(cost_calls(spark, d), cost.budgets_table(spark, BUDGETS), "event_id")
-    said = F.when(F.col("check.warning").isNull(), "none").when(F.startswith("check.warning", F.lit("Hard")), "hard").otherwise("soft")
-    return done.select("event_id", "entity_id", F.col("check.allowed").alias("allowed"), F.round("check.current_spend", 8).alias("spend"), said.alias("state"))
+    return done.select("event_id", "entity_id", F.col("check.allowed").alias("allowed"), F.round("check.current_spend", 8).alias("spend"), F.coalesce("check.warning", F.lit("none")).alias("warning"))
 
 
 SQL_RUNNING = f"""
 WITH r AS (SELECT c.*, hard_limit, soft_limit, CASE WHEN hard_limit IS NULL THEN 0 ELSE coalesce(sum(cost) OVER (PARTITION BY c.entity_id, date_trunc(unit, ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS spend
- FROM ({SQL_SPENT}) c LEFT JOIN {SQL_BUDGETS} ON c.entity_id = b.entity_id)
+ FROM ({SQL_SPENT}) c LEFT JOIN {SQL_BUDGETS} ON c.entity_id = b.entity_id),
+ w AS (SELECT *, '$' || printf('%.2f', spend) || ' / $' || regexp_replace(CAST(hard_limit AS VARCHAR), '\\.0$', '') AS shown FROM r)
 SELECT event_id, entity_id, coalesce(spend + estimate <= hard_limit, true) AS allowed, round(spend, 8) AS spend,
- CASE WHEN hard_limit IS NULL THEN 'none' WHEN spend + estimate > hard_limit THEN 'hard' WHEN spend + estimate > soft_limit THEN 'soft' ELSE 'none' END AS state FROM r"""
+ CASE WHEN hard_limit IS NULL THEN 'none' WHEN spend + estimate > hard_limit THEN 'Hard budget limit reached: ' || shown
+ WHEN spend + estimate > soft_limit THEN 'Approaching budget: ' || shown || ' (' || CAST(floor(spend / hard_limit * 100 + 0.5) AS BIGINT) || '%)' ELSE 'none' END AS warning FROM w"""
 
 
 def budget_gated(spark: SparkSession, d: str) -> DataFrame:
@@ -422,15 +519,21 @@ DAY_MS = 86_400_000
 
 
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
-    looks = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    return cache.replay(looks, "user_id", "event_type", "ts", "event_id", ttl_ms=DAY_MS, capacity=100).select("event_id", "cached")
+    """A cache of 12 entries for each user, over 35 keys: entries expire and are evicted."""
+    key = F.concat("event_type", F.lit("_"), (F.col("event_id") % 7).cast("string"))
+    looks = read(spark, d, "events").select("event_id", "ts", "user_id", key.alias("key"))
+    return cache.replay(looks, "user_id", "key", "ts", "event_id", ttl_ms=5 * DAY_MS, capacity=12).select("event_id", "cached")
 
 
+#: A key is held while fewer than 12 other keys were looked up since it was.
 SQL_CACHE = f"""
-WITH RECURSIVE n AS (SELECT event_id, user_id, event_type, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
- g AS (SELECT event_id, user_id, event_type, rn, false AS cached, t + {DAY_MS} AS until FROM n WHERE rn = 1
- UNION ALL SELECT n.event_id, n.user_id, n.event_type, n.rn, n.t <= g.until, CASE WHEN n.t <= g.until THEN g.until ELSE n.t + {DAY_MS} END
- FROM g JOIN n ON n.user_id = g.user_id AND n.event_type = g.event_type AND n.rn = g.rn + 1)
+WITH RECURSIVE o AS (SELECT event_id, user_id, event_type || '_' || (event_id % 7) AS key, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+ l AS MATERIALIZED (SELECT *, lag(pos) OVER (PARTITION BY user_id, key ORDER BY pos) AS prev, row_number() OVER (PARTITION BY user_id, key ORDER BY pos) AS rn FROM o),
+ d AS (SELECT a.event_id, count(*) AS others FROM l a JOIN l b ON a.user_id = b.user_id AND b.pos > a.prev AND b.pos < a.pos AND coalesce(b.prev, 0) < a.prev GROUP BY a.event_id),
+ n AS MATERIALIZED (SELECT l.*, coalesce(others, 0) < 12 AS held FROM l LEFT JOIN d ON l.event_id = d.event_id),
+ g AS (SELECT event_id, user_id, key, rn, false AS cached, t + {5 * DAY_MS} AS until FROM n WHERE rn = 1
+ UNION ALL SELECT n.event_id, n.user_id, n.key, n.rn, n.held AND n.t <= g.until, CASE WHEN n.held AND n.t <= g.until THEN g.until ELSE n.t + {5 * DAY_MS} END
+ FROM g JOIN n ON n.user_id = g.user_id AND n.key = g.key AND n.rn = g.rn + 1)
 SELECT event_id, cached FROM g"""
 
 
@@ -445,13 +548,24 @@ SQL_DISTINCT = f"SELECT doc_id, {SQL_CHAIN} AS decision FROM (SELECT *, {SQL_SCO
 
 
 def audit_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = turns(spark, d).withColumns({"at": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 86_400), "user": F.concat(F.lit("user-"), F.col("conv_id").cast("string"))})
-    made = audit.records(chain.scan(rows), "text", "at", user="user")
-    return made.drop("id", "timestamp", "session_id", "agent_id", "model", "violations", "security_reason")
+    """Records of all turns; every fifth is a tool call."""
+    call = F.array(F.struct(F.lit("read_file").alias("name"), F.lit(None).cast("string").alias("server_id")))
+    rows = turns(spark, d).withColumns(
+        {
+            "at": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 86_400),
+            "user": F.concat(F.lit("user-"), F.col("conv_id").cast("string")),
+            "session": F.concat(F.lit("session-"), F.col("conv_id").cast("string")),
+            "agent": F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("agent-"), (F.col("conv_id") % 3).cast("string"))),
+            "calls": F.when(F.col("turn") % 5 == 0, call),
+        }
+    )
+    made = audit.records(chain.scan(rows), "text", "at", user="user", session="session", agent="agent", tools="calls", model=F.lit("gpt-4o-mini"))
+    return made.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("id")
 
 
-SQL_AUDIT = f"""SELECT substr(sha256('user-' || conv_id), 1, 16) AS user_id_hash, 'chat' AS request_type, sha256(text) AS input_hash, CAST(ceil(length(text) / 4) AS BIGINT) AS input_token_count,
- {SQL_CHAIN} AS security_decision, CAST(date_trunc('month', make_timestamp((1700000000 + conv_id * 86400) * 1000000)) AS DATE) AS created_month FROM (SELECT *, {SQL_SCORE} AS raw FROM ({SQL_TURNS}))"""
+SQL_AUDIT = f"""{SQL_RESULTS} SELECT make_timestamp((1700000000 + conv_id * 86400) * 1000000) AS timestamp, 'session-' || conv_id AS session_id, CASE WHEN conv_id % 3 > 0 THEN 'agent-' || (conv_id % 3) END AS agent_id,
+ substr(sha256('user-' || conv_id), 1, 16) AS user_id_hash, CASE WHEN turn % 5 = 0 THEN 'tool_call' ELSE 'chat' END AS request_type, sha256(text) AS input_hash, CAST(ceil(length(text) / 4) AS BIGINT) AS input_token_count,
+ 'gpt-4o-mini' AS model, decision AS security_decision, reason AS security_reason, violations, CAST(date_trunc('month', make_timestamp((1700000000 + conv_id * 86400) * 1000000)) AS DATE) AS created_month FROM v"""
 
 
 def audit_by_month(spark: SparkSession, d: str) -> DataFrame:
@@ -508,6 +622,16 @@ def routed_requests(spark: SparkSession, d: str) -> DataFrame:
 SQL_ROUTED = f"SELECT CASE decision WHEN 'block' THEN '403' WHEN 'warn' THEN 'warn' ELSE 'pass' END AS route, count(*) AS n FROM (SELECT {SQL_CHAIN} AS decision FROM (SELECT *, {SQL_SCORE} AS raw FROM ({SQL_TURNS}) WHERE (conv_id + turn) % 4 IN (0, 2) AND (conv_id + turn) % 3 <> 0)) GROUP BY 1"
 
 
+def blocked_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Status and JSON body of every request that is blocked."""
+    done = extract.routed(chain.scan(turns(spark, d)))
+    return done.where("status is not null").select("conv_id", "turn", "status", "response")
+
+
+SQL_BLOCKED = f"""WITH s AS (SELECT *, {SQL_SCORE} AS raw, {sql_hits(lambda r: json.dumps({"type": "prompt_injection", "message": r.description}, separators=(",", ":")))} AS hits FROM ({SQL_TURNS}))
+SELECT conv_id, turn, 403 AS status, '{{"error":"Request blocked","decision":"block","violations":[' || array_to_string(hits, ',') || ']}}' AS response FROM s WHERE raw >= 0.25::DOUBLE"""
+
+
 def rewritten_turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversations with user turns replaced by their sanitized text."""
     said = turns(spark, d)
@@ -515,6 +639,30 @@ def rewritten_turns(spark: SparkSession, d: str) -> DataFrame:
     return extract.rewrite(said, clean, ["conv_id", "turn"]).select("conv_id", "turn", "role", "text")
 
 
+SQL_REWRITTEN = f"{SQL_RESULTS} SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN sanitized ELSE text END AS text FROM v"
+
+
+def system_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on system prompts, which are screened by themselves."""
+    done = extract.scan_system(extract.conversations(turns(spark, d)))
+    return done.select("conv_id", "decision", F.size("violations").alias("n_violations"))
+
+
+SQL_SYSTEM = f"""WITH t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM ({SQL_TURNS}) WHERE role = 'system' AND text <> '' GROUP BY conv_id)
+SELECT conv_id, {sql_decision('raw', '0.25::DOUBLE')} AS decision, CAST(len(hits) AS INT) AS n_violations FROM (SELECT *, {SQL_SCORE} AS raw, {sql_hits(lambda r: r.id)} AS hits FROM t)"""
+
+
+def stream_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of streams: cost of what was used, and what the screening of the whole output says."""
+    said = turns(spark, d).select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), "text", F.length("text").alias("in_tok"), F.when(F.col("turn") % 2 == 1, F.length("text")).alias("out_tok"), F.lit("gpt-4o-mini").alias("model"))
+    ended = chunks.finish(chunks.reassemble(said, keep=["model"]))
+    return ended.select("stream_id", F.round("cost", 8).alias("cost"), F.col("decision").alias("output_decision"))
+
+
+SQL_STREAM_COSTS = f"""WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, arg_max(length(text), turn) AS in_tok, arg_max(length(text), turn) FILTER (turn % 2 = 1) AS out_tok FROM ({SQL_TURNS}) GROUP BY conv_id)
+SELECT conv_id AS stream_id, round(coalesce(in_tok, 0) / 1e6::DOUBLE * {PRICES["gpt-4o-mini"][0]}::DOUBLE + coalesce(out_tok, 0) / 1e6::DOUBLE * {PRICES["gpt-4o-mini"][1]}::DOUBLE, 8) AS cost, {SQL_CHAIN} AS output_decision FROM (SELECT *, {SQL_SCORE} AS raw FROM t)"""
+
+
 def stream_reassembly(spark: SparkSession, d: str) -> DataFrame:
     said = read(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), "text", F.length("text").alias("in_tok"), F.when(F.col("turn") % 2 == 1, F.length("text")).alias("out_tok"))
     return chunks.reassemble(said)
@@ -529,10 +677,10 @@ QUERIES = {
         injection_rule_hits, injection_scores, injection_decision_by_preset, structural_signals,
         pii_type_counts, pii_values, pii_entities, pii_masked, pii_density_by_lang,
         scan_decisions, scan_results, decision_rollup, scan_distinct,
-        tool_policy, manifest_pins, manifest_verify, tool_call_rates,
-        cost_by_model, budget_bucket_spend, budget_check_running, budget_gated, spend_anomalies,
+        tool_policy, tool_policy_tables, manifest_pins, manifest_verify, tool_call_rates, session_limits,
+        cost_by_model, budget_bucket_spend, current_spend, budget_check_running, budget_gated, spend_anomalies,
         canary_leaks, cache_hits, audit_records, audit_by_month,
-        user_content, extract_bodies, routed_requests, rewritten_turns, stream_reassembly,
+        user_content, extract_bodies, routed_requests, blocked_responses, rewritten_turns, system_prompts, stream_reassembly, stream_costs,
     )
 }
 
@@ -543,6 +691,16 @@ ORACLES = {
     "structural_signals": f"SELECT doc_id, {SQL_NEWLINES} > 15 AS newlines, {SQL_HEADERS} > 3 AS headers, {SQL_MARKERS} > 2 AS role_markers, length(text) > 5000 AS long_text, round({SQL_STRUCTURE}, 6) AS score FROM documents",
     "pii_type_counts": SQL_TYPE_COUNTS,
     "pii_values": SQL_VALUES,
+    "pii_entities": SQL_PII_ENTITIES,
+    "pii_masked": SQL_PII_MASKED,
+    "scan_results": SQL_SCAN_RESULTS,
+    "rewritten_turns": SQL_REWRITTEN,
+    "blocked_responses": SQL_BLOCKED,
+    "system_prompts": SQL_SYSTEM,
+    "stream_costs": SQL_STREAM_COSTS,
+    "tool_policy_tables": SQL_TOOLS,
+    "session_limits": SQL_LIMITS,
+    "current_spend": SQL_CURRENT,
     "pii_density_by_lang": SQL_DENSITY,
     "scan_decisions": SQL_SCAN,
     "decision_rollup": SQL_ROLLUP,

@@ -7,6 +7,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 AUDIT_SCHEMA = "id string, timestamp timestamp, session_id string, agent_id string, user_id_hash string, request_type string, input_hash string, input_token_count bigint, model string, security_decision string, security_reason string, violations string, created_month date"
 COST_SCHEMA = "entity_id string, model string, input_tokens bigint, output_tokens bigint, cost decimal(10,6), timestamp timestamp"
@@ -34,6 +36,52 @@ def audit_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, _: write_audit(batch, path)
 
 
+def console_sink(batch: DataFrame, _: int) -> None:
+    """foreachBatch writer that shows decisions by count, never the records."""
+    batch.groupBy("created_month", "request_type", "security_decision").count().orderBy("created_month").show(truncate=False)
+
+
+def memory_sink(spark: SparkSession, name: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that appends to a table of the session's catalog, for tests."""
+    return lambda batch, _: batch.write.mode("append").saveAsTable(name)
+
+
+def flush_audit(records: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds", rows: int = 100, available_now: bool = False) -> StreamingQuery:
+    """Flushes a stream of audit records in batches: by time, whatever came; a batch of more than
+    `rows` records is dealt to files of `rows` thousand records at most (A6)."""
+    out = records.writeStream.foreachBatch(lambda batch, n: write(batch.repartition(max(1, -(-batch.count() // (rows * 1000)))), n)).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
+
+
+def write_audit_by(records: DataFrame, path: str, column: str, buckets: int = 64) -> None:
+    """Appends records laid out for look-ups by session, agent or decision (A11): by month and a hash
+    bucket of the column, sorted by it, so that min and max of row groups prune."""
+    laid = records.withColumn("bucket", F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int"))
+    laid.repartition("created_month", "bucket").sortWithinPartitions("created_month", "bucket", column).write.mode("append").partitionBy("created_month", "bucket").parquet(path)
+
+
+def read_audit_by(spark: SparkSession, path: str, column: str, value: str, buckets: int = 64) -> DataFrame:
+    """Records with a value of the column that write_audit_by() laid them out by."""
+    bucket = F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets)).cast("int")
+    return spark.read.schema(f"{AUDIT_SCHEMA}, bucket int").parquet(path).where((F.col("bucket") == bucket) & (F.col(column) == value)).drop("bucket")
+
+
+def write_costs(records: DataFrame, path: str) -> None:
+    """Appends (entity_id, model, input_tokens, output_tokens, cost, ts) as the cost table, by day."""
+    row = records.withColumn("timestamp", F.col("ts")).select(*[F.col(f.name).cast(f.dataType) for f in schema_of(COST_SCHEMA)])
+    row.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def write_pins(pins: DataFrame, path: str) -> None:
+    """Replaces the table of pins, with the time of pinning."""
+    row = pins.withColumn("pinned_at", F.current_timestamp())
+    row.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(PIN_SCHEMA)]).write.mode("overwrite").parquet(path)
+
+
+def schema_of(text: str) -> StructType:
+    return StructType.fromDDL(text)
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).parquet(path)
 

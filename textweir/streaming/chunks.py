@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,17 +11,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from textweir.operators.chain import ScanConfig, scan
-from textweir.operators.cost import bucket
+from textweir.operators.cost import bucket, cost
 
 
-def reassemble(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text") -> DataFrame:
+def reassemble(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Whole texts from chunks in a table, in order; null texts add nothing (R1, R3). The last
-    non-null usage wins (R4)."""
+    non-null usage wins (R4), and the last value of the columns to `keep`."""
     parts = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.coalesce(text, F.lit("")).alias("text"))))
-    usage = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in ("in_tok", "out_tok") if c in chunks.columns]
+    usage = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in ("in_tok", "out_tok", *keep) if c in chunks.columns]
     return chunks.groupBy(F.col(stream).alias("stream_id")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.count("*").alias("n_chunks"), *usage)
 
 
+def finish(streams: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """What the end of a stream sets off: cost of its usage, and a scan of the whole output that
+    warns but changes nothing that was sent (R5, R7). `streams` has text and model, and in_tok and
+    out_tok, which count 0 where a stream gave no usage. Adds cost, decision and violations; works
+    on tables and on streams of reassembled texts alike."""
+    used = [F.coalesce(c, F.lit(0)) if c in streams.columns else F.lit(0) for c in ("in_tok", "out_tok")]
+    scanned = scan(streams, "text", config).drop("safe", "sanitized", "scanners_run")
+    return scanned.withColumn("cost", cost(F.col("model"), *used))
+
+
 def text_events(events: DataFrame) -> DataFrame:
     """Text deltas of typed events; input usage from the start, output usage from the last delta."""
     delta = (F.col("type") == "content_block_delta") & (F.col("delta_type") == "text_delta")
