@@ -38,7 +38,7 @@ def clashing(docs):
     """The same rows with columns named like those that operators add."""
     from pyspark.sql import functions as F
 
-    names = "id key size shard slot pii kept ratio n_words tokens copies domain fp component_id starts bounds route anchor first words"
+    names = "id key size shard slot pii kept ratio n_words tokens copies domain fp component_id starts bounds route anchor first words whole rest _whole _rest _end _left _lang _source _draw _bucket _sum _words _lines _hashes _windows _sorted _twice _placed _again _good _own _judged _buckets _spans"
     return docs.withColumns({n: F.lit("x") for n in names.split()})
 
 

@@ -108,6 +108,39 @@ def test_trusted_documents_score_as_held_out(spark):
         assert r.ratio == pytest.approx(expected, abs=1e-9)
 
 
+def test_clashing_columns_stay(spark, docs, clashing):
+    """Every column of the input comes back as it was, beside what operators add."""
+    from textweir.llm import mixing, pii
+
+    own = [c for c in clashing.columns if c not in docs.columns]
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id")
+    for made, added in (
+        (quality.rule_counts(clashing), {"n_words"}),
+        (quality.judge(clashing, trusted), {"n_words", "ratio", "kept"}),
+        (pii.mask_pii(clashing), set()),
+        (mixing.mix(clashing, 0.9, {}), {"domain", "tokens", "copies"}),
+    ):
+        assert set(clashing.columns) <= set(made.columns)
+        assert made.count() and made.where(" or ".join(f"{c} <> 'x'" for c in own if c not in added)).count() == 0
+
+
+def test_many_spans(spark):
+    """100,000 e-mails in a text, in seconds: all found, scored by the words before them, masked."""
+    import time
+
+    from textweir.llm import pii
+
+    texts = ["a.b@c.de " * 100_000, "mail\ue000x..y@z.io " + "1 2 " * 50_000, "write " + "1.2.3.4 " * 9 + "a@b.cd 4111 1111 1111 1111+49 30 1234567a@b.cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    began = time.time()
+    rows = {r.doc_id: r.pii for r in pii.find_pii(df).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask_pii(df).collect()}
+    assert time.time() - began < 90
+    assert len(rows[0].email) == 100_000 and masked[0] == "[EMAIL] " * 100_000
+    assert [(m.value, m.start, m.score) for m in rows[1].email] == [("x..y@z.io", 5, 1.0)]
+    assert masked[2] == "write " + "[IP] " * 9 + "[EMAIL] [CARD][PHONE]" and rows[2].email[0].score == 0.7
+
+
 # Passages
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textweir.functions.names import fresh
+
 from .common import staged, words
 
 LEVELS = ("domain", "lang", "source")
@@ -95,48 +97,48 @@ def mix(
     texts' hash. An empty table gives an empty result. Added columns: domain, tokens, copies;
     input columns of these names are replaced.
     """
+    lang, source, whole, rest, drawn_, bucket, end, left, sum_ = fresh(docs, "_lang", "_source", "_whole", "_rest", "_draw", "_bucket", "_end", "_left", "_sum")
     names = {
         "domain": domain_of(F.col("source")) if domain is None else domain,
-        "_lang": F.coalesce("lang", F.lit("")),
-        "_source": F.coalesce("source", F.lit("")),
+        lang: F.coalesce("lang", F.lit("")),
+        source: F.coalesce("source", F.lit("")),
         "tokens": F.greatest(F.size(words(F.col(text_col))), F.lit(1)).cast("long"),
     }
     named = docs.withColumns(names)
-    keys = [F.col("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source")]
+    keys = [F.col("domain"), F.col(lang).alias("lang"), F.col(source).alias("source")]
     sizes = staged(named.groupBy(*keys).agg(F.sum("tokens").alias("held")))
     leaves = sizes.withColumn("room", F.col("held") * epochs)
     total = F.floor(F.sum("held") * F.lit(share))
     budget = quotas(leaves.select(*LEVELS, "room", "held"), total, weights)
-    plan = (
-        sizes.join(budget, list(LEVELS))
-        .withColumn("quota", F.floor(F.col("budget") + 1e-6).cast("long"))
-        .select("domain", F.col("lang").alias("_lang"), F.col("source").alias("_source"), "held", "quota", F.floor(F.col("quota") / F.col("held")).cast("long").alias("whole"))
-        .withColumn("rest", F.col("quota") - F.col("whole") * F.col("held"))
+    quota = F.floor(F.col("budget") + 1e-6).cast("long")
+    times = F.floor(quota / F.col("held")).cast("long")
+    by = ["domain", lang, source]
+    plan = sizes.join(budget, list(LEVELS)).select(
+        "domain", F.col("lang").alias(lang), F.col("source").alias(source), times.alias(whole), (quota - times * F.col("held")).alias(rest)
     )
     plan = staged(plan)
-    by = ["domain", "_lang", "_source"]
     small = lambda df: F.broadcast(df) if plan.count() <= BROADCAST_LEAVES else df
-    drawn = lambda df: df.withColumn("_draw", draw(seed, F.col("whole"), id_col)).withColumn("_bucket", F.substring("_draw", 1, DIGITS))
+    drawn = lambda df: df.withColumn(drawn_, draw(seed, F.col(whole), id_col)).withColumn(bucket, F.substring(drawn_, 1, DIGITS))
     # Where the prefix of the last epoch ends: the bucket, and the tokens left for it.
-    per_bucket = drawn(named.join(small(plan), by)).groupBy(*by, "rest", "_bucket").agg(F.sum("tokens").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("_bucket")
+    per_bucket = drawn(named.join(small(plan), by)).groupBy(*by, rest, bucket).agg(F.sum("tokens").alias("n"))
+    upto = Window.partitionBy(*by).orderBy(bucket)
     ends = (
         per_bucket.withColumn("upto", F.sum("n").over(upto))
-        .where(F.col("upto") > F.col("rest"))
+        .where(F.col("upto") > F.col(rest))
         .groupBy(*by)
-        .agg(F.min(F.struct("_bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("end"))
-        .select(*by, F.col("end._bucket").alias("_end"), F.col("end.left").alias("_left"))
+        .agg(F.min(F.struct(F.col(bucket).alias("bucket"), (F.col(rest) - F.col("upto") + F.col("n")).alias("left"))).alias("end"))
+        .select(*by, F.col("end.bucket").alias(end), F.col("end.left").alias(left))
     )
-    plan = staged(plan.join(ends, by, "left").drop("held", "quota", "rest"))
+    plan = staged(plan.join(ends, by, "left").drop(rest))
     placed = drawn(named.join(small(plan), by))
-    inside = F.col("_bucket") < F.col("_end")
-    clear = placed.where(F.col("_end").isNull() | (F.col("_bucket") != F.col("_end"))).withColumn("copies", F.col("whole") + F.when(inside, 1).otherwise(0))
-    order = Window.partitionBy(*by).orderBy("_draw", id_col, F.xxhash64(text_col))
+    inside = F.col(bucket) < F.col(end)
+    clear = placed.where(F.col(end).isNull() | (F.col(bucket) != F.col(end))).withColumn("copies", F.col(whole) + F.when(inside, 1).otherwise(0))
+    order = Window.partitionBy(*by).orderBy(drawn_, id_col, F.xxhash64(text_col))
     edge = (
-        placed.where(F.col("_bucket") == F.col("_end"))
-        .withColumn("_sum", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("copies", F.col("whole") + F.when(F.col("_sum") <= F.col("_left"), 1).otherwise(0))
-        .drop("_sum")
+        placed.where(F.col(bucket) == F.col(end))
+        .withColumn(sum_, F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("copies", F.col(whole) + F.when(F.col(sum_) <= F.col(left), 1).otherwise(0))
+        .drop(sum_)
     )
     chosen = clear.unionByName(edge).where("copies > 0")
-    return chosen.drop("_lang", "_source", "_draw", "_bucket", "_end", "_left", "whole")
+    return chosen.drop(lang, source, drawn_, bucket, end, left, whole)

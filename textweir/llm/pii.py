@@ -14,11 +14,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textweir.functions.arrays import blocks, cut, let, matches, running
+from textweir.functions.names import fresh
+
 #: Kinds that the contract fixes, in its order, and those that this method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
-#: Code points before a span in which context words count.
-CONTEXT = 40
+#: Code points before a span in which context words count, and matches before it that hold as many:
+#: none has fewer than two, nor has the text between two.
+CONTEXT, BEFORE = 40, 20
+#: Stands for a dot in a local part, and for itself where a text has it.
+DOT, OTHER = "\ue000", "\ue001"
 SPAN = "array<struct<start:int,end:int,value:string,score:double>>"
 
 
@@ -77,8 +83,8 @@ ALL = (
         "email",
         lambda t: F.contains(t, F.lit("@")),
         # A dot that no domain can hold becomes another character of the local part.
-        lambda t: F.regexp_replace(t, r"\.(?![A-Za-z0-9-])", "%"),
-        r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.)[A-Za-z0-9.-]++",
+        lambda t: F.regexp_replace(F.translate(t, DOT, OTHER), r"\.(?![A-Za-z0-9-])", DOT),
+        rf"(?:\G|(?<![A-Za-z0-9._%+{DOT}-]))[A-Za-z0-9._%+{DOT}-]++@(?=[A-Za-z0-9-]++\.)[A-Za-z0-9.-]++",
         lambda v: F.lit(True),
         r"(?i)mail|contact|write",
         0.7,
@@ -134,41 +140,26 @@ ALL = (
 )
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches from left to right: (start, end, value), in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-        F.concat(
-            a["out"],
-            F.array(
-                F.struct(
-                    (a["at"] + x["gap"]).alias("start"),
-                    (a["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                    x["value"].alias("value"),
-                )
-            ),
-        ).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
-
-
 def spans_of(kind: Kind, text: Column) -> Column:
     """Confirmed and scored spans of one kind."""
 
-    def scored(m: Column) -> Column:
-        before = F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.context), BONUS).otherwise(0.0)
-        value = F.substring(text, m["start"] + 1, m["end"] - m["start"])
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+    def scored(found: Column) -> Column:
+        def of(tails: Column) -> Column:
+            numbered = F.transform(found, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["gap"].alias("gap"), F.translate(m["value"], DOT, ".").alias("value"), i.alias("i")))
+
+            def made(m: Column) -> Column:
+                first = F.greatest(m["i"] - BEFORE, F.lit(0))
+                before = F.right(F.concat(F.array_join(F.slice(tails, first + 1, m["i"] - first), ""), m["gap"]), F.lit(CONTEXT))
+                score = F.lit(kind.score) + F.when(before.rlike(kind.context), BONUS).otherwise(0.0)
+                return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+
+            return F.transform(F.filter(numbered, lambda m: kind.valid(m["value"])), made)
 
-    confirmed = F.filter(matches(kind.rewrite(text), kind.pattern), lambda m: kind.valid(m["value"]))
-    found = F.filter(F.transform(confirmed, scored), lambda m: m["score"] >= kind.least)
-    return F.when(kind.hint(text), found).otherwise(F.array().cast(SPAN))
+        tail = lambda m: F.concat(F.right(m["gap"], F.lit(CONTEXT)), F.right(m["value"], F.lit(CONTEXT)))
+        return let(F.transform(found, tail), of)
+
+    kept = F.filter(let(matches(kind.rewrite(text), kind.pattern), scored), lambda m: m["score"] >= kind.least)
+    return F.when(kind.hint(text), kept).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,41 +183,36 @@ def listed(kinds: tuple[str, ...], spans: Column) -> Column:
     return F.array_join(F.concat(*map(named, kinds)), ",")
 
 
+def scores(kinds: tuple[str, ...], spans: Column) -> Column:
+    """Scores of all spans in the order of listed(), comma-joined."""
+    return F.array_join(F.concat(*[F.transform(spans[kind], lambda m: F.format_string("%.1f", m["score"])) for kind in kinds]), ",")
+
+
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Replaces every span found by find_pii() with its kind in brackets, such as [EMAIL].
 
     Spans of different kinds that overlap are merged and take the name of the first; a null text
-    stays null. Columns stay as they are otherwise.
+    stays null. Columns stay as they are otherwise, whatever their names; equal rows are treated
+    alike; an empty table stays empty.
     """
-    found = find_pii(docs, text_col).withColumnRenamed("pii", "_pii")
     text = F.col(text_col)
-
-    def named(kind: str) -> Column:
-        label = F.lit(f"[{kind.upper()}]").alias("kind")
-        return F.transform(F.col("_pii")[kind], lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), label))
-
-    spans = F.sort_array(F.concat(*map(named, KINDS)))
-    kept = "array<struct<start:int,end:int,kind:string>>"
-    # A span that begins before the last one ends is swallowed; ends only grow.
-    step = lambda a, m: F.struct(
-        F.greatest(a["end"], m["end"]).alias("end"),
-        F.concat(
-            a["out"],
-            F.when(
-                m["end"] > a["end"],
-                F.concat(
-                    F.substring(text, a["end"] + 1, F.greatest(m["start"] - a["end"], F.lit(0))),
-                    F.when(m["start"] >= a["end"], m["kind"]).otherwise(""),
-                ),
-            ).otherwise(""),
-        ).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
-    done = F.aggregate(F.col("_spans"), start, step)
-    joined = F.concat(F.col("_done")["out"], F.substr(text, F.col("_done")["end"] + 1))
-    return (
-        found.withColumn("_spans", spans.cast(kept))
-        .withColumn("_done", F.when(F.size("_spans") > 0, done))
-        .withColumn(text_col, F.when(F.size("_spans") > 0, joined).otherwise(text))
-        .drop("_pii", "_spans", "_done")
-    )
+    (helper,) = fresh(docs, "_spans")
+    plain = F.coalesce(text, F.lit(""))
+
+    def named(kind: Kind) -> Column:
+        label = F.lit(f"[{kind.name.upper()}]").alias("kind")
+        return F.transform(spans_of(kind, plain), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), label))
+
+    def spliced(spans: Column, parts: Column, upto: Column) -> Column:
+        # Beside each span, where the ones before it end; behind the last, where all end.
+        pairs = F.zip_with(spans, F.concat(F.array(F.lit(0)), upto), lambda m, end: F.struct(m.alias("m"), end.alias("end")))
+        begins = F.filter(pairs, lambda p: p["m"].isNull() | (p["m"]["start"] >= p["end"]))
+        rest = lambda p: F.coalesce(p["m"]["start"] - p["end"], F.lit(1 << 30))
+        return F.array_join(F.transform(begins, lambda p: F.concat(cut(parts, p["end"], rest(p)), F.coalesce(p["m"]["kind"], F.lit("")))), "")
+
+    ends = running(F.transform(helper, lambda m: m["end"]), lambda a, b: F.greatest(a, b))
+    masked = let(ends, lambda upto: let(blocks(text), lambda parts: spliced(F.col(helper), parts, upto)))
+    spans = F.sort_array(F.concat(*map(named, ALL)))
+    # A generator binds the spans, so that they are found once.
+    found = docs.select("*", F.explode(F.array(spans)).alias(helper))
+    return found.withColumn(text_col, F.when(F.size(helper) > 0, masked).otherwise(text)).drop(helper)

@@ -24,12 +24,12 @@ def op2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import BASE_KINDS, KINDS, find_pii, listed
+    from .pii import BASE_KINDS, KINDS, find_pii, listed, scores
 
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.col("pii")[k]).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(
-        "doc_id", *counts, F.sha2(listed(BASE_KINDS, F.col("pii")), 256).alias("base_sha256"), listed(KINDS, F.col("pii")).alias("spans")
+        "doc_id", *counts, F.sha2(listed(BASE_KINDS, F.col("pii")), 256).alias("base_sha256"), listed(KINDS, F.col("pii")).alias("spans"), scores(KINDS, F.col("pii")).alias("scores")
     )
 
 
