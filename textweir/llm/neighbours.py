@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import ceil, log2
 
 import numpy as np
@@ -13,43 +14,47 @@ from pyspark.sql.window import Window
 
 from .common import discard, staged
 
-#: Neighbours of a node, reverse neighbours drawn for a join (on average), joins at most, and the
-#: share of new neighbours in the graph under which joins end.
-DEGREE, REVERSE, ROUNDS, SETTLED = 32, 16, 5, 0.02
+#: Neighbours of a node, reverse neighbours of a node that a join draws, and the share of new
+#: neighbours in the graph under which joins end.
+DEGREE, REVERSE, SETTLED = 32, 32, 0.01
 #: Random trees that begin the graph and vectors of a leaf; the best partners that a vector keeps
 #: from one leaf, and from one join.
-TREES, LEAF, FIRST, PARTNERS = 20, 1024, 8, 8
-#: Of a search: nodes kept, nodes whose neighbours are visited in a round, and rounds.
-KEPT, EXPANDED, STEPS = 96, 40, 4
+TREES, LEAF, FIRST, PARTNERS = 6, 64, 16, 12
+#: Of a search: nodes kept, and nodes whose neighbours are visited in a round.
+KEPT, EXPANDED = 224, 64
 #: Products computed at once, and bytes of queries up to which they are broadcast.
 CELLS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec array<double>) of the rows that take part: not null, not all zero, no component null
-    or not finite, and as many components as the longest vector has."""
+    """(id, vec array<double>) of the rows that take part: neither null nor all zero, and without a
+    component that is null or not finite."""
     each = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = each.where(~bad & F.exists("vec", lambda x: x != 0))
-    size = good.agg(F.max(F.size("vec"))).head()[0] or 0
-    return good.where(F.size("vec") == size)
+    return each.where(~bad & F.exists("vec", lambda x: x != 0))
 
 
 def packed(vectors: DataFrame) -> DataFrame:
-    """(id, half binary): components as half floats, for the joins only."""
+    """(id, packed binary): components as 32-bit floats, for the joins only. All are divided by the
+    largest of the table, which keeps every order and leaves none too large; shorter vectors are
+    filled with zeros."""
+    largest, size = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).head()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "half": [np.asarray(v, np.float16).tobytes() for v in batch["vec"]]})
+            rows = np.zeros((len(batch), size), np.float32)
+            for row, vec in zip(rows, batch["vec"]):
+                row[: len(vec)] = np.asarray(vec) / largest
+            yield pd.DataFrame({"id": batch["id"], "packed": [row.tobytes() for row in rows]})
 
-    return vectors.mapInPandas(run, "id long, half binary")
+    return vectors.mapInPandas(run, "id long, packed binary")
 
 
-def matrix(halves: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(halves), np.float16).reshape(len(halves), -1).astype(np.float32)
+def matrix(points: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(points), np.float32).reshape(len(points), -1)
 
 
-def leaves(halves: DataFrame, n: int, seed: int) -> DataFrame:
+def leaves(points: DataFrame, n: int, seed: int) -> DataFrame:
     """(x, y): vectors y in the leaves x of TREES random trees, leaves of about LEAF vectors.
 
     A leaf is named by the sides of random planes; large leaves, such as those of many equal
@@ -59,24 +64,24 @@ def leaves(halves: DataFrame, n: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points = matrix(batch["half"])
+            points = matrix(batch["packed"])
             planes = np.random.default_rng(seed).standard_normal((points.shape[1], TREES, depth)).astype(np.float32)
             sides = np.einsum("nd,dtb->ntb", points, planes) > 0
             key = sides.astype(np.int64) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros((len(points), TREES), np.int64)
             key += np.arange(TREES, dtype=np.int64) << np.int64(depth)
             yield pd.DataFrame({"leaf": key.ravel(), "y": np.repeat(batch["id"].to_numpy(), TREES)})
 
-    members = staged(halves.mapInPandas(run, "leaf long, y long"))
+    members = staged(points.mapInPandas(run, "leaf long, y long"))
     cuts = members.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).alias("cuts")).where("cuts > 1")
     cut = F.pmod(F.xxhash64("y", "leaf"), F.coalesce("cuts", F.lit(1)))
     return members.join(cuts, "leaf", "left").select(F.xxhash64("leaf", cut).alias("x"), "y")
 
 
 def join_block(rows: pd.DataFrame, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (x, y, fresh, half, least) sorted by x: for each y its best partners with the same
+    """Of rows (x, y, fresh, packed, least) sorted by x: for each y its best partners with the same
     x, of pairs with a fresh end and products above y's least."""
     x, ids = rows["x"].to_numpy(), rows["y"].to_numpy()
-    fresh, least, points = rows["fresh"].to_numpy(bool), rows["least"].to_numpy(np.float32), matrix(rows["half"])
+    fresh, least, points = rows["fresh"].to_numpy(bool), rows["least"].to_numpy(np.float32), matrix(rows["packed"])
     starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     sizes = np.diff(np.append(starts, len(x)))
     out: list[tuple[np.ndarray, ...]] = []
@@ -103,7 +108,7 @@ def join_block(rows: pd.DataFrame, partners: int) -> tuple[np.ndarray, np.ndarra
 
 
 def joined(lists: DataFrame, partners: int) -> DataFrame:
-    """Candidates (u, v, s) from lists (x, y, fresh, half, least): members of a list meet."""
+    """Candidates (u, v, s) from lists (x, y, fresh, packed, least): members of a list meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -118,7 +123,7 @@ def joined(lists: DataFrame, partners: int) -> DataFrame:
             u, v, s = join_block(rest, partners)
             yield pd.DataFrame({"u": u, "v": v, "s": s})
 
-    ordered = lists.select("x", "y", "fresh", "half", "least").repartition("x").sortWithinPartitions("x", "y")
+    ordered = lists.select("x", "y", "fresh", "packed", "least").repartition("x").sortWithinPartitions("x", "y")
     return ordered.mapInPandas(run, "u long, v long, s float")
 
 
@@ -129,25 +134,31 @@ def best(edges: DataFrame, degree: int) -> DataFrame:
     return each.withColumn("r", rank).where(F.col("r") <= degree).drop("r")
 
 
-def nn_descent(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
+def reversed_edges(graph: DataFrame, most: int, salt: int) -> DataFrame:
+    """Edges of a graph turned round, for nodes that many point to a draw of `most`: ranks by a hash
+    within a node, which Spark cuts before and after the shuffle."""
+    drawn = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v", F.lit(salt))))
+    return graph.withColumn("r", drawn).where(F.col("r") <= most).drop("r")
+
+
+def nn_descent(vectors: DataFrame, degree: int = DEGREE, seed: int = 11) -> DataFrame:
     """Edges (u, v) to nearly the `degree` nearest neighbours by inner product of vectors (id, vec).
 
-    Begins with the best partners in random leaves. In a round, the neighbours and a draw of the
-    reverse neighbours of each node meet (neighbours of neighbours), where one is fresh; pairs that
-    beat what either has become candidates. Lists are bounded by the degree and, for nodes that
-    many point to, by the draw. Products are of half floats; searches use the original values.
+    Begins with the best partners in the small leaves of a few random trees. In a round, the
+    neighbours and a draw of the reverse neighbours of each node meet (neighbours of neighbours),
+    where one is fresh; pairs that beat what either has become candidates. Rounds go on until
+    fewer than SETTLED of the edges are new; as edges only get better, they end. Lists are bounded
+    by the degree and the draw.
     """
-    halves = staged(packed(vectors))
-    n = halves.count()
-    first = leaves(halves, n, seed).join(halves.withColumnRenamed("id", "y"), "y")
-    start = joined(first.withColumns({"fresh": F.lit(True), "least": F.lit(float("-inf")).cast("float")}), FIRST if n > LEAF else degree)
+    points = staged(packed(vectors))
+    n = points.count()
+    first = leaves(points, n, seed).join(points.withColumnRenamed("id", "y"), "y")
+    start = joined(first.withColumns({"fresh": F.lit(True), "least": F.lit(float("-inf")).cast("float")}), FIRST)
     graph = staged(best(start.withColumn("fresh", F.lit(True)), degree))
-    for turn in range(rounds):
+    for turn in count():
         worst = graph.groupBy(F.col("u").alias("y")).agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        known = halves.withColumnRenamed("id", "y").join(worst, "y", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
-        pointed = graph.groupBy("v").agg(F.count("*").alias("n"))
-        share = F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(1_000_000)) / 1e6
-        back = graph.join(pointed, "v").where(share < F.lit(float(REVERSE)) / F.col("n")).select(F.col("v").alias("x"), F.col("u").alias("y"), "fresh")
+        known = points.withColumnRenamed("id", "y").join(worst, "y", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
+        back = reversed_edges(graph, REVERSE, turn).select(F.col("v").alias("x"), F.col("u").alias("y"), "fresh")
         near = graph.select(F.col("u").alias("x"), F.col("v").alias("y"), "fresh")
         both = near.union(back).repartition("x").groupBy("x", "y").agg(F.max("fresh").alias("fresh"))
         sizes = both.groupBy("x").agg(F.count_if("fresh").alias("new"), F.count_if(~F.col("fresh")).alias("old")).where("new > 0")
@@ -159,13 +170,12 @@ def nn_descent(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, s
         discard(graph)
         graph = after
         if graph.where("fresh").count() <= SETTLED * degree * n:
-            break
-    return graph.select("u", "v")
+            return graph.select("u", "v")
 
 
 def product(a: str, b: str) -> Column:
     """Inner product in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda t, x: t + x)
 
 
 def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -173,14 +183,12 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: i
 
     A search begins with the query's own neighbours. In each round the best EXPANDED nodes not
     visited before give their neighbours, in both directions of the graph; of all nodes seen the
-    best KEPT stay. Scores are inner products of the original values in double precision; ties go
+    best KEPT stay. It ends when all that a query keeps are visited. Scores are inner products of the original values in double precision; ties go
     to the smaller id.
     """
     targets = vectors.select(F.col("id").alias("v"), F.col("vec").alias("v_vec"))
     asked = queries.select(F.col("id").alias("q"), F.col("vec").alias("q_vec"))
-    pointed = graph.groupBy("v").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000)) / 1e6
-    back = graph.join(pointed, "v").where(draw < F.lit(float(DEGREE)) / F.col("n")).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    back = reversed_edges(graph, DEGREE, 0).select(F.col("v").alias("u"), F.col("u").alias("v"))
     links = staged(graph.union(back).distinct())
 
     size = asked.agg(F.coalesce(F.sum(F.size("q_vec") * 8 + 32), F.lit(0))).head()[0]
@@ -193,7 +201,7 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: i
     top = lambda df: df.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= KEPT).drop("r")
     first = asked.select(F.col("q")).join(graph, F.col("q") == F.col("u")).select("q", "v")
     pool = staged(top(scored(first)).withColumn("visited", F.lit(False)))
-    for _ in range(STEPS):
+    while not pool.where("not visited").isEmpty():
         ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("q", "visited").orderBy(F.desc("s"), "v")))
         marked = ranked.withColumn("now", ~F.col("visited") & (F.col("r") <= EXPANDED)).drop("r")
         reached = marked.where("now").select("q", F.col("v").alias("u")).join(links, "u").where("v <> q").select("q", "v").distinct()
@@ -210,8 +218,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     """The `k` nearest found for each row whose id is divisible by `every`, nearest first.
 
     All usable rows are indexed. Unusable vectors (see usable()) take no part, neither as queries;
-    ids are taken to be distinct. Fewer candidates than k give all of them. An empty table gives
-    no rows.
+    a vector with fewer components than another counts as filled with zeros. Of rows that share an
+    id the vector that sorts first takes part. Fewer candidates than k give all of them. An empty
+    table gives no rows; other columns are not read.
     """
-    good = staged(usable(vectors, id_col, vector_col))
+    good = staged(usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("vec").alias("vec")))
     return greedy_search(nn_descent(good), good, good.where(F.col("id") % every == 0), k)
