@@ -16,12 +16,12 @@ from .common import discard, staged
 
 #: Neighbours of a node, reverse neighbours of a node that a join draws, and the share of new
 #: neighbours in the graph under which joins end.
-DEGREE, REVERSE, SETTLED = 32, 32, 0.01
+DEGREE, REVERSE, SETTLED = 32, 32, 0.02
 #: Random trees that begin the graph and vectors of a leaf; the best partners that a vector keeps
 #: from one leaf, and from one join.
 TREES, LEAF, FIRST, PARTNERS = 6, 64, 16, 12
 #: Of a search: nodes kept, and nodes whose neighbours are visited in a round.
-KEPT, EXPANDED = 224, 64
+KEPT, EXPANDED = 200, 64
 #: Products computed at once, and bytes of queries up to which they are broadcast.
 CELLS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
@@ -141,8 +141,8 @@ def reversed_edges(graph: DataFrame, most: int, salt: int) -> DataFrame:
     return graph.withColumn("r", drawn).where(F.col("r") <= most).drop("r")
 
 
-def nn_descent(vectors: DataFrame, degree: int = DEGREE, seed: int = 11) -> DataFrame:
-    """Edges (u, v) to nearly the `degree` nearest neighbours by inner product of vectors (id, vec).
+def nn_descent(points: DataFrame, degree: int = DEGREE, seed: int = 11) -> DataFrame:
+    """Edges (u, v) to nearly the `degree` nearest neighbours by inner product of points (id, packed).
 
     Begins with the best partners in the small leaves of a few random trees. In a round, the
     neighbours and a draw of the reverse neighbours of each node meet (neighbours of neighbours),
@@ -150,7 +150,6 @@ def nn_descent(vectors: DataFrame, degree: int = DEGREE, seed: int = 11) -> Data
     fewer than SETTLED of the edges are new; as edges only get better, they end. Lists are bounded
     by the degree and the draw.
     """
-    points = staged(packed(vectors))
     n = points.count()
     first = leaves(points, n, seed).join(points.withColumnRenamed("id", "y"), "y")
     start = joined(first.withColumns({"fresh": F.lit(True), "least": F.lit(float("-inf")).cast("float")}), FIRST)
@@ -178,28 +177,36 @@ def product(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda t, x: t + x)
 
 
-def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): nearest nodes to `queries` (a subset of the graph's nodes).
+def products(pairs: DataFrame) -> DataFrame:
+    """(q, v, s float) from pairs (q, v, a, b) of packed vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            s = np.einsum("ij,ij->i", matrix(batch["a"]), matrix(batch["b"])) if len(batch) else np.zeros(0, np.float32)
+            yield pd.DataFrame({"q": batch["q"], "v": batch["v"], "s": s})
+
+    return pairs.select("q", "v", "a", "b").mapInPandas(run, "q long, v long, s float")
+
+
+def greedy_search(graph: DataFrame, vectors: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, v, score): the `k` nearest nodes found for each of `queries` (id), nodes of the graph.
 
     A search begins with the query's own neighbours. In each round the best EXPANDED nodes not
     visited before give their neighbours, in both directions of the graph; of all nodes seen the
-    best KEPT stay. It ends when all that a query keeps are visited. Scores are inner products of the original values in double precision; ties go
-    to the smaller id.
+    best KEPT stay. It ends when all that a query keeps are visited. Products are of packed
+    vectors; at the end the kept ones are compared by their original values in double precision,
+    ties to the smaller id.
     """
-    targets = vectors.select(F.col("id").alias("v"), F.col("vec").alias("v_vec"))
-    asked = queries.select(F.col("id").alias("q"), F.col("vec").alias("q_vec"))
     back = reversed_edges(graph, DEGREE, 0).select(F.col("v").alias("u"), F.col("u").alias("v"))
     links = staged(graph.union(back).distinct())
-
-    size = asked.agg(F.coalesce(F.sum(F.size("q_vec") * 8 + 32), F.lit(0))).head()[0]
-    side = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(targets, "v").join(side, "q").select("q", "v", product("q_vec", "v_vec").alias("s"))
-
+    targets = points.select(F.col("id").alias("v"), F.col("packed").alias("b"))
+    asked = staged(points.join(queries.select("id"), "id").select(F.col("id").alias("q"), F.col("packed").alias("a")))
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("a") + 32), F.lit(0))).head()[0]
+    small = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df
+    scored = lambda pairs: products(pairs.join(targets, "v").join(small(asked), "q"))
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     top = lambda df: df.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= KEPT).drop("r")
-    first = asked.select(F.col("q")).join(graph, F.col("q") == F.col("u")).select("q", "v")
+    first = asked.select("q").join(graph, F.col("q") == F.col("u")).select("q", "v")
     pool = staged(top(scored(first)).withColumn("visited", F.lit(False)))
     while not pool.where("not visited").isEmpty():
         ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("q", "visited").orderBy(F.desc("s"), "v")))
@@ -210,17 +217,35 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: i
         after = staged(top(old.unionByName(fresh)))
         discard(pool)
         pool = after
-    rank = F.row_number().over(by_score)
-    return pool.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("v").alias("vec_id"), F.col("s").alias("score"))
+    values = vectors.select(F.col("id").alias("v"), F.col("vec").alias("v_vec"))
+    own = small(vectors.join(queries.select("id"), "id").select(F.col("id").alias("q"), F.col("vec").alias("q_vec")))
+    exact = pool.select("q", "v").join(values, "v").join(own, "q").select("q", "v", product("q_vec", "v_vec").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
+    return exact.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The `k` nearest found for each row whose id is divisible by `every`, nearest first.
-
-    All usable rows are indexed. Unusable vectors (see usable()) take no part, neither as queries;
-    a vector with fewer components than another counts as filled with zeros. Of rows that share an
-    id the vector that sorts first takes part. Fewer candidates than k give all of them. An empty
-    table gives no rows; other columns are not read.
+    """(query_id, rank, vec_id, score): the `k` nearest found for each row whose id is divisible by
+    `every`, nearest first, ties to the smaller id.
+
+    All usable rows are indexed, equal vectors as one node: the smallest k + 1 ids of each stand
+    for all, as no larger one can be among the nearest. Unusable vectors (see usable()) take no
+    part, neither as queries; a vector with fewer components than another counts as filled with
+    zeros. Of rows that share an id the vector that sorts first takes part. Fewer candidates than
+    k give all of them. An empty table gives no rows; other columns are not read.
     """
     good = staged(usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("vec").alias("vec")))
-    return greedy_search(nn_descent(good), good, good.where(F.col("id") % every == 0), k)
+    nth = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    firsts = staged(good.withColumn("r", nth).where(F.col("r") <= k + 1))
+    nodes = staged(firsts.where("r = 1").select("id", "vec"))
+    members = firsts.select("id", "vec").join(nodes.withColumnRenamed("id", "node"), "vec").select("node", "id")
+    queries = staged(good.where(F.col("id") % every == 0).join(nodes.withColumnRenamed("id", "node"), "vec").select("id", "node"))
+    asked = staged(queries.select(F.col("node").alias("id")).distinct())
+    points = staged(packed(nodes))
+    found = greedy_search(nn_descent(points), nodes, points, asked, k)
+    itself = nodes.join(asked, "id").select(F.col("id").alias("q"), F.col("id").alias("v"), product("vec", "vec").alias("score"))
+    each = found.unionByName(itself).join(members.withColumnRenamed("node", "v"), "v")
+    order = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
+    most = each.withColumn("r", order("q")).where(F.col("r") <= k + 1).select("q", "id", "score")
+    answers = queries.select(F.col("id").alias("query_id"), F.col("node").alias("q")).join(most, "q").where("id <> query_id")
+    return answers.withColumn("rank", order("query_id")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
