@@ -102,7 +102,7 @@ def test_stupid_backoff(spark, clashing, nothing, texts, monkeypatch):
                 return math.log(counts[n][gram] / counts[n - 1][gram[:-1]])
             return math.log(0.4) + score(w, i, n - 1)
 
-        for r in ngrams.stupid_backoff(clashing, order=order).collect():
+        for r in ngrams.stupid_backoff(clashing, order=order, least=2).collect():
             w = words(texts[r.doc_id])
             expected = sum(score(w, i, min(order, i + 1)) for i in range(len(w)))
             assert r.n_tokens == len(w) and r.log_score == pytest.approx(expected, abs=1e-6)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Bytes of text in a chunk, about, and bytes of text for each partition of the count tables.
-CHUNK, PART, MOST_PARTS = 24 << 20, 12 << 20, 100_000
+CHUNK, PART = 16 << 20, 12 << 20
 BACKOFF = 0.4
 
 
@@ -128,7 +128,7 @@ def score_chunk(order: int, least: int):
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = 2) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = 1) -> DataFrame:
     """(id, n_tokens, n_unigram, log_score, mean_log_score) for every row.
 
     Words are runs without ASCII white space. An n-gram's score is its count by that of its first
@@ -136,7 +136,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in the tables and back off, by factor 0.4, to the shorter one; single words score by their share
     of all words. Counts cover all documents; n_unigram says how many words fell back to that.
     log_score is the sum of natural logarithms, mean_log_score that by word (null without words).
-    A null text has no words. Rows that repeat count and are returned each.
+    A null text has no words. Rows that repeat count and are returned each; an empty table gives no
+    rows; other columns are not read.
 
     Documents go to chunks by a hash of id and text. Each chunk sends its distinct n-grams with
     counts to the hash range they belong to, so a frequent n-gram counts once for each chunk; the
@@ -146,7 +147,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    parts = min(max(1, -(-size // PART)), MOST_PARTS)
+    parts = max(1, -(-size // PART))
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // CHUNK)))).alias("chunk")
     chunks = source.select("id", "text", chunk).groupBy("chunk")
     tables = chunks.applyInPandas(chunk_tables(order, parts), "part int, chunk long, n int, keys binary, counts binary")
