@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -31,30 +33,38 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
 
 
-def grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1 to order, the hash of the n-gram that ends at each word; 0 where the document has
+def grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """In turn, for n = 1 to order, the hash of the n-gram that ends at each word; 0 where the document has
     not begun n words ago."""
     starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(hashes)) - starts
-    out = [mixed(hashes) | np.uint64(1)]
+    last = mixed(hashes) | np.uint64(1)
+    yield last
     for n in range(2, order + 1):
         longer = np.zeros(len(hashes), np.uint64)
-        longer[1:] = mixed(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) | np.uint64(1)
+        longer[1:] = mixed(last[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) | np.uint64(1)
         longer[place < n - 1] = 0
-        out.append(longer)
-    return out
+        last = longer
+        yield last
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Integers, ascending or small, in few bytes: differences, bytes of equal weight together,
-    compressed."""
-    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Small integers in few bytes: bytes of equal weight together, compressed."""
+    return zstandard.compress(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def squeezed_keys(keys: np.ndarray) -> bytes:
+    """Ascending integers by their differences."""
+    return squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsqueezed_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(data), dtype=np.uint64)
 
 
 def slices(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -74,23 +84,23 @@ def chunk_tables(order: int, parts: int):
             edges = [*slices(keys, parts).tolist(), len(keys)]
             for part, (a, b) in enumerate(zip(edges, edges[1:])):
                 if b > a:
-                    rows.append((part, int(pdf["chunk"].iloc[0]), n, squeezed(keys[a:b]), squeezed(counts[a:b])))
+                    rows.append((part, int(pdf["chunk"].iloc[0]), n, squeezed_keys(keys[a:b]), squeezed(counts[a:b])))
         return pd.DataFrame(rows, columns=["part", "chunk", "n", "keys", "counts"])
 
     return run
 
 
 def count_partition(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts over the whole corpus of one hash range of n-grams, for each chunk that has them."""
+    """Counts over the rest of the corpus of one hash range of n-grams, for each chunk that has them."""
     out = []
     for n, rows in pdf.groupby("n"):
-        keys = [unsqueezed(k) for k in rows["keys"]]
-        counts = np.concatenate([unsqueezed(c) for c in rows["counts"]])
+        keys = [unsqueezed_keys(k) for k in rows["keys"]]
+        counts = np.concatenate([unsqueezed(c) for c in rows["counts"]]).astype(np.int64)
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, weights=counts).astype(np.uint64)[where]
+        others = np.bincount(where, weights=counts).astype(np.int64)[where] - counts
         edges = np.cumsum([0, *map(len, keys)])
-        out += [(c, n, p, squeezed(total[a:b])) for c, p, a, b in zip(rows["chunk"], rows["part"], edges[:-1], edges[1:])]
-    return pd.DataFrame(out, columns=["chunk", "n", "part", "totals"])
+        out += [(c, n, p, squeezed(others[a:b])) for c, p, a, b in zip(rows["chunk"], rows["part"], edges[:-1], edges[1:])]
+    return pd.DataFrame(out, columns=["chunk", "n", "part", "others"])
 
 
 def score_chunk(order: int, least: int):
@@ -102,10 +112,11 @@ def score_chunk(order: int, least: int):
         context = None
         for n, keys in enumerate(grams(hashes, sizes, order), 1):
             there = keys > 0
-            own = counts[counts["n"] == n].sort_values("part")["totals"]
-            total = np.concatenate([np.zeros(0, np.uint64), *map(unsqueezed, own)]).astype(np.int64)
+            away = counts[counts["n"] == n].sort_values("part")["others"]
+            others = np.concatenate([np.zeros(0, np.uint64), *map(unsqueezed, away)]).astype(np.int64)
+            _, where, here = np.unique(keys[there], return_inverse=True, return_counts=True)
             c = np.zeros(len(keys), np.int64)
-            c[there] = total[np.unique(keys[there], return_inverse=True)[1]]
+            c[there] = (others + here)[where]
             if n == 1:
                 score = np.log(np.maximum(c, 1))
             else:
@@ -141,7 +152,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents go to chunks by a hash of id and text. Each chunk sends its distinct n-grams with
     counts to the hash range they belong to, so a frequent n-gram counts once for each chunk; the
-    ranges add up the counts and answer each chunk, which joins them to its documents' n-grams.
+    ranges add up the counts and answer each chunk with those of all other chunks, which it adds to
+    its own and joins to its documents' n-grams.
     N-grams are told apart by 64-bit hashes.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -151,7 +163,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // CHUNK)))).alias("chunk")
     chunks = source.select("id", "text", chunk).groupBy("chunk")
     tables = chunks.applyInPandas(chunk_tables(order, parts), "part int, chunk long, n int, keys binary, counts binary")
-    totals = tables.groupBy("part").applyInPandas(count_partition, "chunk long, n int, part int, totals binary")
+    totals = tables.groupBy("part").applyInPandas(count_partition, "chunk long, n int, part int, others binary")
     schema = f"id {kind}, n_tokens long, n_unigram long, part_score double"
     sums = staged(chunks.cogroup(totals.groupBy("chunk")).applyInPandas(score_chunk(order, least), schema))
     tokens = sums.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
