@@ -36,14 +36,14 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
 def grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """In turn, for n = 1 to order, the hash of the n-gram that ends at each word; 0 where the document has
     not begun n words ago."""
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(hashes)) - starts
+    first = np.cumsum(sizes) - sizes
     last = mixed(hashes) | np.uint64(1)
     yield last
     for n in range(2, order + 1):
         longer = np.zeros(len(hashes), np.uint64)
         longer[1:] = mixed(last[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) | np.uint64(1)
-        longer[place < n - 1] = 0
+        for place in range(n - 1):
+            longer[first[sizes > place] + place] = 0
         last = longer
         yield last
 
@@ -67,10 +67,11 @@ def unsqueezed_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueezed(data), dtype=np.uint64)
 
 
-def slices(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each partition's range of hashes begins among sorted keys."""
+def slices(keys: np.ndarray, parts: int, order: np.ndarray | None = None) -> list[int]:
+    """Where each partition's range of hashes begins among keys, sorted or in the given order, and
+    where the last ends."""
     width = (1 << 64) // parts + 1
-    return np.searchsorted(keys, np.array([i * width for i in range(parts)], np.uint64))
+    return [*np.searchsorted(keys, np.array([i * width for i in range(parts)], np.uint64), sorter=order).tolist(), len(keys)]
 
 
 def chunk_tables(order: int, parts: int):
@@ -81,7 +82,7 @@ def chunk_tables(order: int, parts: int):
         rows = []
         for n, keys in enumerate(grams(hashes, sizes, order), 1):
             keys, counts = np.unique(keys[keys > 0], return_counts=True)
-            edges = [*slices(keys, parts).tolist(), len(keys)]
+            edges = slices(keys, parts)
             for part, (a, b) in enumerate(zip(edges, edges[1:])):
                 if b > a:
                     rows.append((part, int(pdf["chunk"].iloc[0]), n, squeezed_keys(keys[a:b]), squeezed(counts[a:b])))
@@ -103,38 +104,45 @@ def count_partition(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "n", "part", "others"])
 
 
-def score_chunk(order: int, least: int):
+def looked_up(keys: np.ndarray, away: pd.DataFrame, parts: int) -> np.ndarray:
+    """The count of each n-gram in the corpus, by hash range: how often the chunk has it, and the
+    other chunks (rows part, others); 0 where there is no n-gram."""
+    order = np.argsort(keys)
+    edges = slices(keys, parts, order)
+    edges[0] = int((keys == 0).sum())
+    out = np.zeros(len(keys), np.int64)
+    for part, others in zip(away["part"], away["others"]):
+        there = order[edges[part] : edges[part + 1]]
+        _, where, here = np.unique(keys[there], return_inverse=True, return_counts=True)
+        out[there] = (unsqueezed(others).astype(np.int64) + here)[where]
+    return out
+
+
+def score_chunk(order: int, least: int, parts: int):
     """Joins the counts to the n-grams of a chunk's documents and sums scores by document."""
 
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         hashes, sizes = word_hashes(docs["text"])
-        score, fell = np.zeros(len(hashes)), np.ones(len(hashes), bool)
-        context = None
+        fell = np.ones(len(hashes), bool)
+        score = context = None
         for n, keys in enumerate(grams(hashes, sizes, order), 1):
-            there = keys > 0
-            away = counts[counts["n"] == n].sort_values("part")["others"]
-            others = np.concatenate([np.zeros(0, np.uint64), *map(unsqueezed, away)]).astype(np.int64)
-            _, where, here = np.unique(keys[there], return_inverse=True, return_counts=True)
-            c = np.zeros(len(keys), np.int64)
-            c[there] = (others + here)[where]
+            count = looked_up(keys, counts[counts["n"] == n], parts)
+            log_count = np.log(np.maximum(count, 1))
             if n == 1:
-                score = np.log(np.maximum(c, 1))
+                score = log_count.copy()
             else:
-                found = there & (c >= least)
-                back = there & ~found
-                before = np.concatenate([[1], np.maximum(context[:-1], 1)])[: len(c)]
-                score = np.where(found, np.log(np.maximum(c, 1)) - np.log(before), score + np.where(back, np.log(BACKOFF), 0.0))
+                found = (keys > 0) & (count >= least)
+                score[(keys > 0) & ~found] += np.log(BACKOFF)
+                context[1:] = log_count[1:] - context[:-1]
+                np.copyto(score, context, where=found)
                 fell &= ~found
-            context = c
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        return pd.DataFrame(
-            {
-                "id": docs["id"],
-                "n_tokens": sizes,
-                "n_unigram": np.bincount(of, weights=fell, minlength=len(sizes)).astype(np.int64),
-                "part_score": np.bincount(of, weights=score, minlength=len(sizes)),
-            }
-        )
+            context = log_count
+        some = sizes > 0
+        n_unigram, part_score = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+        first = (np.cumsum(sizes) - sizes)[some]
+        n_unigram[some] = np.add.reduceat(fell, first, dtype=np.int64)
+        part_score[some] = np.add.reduceat(score, first)
+        return pd.DataFrame({"id": docs["id"], "n_tokens": sizes, "n_unigram": n_unigram, "part_score": part_score})
 
     return run
 
@@ -165,7 +173,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = chunks.applyInPandas(chunk_tables(order, parts), "part int, chunk long, n int, keys binary, counts binary")
     totals = tables.groupBy("part").applyInPandas(count_partition, "chunk long, n int, part int, others binary")
     schema = f"id {kind}, n_tokens long, n_unigram long, part_score double"
-    sums = staged(chunks.cogroup(totals.groupBy("chunk")).applyInPandas(score_chunk(order, least), schema))
+    sums = staged(chunks.cogroup(totals.groupBy("chunk")).applyInPandas(score_chunk(order, least, parts), schema))
     tokens = sums.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
     log_score = F.col("part_score") - F.col("n_unigram") * F.log(F.lit(float(max(tokens, 1))))
     return sums.select(
