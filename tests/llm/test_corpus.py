@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -407,3 +409,20 @@ def test_pipeline_stages_on_edge_cases(spark, docs, clashing, nothing, tmp_path)
             assert len(found) == rows
         if name == "near_dedup":
             assert sum(i is None for i in found) == 2 and len(found) == len(set(found)) + 1
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_counts_by_hash_range(parts):
+    rng = np.random.default_rng(parts)
+    keys = ngrams.mixed(rng.integers(1, 200, 3000).astype(np.uint64)) | np.uint64(1)
+    keys[rng.random(3000) < 0.1] = 0
+    distinct = np.unique(keys[keys > 0])
+    elsewhere = rng.integers(0, 400, len(distinct))
+    edges = ngrams.slices(distinct, parts)
+    rows = [(p, ngrams.squeezed(elsewhere[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    away = pd.DataFrame(rows, columns=["part", "others"]).sample(frac=1, random_state=1)
+    known, own = dict(zip(distinct.tolist(), elsewhere.tolist())), Counter(keys.tolist())
+    expected = [known[k] + own[k] if k else 0 for k in keys.tolist()]
+    assert ngrams.looked_up(keys, away, parts).tolist() == expected
+    assert (ngrams.unsqueezed_keys(ngrams.squeezed_keys(distinct)) == distinct).all()
+    assert len(ngrams.looked_up(keys[:0], away[:0], parts)) == 0
