@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Bytes of text in a chunk, about, and bytes of text for each partition of the count tables.
-CHUNK, PART = 16 << 20, 12 << 20
+CHUNK, PART = 12 << 20, 8 << 20
 BACKOFF = 0.4
 
 
@@ -24,11 +25,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, chunk) as one compressed row for each chunk of a batch."""
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        order = np.argsort(chunks, kind="stable")
+        names, begins = np.unique(chunks[order], return_index=True)
+        packs = []
+        for places in np.split(order, begins[1:]) if len(order) else []:
+            sink = pa.BufferOutputStream()
+            rows = batch.select(["id", "text"]).take(pa.array(places))
+            with pa.ipc.new_stream(sink, rows.schema) as stream:
+                stream.write_batch(rows)
+            packs.append(zstandard.compress(sink.getvalue(), 3))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packs, pa.binary())], ["chunk", "pack"])
+
+
+def unpacked(packs) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(pack)).read_all() for pack in packs])
+
+
+def word_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of several texts, and how many each has."""
     parts = []
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").split()  # at the six ASCII blanks
+    for text in texts.cast(pa.binary()):
+        words = (text.as_py() or b"").split()  # at the six ASCII blanks
         parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
 
@@ -78,7 +99,7 @@ def chunk_tables(order: int, parts: int):
     """The n-grams of a chunk of documents with their counts, by hash range."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, sizes = word_hashes(pdf["text"])
+        hashes, sizes = word_hashes(unpacked(pdf["pack"])["text"])
         rows = []
         for n, keys in enumerate(grams(hashes, sizes, order), 1):
             keys, counts = np.unique(keys[keys > 0], return_counts=True)
@@ -121,7 +142,8 @@ def looked_up(keys: np.ndarray, away: pd.DataFrame, parts: int) -> np.ndarray:
 def score_chunk(order: int, least: int, parts: int):
     """Joins the counts to the n-grams of a chunk's documents and sums scores by document."""
 
-    def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, counts = unpacked(packs["pack"].to_pylist()), answers.to_pandas()
         hashes, sizes = word_hashes(docs["text"])
         fell = np.ones(len(hashes), bool)
         score = context = None
@@ -142,7 +164,7 @@ def score_chunk(order: int, least: int, parts: int):
         first = (np.cumsum(sizes) - sizes)[some]
         n_unigram[some] = np.add.reduceat(fell, first, dtype=np.int64)
         part_score[some] = np.add.reduceat(score, first)
-        return pd.DataFrame({"id": docs["id"], "n_tokens": sizes, "n_unigram": n_unigram, "part_score": part_score})
+        return pa.table({"id": docs["id"], "n_tokens": sizes, "n_unigram": n_unigram, "part_score": part_score})
 
     return run
 
@@ -158,7 +180,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text has no words. Rows that repeat count and are returned each; an empty table gives no
     rows; other columns are not read.
 
-    Documents go to chunks by a hash of id and text. Each chunk sends its distinct n-grams with
+    Documents go to chunks by a hash of id and text, compressed. Each chunk sends its distinct n-grams with
     counts to the hash range they belong to, so a frequent n-gram counts once for each chunk; the
     ranges add up the counts and answer each chunk with those of all other chunks, which it adds to
     its own and joins to its documents' n-grams.
@@ -169,11 +191,11 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     parts = max(1, -(-size // PART))
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // CHUNK)))).alias("chunk")
-    chunks = source.select("id", "text", chunk).groupBy("chunk")
+    chunks = source.select("id", "text", chunk).mapInArrow(packed, "chunk long, pack binary").groupBy("chunk")
     tables = chunks.applyInPandas(chunk_tables(order, parts), "part int, chunk long, n int, keys binary, counts binary")
     totals = tables.groupBy("part").applyInPandas(count_partition, "chunk long, n int, part int, others binary")
     schema = f"id {kind}, n_tokens long, n_unigram long, part_score double"
-    sums = staged(chunks.cogroup(totals.groupBy("chunk")).applyInPandas(score_chunk(order, least, parts), schema))
+    sums = staged(chunks.cogroup(totals.groupBy("chunk")).applyInArrow(score_chunk(order, least, parts), schema))
     tokens = sums.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
     log_score = F.col("part_score") - F.col("n_unigram") * F.log(F.lit(float(max(tokens, 1))))
     return sums.select(
