@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from textweir.functions.fixed import FALLBACK_PRICE, PRICES
 from textweir.functions.names import fresh
+from textweir.sources.tables import local
 
 
 class Budget(NamedTuple):
@@ -27,7 +28,7 @@ PERIOD_SECONDS = {"hourly": 3600, "daily": 86_400, "monthly": 31 * 86_400}
 
 def prices_table(spark: SparkSession, prices: Mapping[str, tuple[float, float]] = PRICES) -> DataFrame:
     rows = [(i, m, *p) for i, (m, p) in enumerate(prices.items())]
-    return spark.createDataFrame(rows, "ord int, model string, in_per_m double, out_per_m double")
+    return local(spark, rows, "ord int, model string, in_per_m double, out_per_m double")
 
 
 def price(model: Column, prices: Mapping[str, tuple[float, float]] = PRICES, longest_prefix: bool = False) -> Column:
@@ -54,7 +55,7 @@ def bucket(at: Column, period: str | Column) -> Column:
 
 
 def budgets_table(spark: SparkSession, budgets: Mapping[str, Budget]) -> DataFrame:
-    return spark.createDataFrame([(k, *map(float, v[:2]), v[2]) for k, v in budgets.items()], "entity_id string, soft_limit double, hard_limit double, period string")
+    return local(spark, [(k, *map(float, v[:2]), v[2]) for k, v in budgets.items()], "entity_id string, soft_limit double, hard_limit double, period string")
 
 
 def bucket_spend(records: DataFrame, budgets: DataFrame) -> DataFrame:

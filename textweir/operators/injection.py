@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textweir.functions.fixed import HEADERS, LONG_TEXT, NEWLINES, ROLE_MARKERS, RULES, STRICTNESS, WARN_PART, Rule
 from textweir.functions.arrays import let
 from textweir.functions.regex import js_regex, needed
+from textweir.sources.tables import local
 
 VIOLATION = "struct<type:string,scanner:string,score:double,threshold:double,message:string,detail:string>"
 NO_VIOLATIONS = f"array<{VIOLATION}>"
@@ -107,4 +108,4 @@ def rule_hits(text: Column, rules: Sequence[Rule] = RULES) -> Column:
 
 def rule_catalog(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rules as a table."""
-    return spark.createDataFrame([(i, r.id, r.category, r.weight, r.description) for i, r in enumerate(rules)], "ord int, rule_id string, category string, weight double, description string")
+    return local(spark, [(i, r.id, r.category, r.weight, r.description) for i, r in enumerate(rules)], "ord int, rule_id string, category string, weight double, description string")

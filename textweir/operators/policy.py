@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from textweir.functions.fixed import PRESETS, Preset
 from textweir.functions.names import fresh
 from textweir.functions.regex import LINE_ENDS, wildcard_regex
+from textweir.sources.tables import local
 
 from .injection import NO_VIOLATIONS
 
@@ -54,7 +55,7 @@ def threshold_of(name: Column) -> Column:
 def presets_table(spark: SparkSession) -> DataFrame:
     """The presets as a small table for joins by preset name."""
     rows = [(p.name, p.threshold, p.pii_action, list(p.dangerous), p.max_chain_depth, p.daily_budget, p.warn_at_percent) for p in PRESETS.values()]
-    return spark.createDataFrame(rows, "preset string, threshold double, pii_action string, dangerous array<string>, max_chain_depth int, daily_budget double, warn_at_percent int")
+    return local(spark, rows, "preset string, threshold double, pii_action string, dangerous array<string>, max_chain_depth int, daily_budget double, warn_at_percent int")
 
 
 def matches_any(name: Column, patterns: Sequence[str]) -> Column:
@@ -164,7 +165,7 @@ def policy_tables(spark: SparkSession, policy: ToolPolicy) -> tuple[DataFrame, D
     """A policy as tables (agent_id, allowed, denied) and (server_id, known_tools) for check_calls()."""
     agents = [(who, list(p.allowed), list(p.denied)) for who, p in policy.permissions.items()]
     pins = [(server, list(names)) for server, names in policy.pins.items()]
-    return spark.createDataFrame(agents, "agent_id string, allowed array<string>, denied array<string>"), spark.createDataFrame(pins, "server_id string, known_tools array<string>")
+    return local(spark, agents, "agent_id string, allowed array<string>, denied array<string>"), local(spark, pins, "server_id string, known_tools array<string>")
 
 
 def wildcard_column(pattern: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -19,6 +20,13 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver holds, whose size the optimizer knows: joins broadcast it while
+    it is small. A table made from a list of rows counts as huge, so the other side would move."""
+    names = schema_of(schema).names
+    return spark.createDataFrame(pa.table({name: [row[i] for row in rows] for i, name in enumerate(names)}), schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows to all cores where an input has fewer files or blocks than that: pattern
     matching costs far more than the shuffle. Large inputs stay as they are read."""
