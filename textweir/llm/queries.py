@@ -96,6 +96,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_ngrams": op2_ngrams,
@@ -107,6 +113,7 @@ QUERIES = {
     "op8_passages": op8_passages,
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_spelling": op12_spelling,
     "pipeline": pipeline,
 }
 
