@@ -102,6 +102,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_ngrams": op2_ngrams,
@@ -114,6 +120,7 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_spelling": op12_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
