@@ -96,6 +96,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE_KINDS, find_secrets, listed
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("secrets"), BASE_KINDS), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_variants
 
@@ -119,6 +127,7 @@ QUERIES = {
     "op8_passages": op8_passages,
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_secrets": op11_secrets,
     "op12_spelling": op12_spelling,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
