@@ -136,4 +136,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op7_mixing": oracles.mixing(**MIX),
     "op8_passages": oracles.PASSAGES,
+    "op12_spelling": oracles.SPELLING,
+    "op13_prefix_trie": oracles.TRIE,
 }

@@ -17,7 +17,8 @@ CELL_BITS = 12
 #: Re-expansions between two written tables, so that plans stay short.
 STEPS = 6
 LANES = ("_s0", "_s1", "_s2", "_s3")
-ROOT = F.lit(b"")
+#: Key of the root.
+ROOT = b""
 
 
 def running_sums(rows: DataFrame, key: str, cell: Column, order: str, values: Sequence[str]) -> DataFrame:
@@ -74,7 +75,7 @@ def paths(rows: DataFrame) -> DataFrame:
     own = lanes.withColumns({f"_own{v}": F.col(v) for v in LANES})
     summed = running_sums(own.drop("_hash", "digest"), "conv", F.shiftright("depth", CELL_BITS), "depth", LANES)
     key = lambda depth, sums: F.unhex(F.md5(F.concat_ws(",", depth, *sums).cast("binary")))
-    parent = F.when(F.col("depth") == 1, ROOT).otherwise(key(F.col("depth") - 1, [F.col(v) - F.col(f"_own{v}") for v in LANES]))
+    parent = F.when(F.col("depth") == 1, F.lit(ROOT)).otherwise(key(F.col("depth") - 1, [F.col(v) - F.col(f"_own{v}") for v in LANES]))
     return summed.select("conv", key(F.col("depth"), map(F.col, LANES)).alias("key"), parent.alias("parent"), "depth", "bytes", "last")
 
 
@@ -167,7 +168,7 @@ def prefix_trie(conversations: DataFrame, conv: str = "conv_id", turn: str = "tu
     whole = convs.agg(F.min("conv").alias("conv"), F.count("*").alias("n_convs")).where("n_convs > 0")
     inner = steps.groupBy("key").agg(F.min("conv").alias("conv"), F.count("*").alias("n_convs"), *[F.first(c).alias(c) for c in ("parent", "depth", "bytes")])
     none = F.lit(0).cast("long")
-    top = whole.select(ROOT.alias("key"), "conv", "n_convs", F.lit(None).cast("binary").alias("parent"), none.alias("depth"), none.alias("bytes"))
+    top = whole.select(F.lit(ROOT).alias("key"), "conv", "n_convs", F.lit(None).cast("binary").alias("parent"), none.alias("depth"), none.alias("bytes"))
     nodes = staged(inner.union(top.select(inner.columns)))
     kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("n_children"))
     tree = staged(
@@ -177,7 +178,7 @@ def prefix_trie(conversations: DataFrame, conv: str = "conv_id", turn: str = "tu
     )
     values = ["n_leaves", "saved_tokens"]
     rounds = contract(tree, values)
-    ends = steps.where("last").select("key", "conv").union(convs.where("total = 0").select(ROOT.alias("key"), "conv"))
+    ends = steps.where("last").select("key", "conv").union(convs.where("total = 0").select(F.lit(ROOT).alias("key"), "conv"))
     hashes = end_digests(ends).withColumnRenamed("key", "id")
     # The root may have any number of children; its smallest member is one number.
     smallest = convs.agg(F.min("conv")).head()[0]
