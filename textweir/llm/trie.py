@@ -15,7 +15,7 @@ from .common import discard, staged
 #: Rows of a conversation, or conversations of an end, that one task takes together (as bits).
 CELL_BITS = 12
 #: Re-expansions between two written tables, so that plans stay short.
-STEPS = 6
+STEPS = 3
 LANES = ("_s0", "_s1", "_s2", "_s3")
 #: Key of the root.
 ROOT = b""
