@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from textweir.operators.chain import ScanConfig, scan
 from textweir.operators.cost import bucket, cost
 
+from .live import reassemble_stream as reassemble_stream
+
 
 def reassemble(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Whole texts from chunks in a table, in order; null texts add nothing (R1, R3). The last
@@ -44,38 +44,6 @@ def text_events(events: DataFrame) -> DataFrame:
     )
 
 
-def reassemble_stream(chunks: DataFrame, timeout: str = "10 minutes") -> DataFrame:
-    """Whole texts from a stream of (stream_id, seq, text, last, ts), ts watermarked by the caller.
-
-    Chunks are kept by stream until all up to the last one have come, however they are ordered; a
-    stream without an end is emitted as far as it came when the watermark passes `timeout` (R1, R5).
-    """
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts, end = state.get if state.exists else ("{}", -1)
-        held = dict(zip(*parts)) if not isinstance(parts, str) else {}
-        done = state.hasTimedOut
-        latest = 0
-        if not done:
-            for batch in batches:
-                for r in batch.itertuples():
-                    held[int(r.seq)] = r.text or ""
-                    end = int(r.seq) if r.last else end
-                    latest = max(latest, int(pd.Timestamp(r.ts).timestamp() * 1000))
-            done = end >= 0 and all(i in held for i in range(end + 1))
-        if done:
-            state.remove()
-            yield pd.DataFrame({"stream_id": [key[0]], "text": ["".join(held[i] for i in sorted(held))], "complete": [end >= 0]})
-        else:
-            order = sorted(held)
-            state.update(((order, [held[i] for i in order]), end))
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1) + wait)
-
-    kept = "parts struct<seqs:array<long>,texts:array<string>>, end long"
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, text string, complete boolean", kept, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def spend_stream(records: DataFrame, period: str, lateness: str) -> DataFrame:
     """Running (entity_id, bucket, spend) of a stream of costs by event time; state of a bucket goes
     when the watermark has passed it (C7, C12)."""
