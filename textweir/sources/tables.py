@@ -8,7 +8,6 @@ from datetime import date
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 AUDIT_SCHEMA = "id string, timestamp timestamp, session_id string, agent_id string, user_id_hash string, request_type string, input_hash string, input_token_count bigint, model string, security_decision string, security_reason string, violations string, created_month date"
@@ -39,11 +38,6 @@ def write_audit(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("created_month").parquet(path)
 
 
-def audit_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer of audit records."""
-    return lambda batch, _: write_audit(batch, path)
-
-
 def console_sink(batch: DataFrame, _: int) -> None:
     """foreachBatch writer that shows decisions by count, never the records."""
     batch.groupBy("created_month", "request_type", "security_decision").count().orderBy("created_month").show(truncate=False)
@@ -54,13 +48,6 @@ def memory_sink(spark: SparkSession, name: str) -> Callable[[DataFrame, int], No
     return lambda batch, _: batch.write.mode("append").saveAsTable(name)
 
 
-def flush_audit(records: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds", rows: int = 100, available_now: bool = False) -> StreamingQuery:
-    """Flushes a stream of audit records in batches: by time, whatever came; a batch of more than
-    `rows` records is dealt to files of `rows` thousand records at most (A6)."""
-    out = records.writeStream.foreachBatch(lambda batch, n: write(batch.repartition(max(1, -(-batch.count() // (rows * 1000)))), n)).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
-
-
 def write_audit_by(records: DataFrame, path: str, column: str, buckets: int = 64) -> None:
     """Appends records laid out for look-ups by session, agent or decision (A11): by month and a hash
     bucket of the column, sorted by it, so that min and max of row groups prune."""
