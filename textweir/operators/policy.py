@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 from textweir.functions.fixed import PRESETS, Preset
 from textweir.functions.names import fresh
-from textweir.functions.regex import LINE_ENDS, wildcard_regex
+from textweir.functions.ordered import numbered
+from textweir.functions.regex import wildcard_regex
 from textweir.sources.tables import local
 
 from .injection import NO_VIOLATIONS
+from .lookups import matched_names, pins_as_of, wildcard_index
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,14 @@ def presets_table(spark: SparkSession) -> DataFrame:
     return local(spark, rows, "preset string, threshold double, pii_action string, dangerous array<string>, max_chain_depth int, daily_budget double, warn_at_percent int")
 
 
+def preset_budgets(entities: DataFrame) -> DataFrame:
+    """(entity_id, soft_limit, hard_limit, period) of entities (entity_id, preset): the daily budget
+    of their preset, soft at its warning percentage (E4); the default's for null and unknown names."""
+    presets = presets_table(entities.sparkSession).select("preset", "daily_budget", "warn_at_percent")
+    names = F.when(F.col("preset").isin(*PRESETS), F.col("preset")).otherwise(preset().name)
+    return entities.select("entity_id", names.alias("preset")).join(presets, "preset").select("entity_id", (F.col("daily_budget") * F.col("warn_at_percent") / 100).alias("soft_limit"), F.col("daily_budget").alias("hard_limit"), F.lit("daily").alias("period"))
+
+
 def matches_any(name: Column, patterns: Sequence[str]) -> Column:
     """Whether any wildcard matches."""
     out = F.lit(False)
@@ -168,37 +178,43 @@ def policy_tables(spark: SparkSession, policy: ToolPolicy) -> tuple[DataFrame, D
     return local(spark, agents, "agent_id string, allowed array<string>, denied array<string>"), local(spark, pins, "server_id string, known_tools array<string>")
 
 
-def wildcard_column(pattern: Column) -> Column:
-    """The Java pattern of a column of wildcards, as wildcard_regex() makes it of one."""
-    plain = F.concat(F.lit(r"\A\Q"), F.replace(pattern, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\z"))
-    any_ = F.replace(F.replace(pattern, F.lit("*"), F.lit(f"[^{LINE_ENDS}]*")), F.lit("?"), F.lit(f"[^{LINE_ENDS}]"))
-    return F.when(pattern == "*", F.lit(r"(?s)\A.*\z")).when(F.contains(pattern, F.lit("*")), F.concat(F.lit("^"), any_, F.lit(r"\z"))).otherwise(plain)
-
-
-def check_calls(calls: DataFrame, agents: DataFrame, pins: DataFrame, dangerous: Sequence[str] = ()) -> DataFrame:
+def check_calls(calls: DataFrame, agents: DataFrame, pins: DataFrame, dangerous: Sequence[str] = (), read_only: bool | Column = False, at: str | None = None) -> DataFrame:
     """Adds decision and violations to calls (agent_id, name, server_id) by policies in tables
     (T2-T8): `agents` has agent_id, allowed and denied, `pins` server_id and known_tools, such as
     pin_manifests() gives, each name once. Checks and order are those of tool_violations(); agents
-    and servers that are not in the tables are not checked. Both joins keep every call, also those
-    with a null agent ("default") or server."""
-    allowed, denied, known, who = fresh(calls, "_allowed", "_denied", "_known", "_agent")
-    named = calls.withColumn(who, F.coalesce("agent_id", F.lit("default")))
-    listed = named.join(agents.select(F.col("agent_id").alias(who), F.col("allowed").alias(allowed), F.col("denied").alias(denied)), who, "left")
-    pinned = listed.join(pins.select("server_id", F.col("known_tools").alias(known)), "server_id", "left")
+    and servers that are not in the tables are not checked. `read_only` holds for all calls or by
+    row. With `at`, a column of times, `pins` is their history (with pinned_at) and each call is
+    judged by the pin of its time. Every call stays, also with a null agent ("default") or server.
+
+    Wildcards are rows of an index: each distinct agent and name tries those that can match.
+    """
+    known, who, allowed, rule, checked, other, named = fresh(calls, "_known", "_agent", "_allowed", "_rule", "_checked", "_for_agent", "_for_name")
+    kept = [c for c in calls.columns if c not in ("violations", "decision")]
+    asked = calls.select(*kept, F.coalesce("agent_id", F.lit("default")).alias(who))
+    names = asked.select(F.col(who).alias("agent_id"), "name").distinct()
+    listed = names.join(agents.select("agent_id").distinct(), "agent_id").join(matched_names(names, wildcard_index(agents)), ["agent_id", "name"], "left")
+    judged = listed.select(F.col("agent_id").alias(other), F.col("name").alias(named), F.coalesce("allowed", F.lit(False)).alias(allowed), F.col("rule").alias(rule), F.lit(True).alias(checked))
+    joined = asked.join(judged, asked[who].eqNullSafe(judged[other]) & asked["name"].eqNullSafe(judged[named]), "left").drop(other, named)
+    if at is None:
+        pinned = joined.join(pins.select("server_id", F.col("known_tools").alias(known)), "server_id", "left")
+    else:
+        # Columns of the calls with the names of the pin's step aside meanwhile.
+        mine = {c: n for c, n in zip(("pinned_at", "known_tools"), fresh(joined, "_pinned_at", "_known_tools")) if c in kept}
+        pinned = pins_as_of(joined.withColumnsRenamed(mine), pins, mine.get(at, at)).withColumnRenamed("known_tools", known).drop("pinned_at").withColumnsRenamed({n: c for c, n in mine.items()})
     name, server, agent = F.col("name"), F.col("server_id"), F.col(who)
-    hits = lambda patterns: F.filter(patterns, lambda p: F.rlike(name, wildcard_column(p)))
-    rule = F.get(hits(F.col(denied)), F.lit(0))
     said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     danger = F.array(violation("tool_denied", said("Tool '", name, "' matches global dangerous pattern"), F.lit("Matched global.dangerousPatterns")))
-    refused = F.array(violation("tool_denied", said("Tool '", name, "' denied for agent '", agent, "'"), said("Matched deny pattern: ", rule)))
-    unlisted = F.when(F.size(hits(F.col(allowed))) == 0, violation("tool_denied", said("Tool '", name, "' not in allow list for agent '", agent, "'"), None))
+    frozen = F.array(violation("tool_denied", said("Tool '", name, "' blocked: read-only mode active"), None))
+    refused = F.array(violation("tool_denied", said("Tool '", name, "' denied for agent '", agent, "'"), said("Matched deny pattern: ", F.col(rule))))
+    unlisted = F.when(F.col(checked) & ~F.col(allowed), violation("tool_denied", said("Tool '", name, "' not in allow list for agent '", agent, "'"), None))
     drift = F.when(
         (F.length(server) > 0) & ~F.array_contains(known, name),
         violation("manifest_drift", said("Tool '", name, "' not in pinned manifest for server '", server, "'"), said("Known tools: ", F.array_join(known, ", "))),
     )
-    found = F.when(matches_any(name, dangerous), danger).when(rule.isNotNull(), refused).otherwise(F.array_compact(F.array(unlisted, drift))).cast(NO_VIOLATIONS)
+    only_reads = read_only if isinstance(read_only, Column) else F.lit(read_only)
+    found = F.when(matches_any(name, dangerous), danger).when(only_reads, frozen).when(F.col(rule).isNotNull(), refused).otherwise(F.array_compact(F.array(unlisted, drift))).cast(NO_VIOLATIONS)
     done = pinned.withColumn("violations", found).withColumn("decision", tool_decision(F.col("violations")))
-    return done.select(*[c for c in calls.columns if c not in ("violations", "decision")], "decision", "violations")
+    return done.select(*kept, "decision", "violations")
 
 
 def call_rates(calls: DataFrame, agent: str, at: str, per_minute: int) -> DataFrame:
@@ -221,26 +237,20 @@ def call_rates(calls: DataFrame, agent: str, at: str, per_minute: int) -> DataFr
     return joined.withColumn("over_limit", F.col("calls_last_minute") > per_minute)
 
 
-def limit_calls(calls: DataFrame, session: str, tie: str, depth: str | None = None, per_session: int | None = None, approvals: Sequence[str] = (), max_depth: int | None = None) -> DataFrame:
+def limit_calls(calls: DataFrame, session: str, tie: str, depth: str | None = None, per_session: int | None = None, approvals: Sequence[str] = (), max_depth: int | Column | None = None) -> DataFrame:
     """Adds `limits`, the names of the limits that a call breaks or meets (T11, E4): calls of its
     session in order of `tie` beyond `per_session`, tools that need approval (wildcards over
-    `name`), and chains deeper than `max_depth`. Null sessions and depths break no limit.
+    `name`), and chains deeper than `max_depth`, which can come by row, such as max_chain_depth of
+    presets_table(). Null sessions, depths and maxima break no limit.
 
     Numbers of calls are sums over ranges of `tie` first, so a long session is spread.
     """
     tests = []
-    nth, part, start, inside = fresh(calls, "_nth", "_part", "_start", "_inside")
+    (nth,) = fresh(calls, "_nth")
     out = calls
     if per_session is not None:
-        cut = F.floor(F.col(tie).cast("double") / 10_000)
-        parted = calls.withColumn(part, cut)
-        before = Window.partitionBy(session).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-        starts = parted.groupBy(session, part).agg(F.count("*").alias(inside)).withColumn(start, F.coalesce(F.sum(inside).over(before), F.lit(0))).drop(inside)
-        order = Window.partitionBy(session, part).orderBy(tie)
-        placed = parted.withColumn(inside, F.row_number().over(order))
-        joined = placed.join(starts.withColumnsRenamed({session: "s", part: "p"}), placed[session].eqNullSafe(F.col("s")) & placed[part].eqNullSafe(F.col("p")), "left")
-        out = joined.select(*[placed[c] for c in calls.columns], (F.col(start) + F.col(inside)).alias(nth))
-        tests.append(F.when(F.col(session).isNotNull() & (F.col(nth) > per_session), "session_limit"))
+        out = numbered(calls, [session], tie, tie, nth)
+        tests.append(F.when(F.col(session).isNotNull() & (F.col(nth) >= per_session), "session_limit"))
     if approvals:
         tests.append(F.when(matches_any(F.col("name"), approvals), "needs_approval"))
     if max_depth is not None and depth is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweir.functions.fixed import FALLBACK_PRICE, HEADERS, PRESETS, PRICES, ROLE_MARKERS, RULES
-from textweir.operators import audit, cache, canary, chain, cost, extract, injection, pii, policy
+from textweir.operators import audit, cache, canary, chain, cost, extract, injection, lookups, pii, policy
 from textweir.sources.tables import read, spread
 from textweir.streaming import chunks
 
@@ -353,6 +353,57 @@ def tool_policy_tables(spark: SparkSession, d: str) -> DataFrame:
     return done.select("event_id", "decision", kinds.alias("kinds"), F.coalesce(F.get(F.transform("violations", lambda v: v["message"]), F.lit(0)), F.lit("")).alias("message"))
 
 
+def pattern_calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Calls of many agents, and their wildcards: an agent may call what a third of its events name,
+    up to the number, and is denied an ending and what half of its events delete."""
+    calls = tool_calls(spark, d).withColumn("agent_id", F.concat(F.lit("agent-"), (F.col("event_id") % 101).cast("string")))
+    stem = F.regexp_replace("name", "[0-9]+$", "")
+    allowed = F.sort_array(F.collect_set(F.when(F.col("event_id") % 3 == 0, F.concat(stem, F.lit("*")))))
+    ending = F.concat(F.lit("*_"), (F.min("event_id") % 7).cast("string"))
+    exact = F.sort_array(F.collect_set(F.when(F.startswith("name", F.lit("delete_")) & (F.col("event_id") % 2 == 0), F.col("name"))))
+    return calls, calls.groupBy("agent_id").agg(allowed.alias("allowed"), F.concat(F.array(ending), exact).alias("denied"))
+
+
+def tool_policy_wildcards(spark: SparkSession, d: str) -> DataFrame:
+    """Policies of many wildcards that are data themselves; some calls come in read-only mode."""
+    calls, agents = pattern_calls(spark, d)
+    done = policy.check_calls(calls, agents, policy.policy_tables(spark, policy.ToolPolicy())[1], read_only=F.col("event_id") % 11 == 0)
+    first = F.get("violations", F.lit(0))
+    return done.select("event_id", "decision", F.coalesce(first["message"], F.lit("")).alias("message"), F.coalesce(first["detail"], F.lit("")).alias("detail"))
+
+
+SQL_WILDCARDS = f"""
+WITH c AS MATERIALIZED (SELECT event_id, 'agent-' || (event_id % 101) AS agent, name FROM ({SQL_CALLS})),
+ s AS (SELECT agent, '*_' || (min(event_id) % 7) AS p, 0 AS place FROM c GROUP BY agent
+  UNION ALL SELECT agent, name, row_number() OVER (PARTITION BY agent ORDER BY name) FROM (SELECT DISTINCT agent, name FROM c WHERE starts_with(name, 'delete_') AND event_id % 2 = 0)),
+ a AS (SELECT DISTINCT agent, regexp_replace(name, '[0-9]+$', '') || '*' AS p FROM c WHERE event_id % 3 = 0),
+ n AS (SELECT DISTINCT agent, name FROM c),
+ r AS (SELECT n.agent, n.name, arg_min(s.p, s.place) AS rule FROM n JOIN s ON s.agent = n.agent AND regexp_full_match(n.name, replace(s.p, '*', '.*')) GROUP BY ALL),
+ o AS (SELECT DISTINCT n.agent, n.name FROM n JOIN a ON a.agent = n.agent AND regexp_full_match(n.name, replace(a.p, '*', '.*'))),
+ m AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'Tool ''' || c.name || ''' blocked: read-only mode active' WHEN rule IS NOT NULL THEN 'Tool ''' || c.name || ''' denied for agent ''' || c.agent || ''''
+  WHEN o.name IS NULL THEN 'Tool ''' || c.name || ''' not in allow list for agent ''' || c.agent || '''' ELSE '' END AS message, CASE WHEN event_id % 11 <> 0 AND rule IS NOT NULL THEN 'Matched deny pattern: ' || rule ELSE '' END AS detail
+  FROM c LEFT JOIN r ON r.agent = c.agent AND r.name = c.name LEFT JOIN o ON o.agent = c.agent AND o.name = c.name)
+SELECT event_id, CASE WHEN message = '' THEN 'allow' ELSE 'block' END AS decision, message, detail FROM m"""
+
+
+def tool_policy_history(spark: SparkSession, d: str) -> DataFrame:
+    """Drift by the pin of the time: servers pin each week what they were called for in the last."""
+    calls = tool_calls(spark, d)
+    week = (F.date_trunc("week", "ts") + F.expr("interval 7 days")).alias("pinned_at")
+    history = calls.where("server_id is not null and event_id % 3 <> 0").groupBy("server_id", week).agg(F.sort_array(F.collect_set("name")).alias("known_tools"))
+    agents = policy.policy_tables(spark, policy.ToolPolicy())[0]
+    done = policy.check_calls(calls, agents, history, at="ts")
+    return done.select("event_id", "decision", F.coalesce(F.get("violations", F.lit(0))["detail"], F.lit("")).alias("detail"))
+
+
+SQL_HISTORY = f"""
+WITH c AS MATERIALIZED ({SQL_CALLS}),
+ h AS (SELECT server_id, date_trunc('week', ts) + INTERVAL 7 DAY AS pinned_at, list(DISTINCT name ORDER BY name) AS known FROM c WHERE server_id IS NOT NULL AND event_id % 3 <> 0 GROUP BY ALL),
+ j AS (SELECT c.event_id, c.name, h.known FROM c ASOF LEFT JOIN h ON c.server_id = h.server_id AND c.ts >= h.pinned_at)
+SELECT event_id, CASE WHEN known IS NOT NULL AND NOT list_contains(known, name) THEN 'block' ELSE 'allow' END AS decision,
+ CASE WHEN known IS NOT NULL AND NOT list_contains(known, name) THEN 'Known tools: ' || array_to_string(known, ', ') ELSE '' END AS detail FROM j"""
+
+
 def session_limits(spark: SparkSession, d: str) -> DataFrame:
     """Limits of sessions, approvals and chains that calls break."""
     calls = tool_calls(spark, d).withColumns({"session_id": F.concat("agent_id", F.lit("/"), F.to_date("ts").cast("string")), "depth": (F.col("event_id") % 11).cast("int")})
@@ -435,6 +486,12 @@ def cost_by_model(spark: SparkSession, d: str) -> DataFrame:
 SQL_BY_MODEL = f"SELECT model, {sql_price(0)} AS in_per_m, {sql_price(1)} AS out_per_m, count(*) AS n, round(sum(cost), 8) AS cost FROM ({SQL_SPENT}) GROUP BY ALL"
 
 
+def cost_by_price_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table of prices, which calls join by the beginnings of their model."""
+    done = lookups.priced(cost_calls(spark, d).drop("cost"), cost.prices_table(spark))
+    return done.groupBy("model", "in_per_m", "out_per_m").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 8).alias("cost"))
+
+
 def budget_bucket_spend(spark: SparkSession, d: str) -> DataFrame:
     spent = cost.bucket_spend(cost_calls(spark, d), cost.budgets_table(spark, BUDGETS))
     return spent.select("entity_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("spend", 8).alias("spend"))
@@ -677,8 +734,8 @@ QUERIES = {
         injection_rule_hits, injection_scores, injection_decision_by_preset, structural_signals,
         pii_type_counts, pii_values, pii_entities, pii_masked, pii_density_by_lang,
         scan_decisions, scan_results, decision_rollup, scan_distinct,
-        tool_policy, tool_policy_tables, manifest_pins, manifest_verify, tool_call_rates, session_limits,
-        cost_by_model, budget_bucket_spend, current_spend, budget_check_running, budget_gated, spend_anomalies,
+        tool_policy, tool_policy_tables, tool_policy_wildcards, tool_policy_history, manifest_pins, manifest_verify, tool_call_rates, session_limits,
+        cost_by_model, cost_by_price_table, budget_bucket_spend, current_spend, budget_check_running, budget_gated, spend_anomalies,
         canary_leaks, cache_hits, audit_records, audit_by_month,
         user_content, extract_bodies, routed_requests, blocked_responses, rewritten_turns, system_prompts, stream_reassembly, stream_costs,
     )
@@ -699,6 +756,9 @@ ORACLES = {
     "system_prompts": SQL_SYSTEM,
     "stream_costs": SQL_STREAM_COSTS,
     "tool_policy_tables": SQL_TOOLS,
+    "tool_policy_wildcards": SQL_WILDCARDS,
+    "tool_policy_history": SQL_HISTORY,
+    "cost_by_price_table": SQL_BY_MODEL,
     "session_limits": SQL_LIMITS,
     "current_spend": SQL_CURRENT,
     "pii_density_by_lang": SQL_DENSITY,

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -67,10 +67,56 @@ def write_costs(records: DataFrame, path: str) -> None:
     row.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_pins(pins: DataFrame, path: str) -> None:
-    """Replaces the table of pins, with the time of pinning."""
-    row = pins.withColumn("pinned_at", F.current_timestamp())
-    row.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(PIN_SCHEMA)]).write.mode("overwrite").parquet(path)
+def write_pins(pins: DataFrame, path: str, pinned_at: Column | None = None) -> None:
+    """Appends pins with their time, now by default (A13): the table is their history, of which
+    pins_as_of() finds the pin of a time and latest_pins() the present ones."""
+    row = pins.withColumn("pinned_at", F.current_timestamp() if pinned_at is None else pinned_at)
+    row.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(PIN_SCHEMA)]).write.mode("append").parquet(path)
+
+
+def latest_pins(history: DataFrame) -> DataFrame:
+    """The last pin of each server."""
+    columns = [c for c in history.columns if c != "server_id"]
+    last = F.max_by(F.struct(*columns), F.struct("pinned_at", "known_tools"))
+    return history.groupBy("server_id").agg(last.alias("pin")).select("server_id", *[F.col("pin")[c].alias(c) for c in columns])
+
+
+#: Columns of which every row group keeps a Bloom filter, for look-ups of single values.
+LOOKED_UP = ("session_id", "agent_id", "id")
+
+
+def write_searchable(records: DataFrame, path: str, columns: Sequence[str] = LOOKED_UP, rows: int = 1_000_000) -> None:
+    """Appends audit records by month, with Bloom filters on the columns that look-ups name, so that
+    row groups without a value are not read whatever the order of the rows."""
+    writer = records.write.mode("append").partitionBy("created_month").option("maxRecordsPerFile", rows)
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+    writer.parquet(path)
+
+
+VIOLATION_INDEX = "violation_type string, day date, id string, created_month date"
+
+
+def violation_index(records: DataFrame) -> DataFrame:
+    """(violation_type, day, id, created_month): a row for each kind of violation of each audit record
+    that has one, the inverted index of the violations column (A11)."""
+    types = F.array_distinct(F.transform(F.from_json("violations", "array<struct<type:string>>"), lambda v: v["type"]))
+    return records.select(F.explode(types).alias("violation_type"), F.to_date("timestamp").alias("day"), "id", "created_month")
+
+
+def write_violation_index(records: DataFrame, path: str) -> None:
+    """Appends the index of records by type and month, in order of days: a look-up reads the files of
+    its type and months, and of those the row groups of its days."""
+    rows = violation_index(records)
+    rows.repartition("violation_type", "created_month", "day").sortWithinPartitions("violation_type", "created_month", "day").write.mode("append").partitionBy("violation_type", "created_month").parquet(path)
+
+
+def with_violation(records: DataFrame, index: DataFrame, violation_type: str, first: date, last: date) -> DataFrame:
+    """Audit records with a violation of a type on days from first to last, by way of the index:
+    months of records without one are not read."""
+    found = index.where((F.col("violation_type") == violation_type) & F.col("day").between(first, last) & F.col("created_month").between(first.replace(day=1), last))
+    months = [r[0] for r in found.select("created_month").distinct().collect()]  # of the days asked for
+    return records.where(F.col("created_month").isin(months)).join(found.select("id").distinct(), "id", "left_semi")
 
 
 def schema_of(text: str) -> StructType:
