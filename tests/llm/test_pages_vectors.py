@@ -127,3 +127,55 @@ def test_neighbours(spark, n, scale):
         total += len(expected[q])
     assert hits / total >= 0.9
     assert neighbours.nearest(df.where("false")).count() == 0
+
+
+def test_what_all_articles_share_stays_and_boxes_go():
+    from textweir.llm.wrapper import extract, induce
+
+    pages = [f"<html><body><article><h1>T{k}</h1><p>para {k} is here</p><h2>Conclusion</h2><p>end {k}</p><div class=tools><span>Print this page</span></div></article></body></html>" for k in range(8)]
+    assert extract(pages[0], induce(pages)) == "T0\npara 0 is here\nConclusion\nend 0"
+
+
+def test_alignment_of_large_tables_is_bounded():
+    import time
+
+    from textweir.llm.wrapper import collapse, extract, induce, match, parse
+
+    def page(n, k):
+        rows = "".join(f"<tr class={'ab'[i % 2]}>" + "".join(f"<td class={'cd'[(i + j) % 2]}>{k} {i} {j}</td>" for j in range(20)) + "</tr>" for i in range(n))
+        return f"<html><body><ul><li>Home</li></ul><div class=c><table>{rows}</table><p>text {k} of this page</p></div></body></html>"
+
+    began = time.process_time()
+    template = induce([page(300 + 5 * k, k) for k in range(4)])
+    assert extract(page(300, 9), template).count("\n") == 300 * 20 - 1 and time.process_time() - began < 60
+    a, b = collapse(parse(page(7, 0))), collapse(parse(page(5, 1)))
+    pairs = match(a, b)
+    assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs}) and all(x.tag == y.tag for x, y in pairs)
+
+
+def test_matching_is_as_heavy_as_by_brute_force():
+    import random
+
+    from textweir.llm.wrapper import Group, match
+
+    rng = random.Random(1)
+
+    def tree(depth):
+        node = Group(rng.choice("xy"), (rng.choice("pq"),))
+        node.kids = [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        return node
+
+    def heaviest(a, b):
+        if a.tag != b.tag:
+            return 0
+        n, m = len(a.kids), len(b.kids)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + heaviest(a.kids[i], b.kids[j]))
+        return 1 + (a.names == b.names) + best[n][m]
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        b.tag = a.tag
+        assert sum(1 + (x.names == y.names) for x, y in match(a, b)) == heaviest(a, b)

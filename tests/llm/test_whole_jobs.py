@@ -190,3 +190,59 @@ def test_registered_ngrams_use_all_trigrams(spark, docs, texts, tmp_path):
             gram = tuple(w[i - n + 1 : i + 1])
             expected += math.log(counts[n - 1][gram] / (counts[n - 2][gram[:-1]] if n > 1 else total))
         assert r.n_tokens == len(w) and r.log_score == pytest.approx(expected, abs=1e-6)
+
+
+def shared_out(total, rooms, weights):
+    """Budgets of a tree of names by filling up: a child that is full leaves its share to the others."""
+
+    def room(node):
+        return float(node) if not isinstance(node, dict) else sum(room(v) for v in node.values())
+
+    def give(node, budget, path, out):
+        if not isinstance(node, dict):
+            out[path] = budget
+            return
+        level, left, open_ = ("domain", "lang", "source")[len(path)], budget, dict(node)
+        weight = {k: weights.get(level, {}).get(k, 1.0) for k in node}
+        given = {k: 0.0 for k in node}
+        open_ = {k: v for k, v in node.items() if weight[k] > 0 and room(v) > 0}
+        while open_ and left > 1e-12:
+            each = left / sum(weight[k] for k in open_)
+            full = [k for k in open_ if room(open_[k]) - given[k] <= each * weight[k]]
+            if not full:
+                for k in open_:
+                    given[k] += each * weight[k]
+                break
+            for k in full:
+                left -= room(open_[k]) - given[k]
+                given[k] = room(open_.pop(k))
+        for k in node:
+            give(node[k], given[k], (*path, k), out)
+
+    def shut(node, path=()):
+        if any(weights.get(l, {}).get(k, 1.0) == 0 for l, k in zip(("domain", "lang", "source"), path)):
+            return 0.0 if not isinstance(node, dict) else {k: shut(v, (*path, k)) for k, v in node.items()}
+        return node if not isinstance(node, dict) else {k: shut(v, (*path, k)) for k, v in node.items()}
+
+    out, tree = {}, shut(rooms)
+    give(tree, min(total, room(tree)), (), out)
+    return out
+
+
+def test_weights_of_zero(spark, docs):
+    from textweir.llm.mixing import mix, quotas
+
+    rows = [("d0", "en", "a", 100), ("d0", "en", "b", 50), ("d0", "de", "a", 30), ("d1", "en", "c", 10), ("d1", "de", "c", 500), ("d2", "fr", "e", 40)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, room long")
+    tree = {}
+    for d, l, s, n in rows:
+        tree.setdefault(d, {}).setdefault(l, {})[s] = n
+    for weights in ({}, {"source": {"a": 0.0}}, {"domain": {"d1": 0}, "source": {"b": 0.0, "e": 3.0}}, {"lang": {"en": 0.0, "de": 0.0}}, {"source": {k: 0.0 for k in "abce"}}, {"domain": {"d0": 5.0}, "lang": {"de": 0.5}}):
+        for total in (0, 60, 200, 10_000):
+            got = {(r.domain, r.lang, r.source): r.budget for r in quotas(leaves, F.lit(total), weights).collect()}
+            assert got == pytest.approx(shared_out(total, tree, weights))
+    mixed = mix(docs, share=0.9, weights={"source": {"src1": 0.0}, "lang": {"de": 0.0}}).collect()
+    assert mixed and not any(r.source == "src1" or r.lang == "de" for r in mixed)
+    assert mix(docs, share=0.9, weights={"lang": {"": 0.0, "de": 0.0, "en": 0.0}}).count() == 0
+    with pytest.raises(ValueError):
+        mix(docs, share=0.9, weights={"lang": {"de": -1.0}})

@@ -28,6 +28,8 @@ def domain_of(source: Column) -> Column:
 def weight_of(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:
     """Weight of a node by its name at a level; names without one weigh 1."""
     given = weights.get(level, {})
+    if wrong := [name for name, weight in given.items() if not weight >= 0]:
+        raise ValueError(f"weights are numbers from 0, but not those of {wrong}")
     out = F.lit(1.0)
     for name, weight in given.items():
         out = F.when(F.col(level) == name, float(weight)).otherwise(out)
@@ -38,17 +40,19 @@ def divide(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     """Divides each parent's `budget` among its children by `weight`, none above its `room`.
 
     What a full child cannot take goes to its siblings by weight. Children in order of room per
-    weight: the first ones that fill up get their room, the rest share what is left.
+    weight: the first ones that fill up get their room, the rest share what is left. A child
+    without room, such as one of weight 0, is full from the start.
     """
-    order = Window.partitionBy(*parents).orderBy(F.col("room") / F.col("weight"), name)
+    ratio = F.when(F.col("room") > 0, F.try_divide("room", "weight")).otherwise(0.0)
+    order = Window.partitionBy(*parents).orderBy(ratio, name)
     before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.col("budget") - F.col("before")) / F.col("rest")
+    level = F.try_divide(F.col("budget") - F.col("before"), F.col("rest"))
     shared = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*parents))
     return (
         nodes.withColumns({"before": before, "rest": rest})
         .withColumn("level", level)
-        .withColumn("full", F.col("level") >= F.col("room") / F.col("weight"))
+        .withColumn("full", (F.col("room") == 0) | (F.col("level") >= ratio))
         .withColumn("budget", F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.col("weight") * shared))
         .drop("before", "rest", "level", "full", "weight", "room")
     )
@@ -57,7 +61,12 @@ def divide(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 def quotas(leaves: DataFrame, total: Column, weights: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """Token budget of each leaf (columns LEVELS and room): top down, so a shortage below a node
     is first shared among its own children and reaches its siblings only as far as they cannot
-    take it. The whole budget is `total`, or all room if that is less."""
+    take it. The whole budget is `total`, or all room if that is less. A weight of 0 leaves a node
+    and all below it no room, so a node whose children all have none passes its share on."""
+    shut = F.lit(False)
+    for level in LEVELS:
+        shut = shut | (weight_of(level, weights) == 0)
+    leaves = leaves.withColumn("room", F.when(shut, F.lit(0).cast(dict(leaves.dtypes)["room"])).otherwise(F.col("room")))
     root = leaves.agg(F.least(total.cast("double"), F.sum("room").cast("double")).alias("budget"))
     at, above = root, []
     for level in LEVELS:
@@ -92,7 +101,8 @@ def mix(
     down the tree domain, lang, source by weights; a leaf holds at most `epochs` times its tokens
     and what it cannot take is redistributed among siblings before ancestors. A leaf takes whole
     epochs and of the last one the longest prefix of documents, in the order of a seeded hash,
-    that its budget holds; so a copy count is the epochs a document is in. Null names are the
+    that its budget holds; so a copy count is the epochs a document is in. A node of weight 0 is
+    left out, negative weights are refused. Null names are the
     name ''. A null text has one token. Rows that repeat are documents each, in order of their
     texts' hash. An empty table gives an empty result. Added columns: domain, tokens, copies;
     input columns of these names are replaced.

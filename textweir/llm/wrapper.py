@@ -18,9 +18,6 @@ from .common import staged
 REFERENCES, DISTINCT = 8, 3
 #: Bytes of all templates up to which they are broadcast; beyond, they are joined by host.
 BROADCAST_BYTES = 16 << 20
-#: Cells of one matching of children that are all computed; in larger ones those within BAND of
-#: the diagonal.
-CELLS, BAND = 40_000, 16
 #: How much more a character counts inside a main or article element when the content is sought.
 INSIDE = 8
 
@@ -181,55 +178,59 @@ def united(kids: list[Group], runs: list[Group]) -> list[Group]:
     return kids if not new else [*new.get(-1, []), *(x for i, kid in enumerate(kids) for x in (kid, *new.get(i, [])))]
 
 
-def cells(a: Group, b: Group) -> tuple[list[tuple[int, int]], int, int]:
-    """Pairs of places of children that may match: all of one tag. Beyond CELLS equal children at
-    both ends match each other and the others stay near the diagonal. Also how many match so at
-    the front and at the end."""
-    x, y = a.kids, b.kids
-    n, m = len(x), len(y)
-    front = back = 0
-    if n * m > CELLS:
-        while front < min(n, m) and x[front].label() == y[front].label():
-            front += 1
-        while back < min(n, m) - front and x[n - 1 - back].label() == y[m - 1 - back].label():
-            back += 1
-    out = [(i, i) for i in range(front)] + [(n - i, m - i) for i in range(back, 0, -1)]
-    rows, columns = n - front - back, m - front - back
-    for i in range(rows):
-        low, high = 0, columns
-        if rows * columns > CELLS:
-            middle = i * columns // rows
-            low, high = max(middle - BAND, 0), min(middle + BAND + 1, columns)
-        out += [(front + i, front + j) for j in range(low, high) if x[front + i].tag == y[front + j].tag]
-    return out, front, back
+def shapes(roots: list[Group]) -> dict[int, int]:
+    """A number for each node of some trees, by id: nodes have the same one if the trees below them
+    are equal in tags and names."""
+    order = list(roots)
+    for node in order:
+        order += node.kids
+    known: dict[tuple, int] = {}
+    out: dict[int, int] = {}
+    for node in reversed(order):
+        out[id(node)] = known.setdefault((node.tag, node.names, *(out[id(k)] for k in node.kids)), len(known))
+    return out
 
 
 def match(a: Group, b: Group) -> list[tuple[Group, Group]]:
     """Simple tree matching: of two trees with equal roots, the pairs of nodes of a largest matching
-    that keeps parents and the order of siblings. Nodes match by tag; equal names weigh as much again."""
+    that keeps parents and the order of siblings. Nodes match by tag; equal names weigh as much again.
+
+    A matching depends on shapes alone, so each pair of shapes is matched once, however often it
+    occurs. Equal trees match wholly and no other match of either weighs more, so equal children at
+    both ends match each other, and only those between are tried in all ways.
+    """
+    shape = shapes([a, b])
     best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
     open_: dict[tuple[int, int], tuple] = {}
     stack = [(a, b)]
     while stack:
         x, y = stack[-1]
-        key = (id(x), id(y))
+        key = (shape[id(x)], shape[id(y)])
         if key in best:
             stack.pop()
             continue
         if key not in open_:
-            open_[key] = cells(x, y)
-            stack += [(x.kids[i], y.kids[j]) for i, j in open_[key][0]]
+            left, right = [shape[id(k)] for k in x.kids], [shape[id(k)] for k in y.kids]
+            most, front, back = min(len(left), len(right)), 0, 0
+            while front < most and left[front] == right[front]:
+                front += 1
+            while back < most - front and left[-1 - back] == right[-1 - back]:
+                back += 1
+            fixed = [(i, i) for i in range(front)] + [(len(left) - i, len(right) - i) for i in range(back, 0, -1)]
+            rows, columns = range(front, len(left) - back), range(front, len(right) - back)
+            between = [(i, j) for i in rows for j in columns if x.kids[i].tag == y.kids[j].tag]
+            open_[key] = fixed, between
+            needed = {(left[i], right[j]): (x.kids[i], y.kids[j]) for i, j in fixed + between}
+            stack += [pair for k, pair in needed.items() if k not in best]
             continue
-        pairs, front, back = open_.pop(key)
-        weights = {(i, j): best[id(x.kids[i]), id(y.kids[j])][0] for i, j in pairs}
-        ends = len(x.kids) - back
-        fixed = [(i, j) for i, j in pairs if i < front or i >= ends]
-        chosen = fixed + ordered({k: w for k, w in weights.items() if front <= k[0] < ends})
-        best[key] = 1 + (x.names == y.names) + sum(weights[k] for k in chosen), chosen
+        fixed, between = open_.pop(key)
+        weight = lambda i, j: best[shape[id(x.kids[i])], shape[id(y.kids[j])]][0]
+        chosen = fixed + ordered({(i, j): weight(i, j) for i, j in between})
+        best[key] = 1 + (x.names == y.names) + sum(weight(i, j) for i, j in chosen), chosen
         stack.pop()
     out = [(a, b)]
     for x, y in out:
-        out += [(x.kids[i], y.kids[j]) for i, j in best[id(x), id(y)][1]]
+        out += [(x.kids[i], y.kids[j]) for i, j in best[shape[id(x)], shape[id(y)]][1]]
     return out
 
 
@@ -292,6 +293,9 @@ def decide(template: Group, pages: int) -> Group:
     half of the varying text: links do not count, text inside main and article elements counts
     INSIDE times, that of elements set aside not at all. A main or article element around it is
     taken whole, and headings beside it or beside what it lies in belong to it.
+
+    A heading that all articles of a host share stands among blocks that vary, so it is theirs and
+    not constant; it goes only with a whole part of the page that varies nowhere.
     """
     order = [(template, -1, False, False)]
     for i, (node, _, inside, aside) in enumerate(order):
@@ -307,6 +311,14 @@ def decide(template: Group, pages: int) -> Group:
     for i, (node, parent, _, _) in enumerate(order):
         if parent == at and 2 * mass[i] > mass[0] and node.tag not in LEAVES:
             at = i
+    varies = [any(t not in node.constant for t in node.texts) for node, *_ in order]
+    for i in range(len(order) - 1, 0, -1):
+        varies[order[i][1]] |= varies[i]
+    part = list(range(len(order)))
+    for i, (node, parent, _, _) in enumerate(order):
+        part[i] = part[parent] if parent >= 0 and node.tag in LEAVES else i
+        if node.tag in HEADINGS and varies[part[i]]:
+            node.constant = frozenset()
     path = [at]
     while order[path[-1]][1] >= 0:
         path.append(order[path[-1]][1])
