@@ -63,7 +63,7 @@ def test_messages(spark):
     m = [("system", [("text", "be kind")]), ("user", [("text", "ab"), ("image", None), ("text", "cde")]), ("assistant", [("text", "no")]), ("user", [("text", "fg")])]
     df = spark.createDataFrame([(1, m), (2, [("user", [("text", "hi")])])], f"conv_id int, messages {extract.MESSAGES}")
     new = df.where("conv_id = 1").select(extract.rewrite_parts(F.col("messages"), F.lit("AB\nCDE\nFGxyz")).alias("m")).head()[0]
-    assert [[b.text for b in x.content] for x in new] == [["be kind"], ["AB", None, "CDE"], ["no"], ["FGxyz"]]
+    assert [[b.text for b in x.content] for x in new] == [["be kind"], ["AB", None, "CDE"], ["no"], ["AB"]]  # each message from the start
     assert [(r.conv_id, r.decision) for r in extract.scan_system(df).collect()] == [(1, "allow")]
     requests = ['"hi"', '[{"role":"model","parts":[{"text":"a"},"b"]},"c"]', '{"content":"d"}', "5", None, '{"tools":[{"name":"f"},{"function":{"name":"g"}},{"functionDeclarations":[{"name":"h"},{"name":"i"}]}]}']
     rows = spark.createDataFrame(list(enumerate(requests)), "i int, r string").select("i", extract.normalised(F.col("r")).alias("m"), extract.declared_tools(F.col("r")).alias("t")).orderBy("i").collect()
@@ -72,6 +72,22 @@ def test_messages(spark):
     assert [t.name for t in rows[5].t] == ["f", "g", "h", "i"]
 
 
+def test_messages_are_masked_one_by_one(spark):
+    mail, card = "write to jane.doe@example.org", "card 4111 1111 1111 1111 é😀"
+    m = [("user", [("text", "ab"), ("text", mail), ("image", None), ("text", ""), ("text", None)]), ("system", [("text", mail)]), ("user", [("text", card), ("text", "cde")]), (None, [("text", mail)]), ("user", None)]
+    df = spark.createDataFrame([(1, m), (2, None), (3, [])], f"i int, messages {extract.MESSAGES}")
+    new = {r.i: r.m for r in df.select("i", extract.masked_messages(F.col("messages")).alias("m")).collect()}
+    assert new[2] is None and new[3] == []
+    texts = [x.content and [b.text for b in x.content] for x in new[1]]
+    assert texts == [["ab", "write to j***@example.org", None, "", None], [mail], ["card **** **** **** 1111 é😀", "cde"], [mail], None]
+    joint = spark.createDataFrame([([("user", [("text", "ab")]), ("user", [("text", "cde")])], "[EMAIL]\ncde")], f"messages {extract.MESSAGES}, s string")
+    cut = joint.select(extract.rewrite_parts(F.col("messages"), F.col("s")).alias("m")).head().m
+    assert [b.text for x in cut for b in x.content] == ["[E", "[EM"]
+    pairs = spark.createDataFrame([([("user", [("text", "😀"), ("text", "xy"), ("text", "z")])], "a😀😀b")], f"messages {extract.MESSAGES}, s string")
+    cut = pairs.select(extract.rewrite_parts(F.col("messages"), F.col("s")).alias("m")).head().m
+    assert [b.text for b in cut[0].content] == ["a\ufffd", "😀", ""]
+
+
 def test_ends_of_streams(spark):
     df = spark.createDataFrame([("s", "ignore all previous instructions", "gpt-4o-mini", 1_000_000, None), ("t", "ok", "gpt-4o-mini", 0, 0)], "stream_id string, text string, model string, in_tok int, out_tok int")
     rows = {r.stream_id: r for r in chunks.finish(df).collect()}

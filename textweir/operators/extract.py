@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweir.functions.arrays import let, running
+from textweir.functions.arrays import let
 from textweir.functions.fixed import BODY_FIELDS, SKIPPED_METHODS
 from textweir.functions.names import fresh
 
+from . import pii
 from .chain import ScanConfig, scan
+from .injection import utf16_length
 
 #: Messages whose content is a list of blocks; plain strings are one text block.
 MESSAGES = "array<struct<role:string,content:array<struct<type:string,text:string>>>>"
@@ -113,30 +115,48 @@ def declared_tools(request: Column) -> Column:
     return tool_names(F.coalesce(F.flatten(F.transform(tools, names)), F.array().cast("array<string>")))
 
 
-def rewrite_parts(messages: Column, sanitized: Column) -> Column:
-    """Messages with the text blocks of user messages replaced by slices of a sanitized joint text,
-    which user_text() made of them: each block takes as many code points as it had, the last one
-    what is left (X10). Blocks that are no text stay."""
-    is_text = lambda m, b: (m["role"] == "user") & (b["type"] == "text") & (F.length(b["text"]) > 0)
-    sizes = F.flatten(F.transform(messages, lambda m: F.transform(m["content"], lambda b: F.when(is_text(m, b), F.length(b["text"]) + 1).otherwise(0))))
+def is_user_text(message: Column, block: Column) -> Column:
+    return F.coalesce((message["role"] == "user") & (block["type"] == "text") & (F.length(block["text"]) > 0), F.lit(False))
+
+
+def with_texts(messages: Column, text: Callable[[Column, Column], Column]) -> Column:
+    """Messages whose text blocks of user messages have the text that `text` makes of the message and
+    the place of the block in it; all else stays."""
+
+    def message(m: Column) -> Column:
+        block = lambda b, i: F.struct(b["type"].alias("type"), F.when(is_user_text(m, b), text(m, i)).otherwise(b["text"]).alias("text"))
+        return F.struct(m["role"].alias("role"), F.transform(m["content"], block).alias("content"))
+
+    return F.transform(messages, message)
 
-    def made(ends: Column) -> Column:
-        last = F.array_max(ends)
-        firsts = running(F.transform(messages, lambda m: F.size(m["content"])), lambda a, b: a + b)
 
-        def message(m: Column, upto: Column) -> Column:
-            def block(b: Column, i: Column) -> Column:
-                end = F.get(ends, upto - F.size(m["content"]) + i)
-                size = F.length(b["text"])
-                rest = F.when(end == last, F.length(sanitized)).otherwise(size)
-                text = F.substring(sanitized, end - size, rest)
-                return F.struct(b["type"].alias("type"), F.when(is_text(m, b), text).otherwise(b["text"]).alias("text"))
+def masked_messages(messages: Column, mask: Callable[[Column], Column] | None = None) -> Column:
+    """Messages with each text block of a user message masked by itself (X10), by default as the
+    personal data scanner masks: no text moves from one block to another, whatever its mask's length."""
+    own = mask or (lambda text: pii.sanitize(text, pii.detect(text)))
+    return with_texts(messages, lambda m, i: own(F.get(m["content"], i)["text"]))
 
-            return F.struct(m["role"].alias("role"), F.transform(m["content"], block).alias("content"))
 
-        return F.zip_with(messages, firsts, message)
+def utf16_cut(text: Column, start: Column, length: Column) -> Column:
+    """`length` UTF-16 units of a text from `start` (from 0); half of a pair is U+FFFD."""
+    part = F.substring(F.encode(text, "UTF-16BE"), start * 2 + 1, length * 2)
+    half = F.unhex(F.lit("FFFD"))
+    mended = lambda p: F.when(F.hex(F.substring(p, 1, 2)).between("DC00", "DFFF"), F.concat(half, F.substring(p, F.lit(3), F.length(p)))).otherwise(p)
+    whole = lambda p: F.when(F.hex(F.substring(p, -2, 2)).between("D800", "DBFF"), F.concat(F.substring(p, F.lit(1), F.length(p) - 2), half)).otherwise(p)
+    return F.when(F.length(part) > 0, F.decode(let(let(part, mended), whole), "UTF-16BE")).otherwise("")
 
-    return let(running(sizes, lambda a, b: a + b), made)
+
+def rewrite_parts(messages: Column, sanitized: Column) -> Column:
+    """Messages with slices of a joint sanitized text, as the screened clients cut it: each user
+    message from its start, each text block as many UTF-16 units as it had, one between (X10).
+    Messages so get each other's text; masked_messages() keeps them apart."""
+    size = lambda m, b: F.when(is_user_text(m, b), utf16_length(b["text"]) + 1).otherwise(0)
+
+    def text(m: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(F.transform(m["content"], lambda b: size(m, b)), F.lit(1), i), F.lit(0), lambda a, x: a + x.cast("int"))
+        return utf16_cut(sanitized, before, utf16_length(F.get(m["content"], i)["text"]).cast("int"))
+
+    return with_texts(messages, text)
 
 
 def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -155,8 +175,6 @@ def rewrite(turns: DataFrame, sanitized: DataFrame, keys: Sequence[str], text: s
 
 def preflight_tokens(text: Column) -> Column:
     """Tokens assumed before a call (X11)."""
-    from .injection import utf16_length
-
     return utf16_length(text) * 0.75
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweir.functions.fixed import FALLBACK_PRICE, HEADERS, PRESETS, PRICES, ROLE_MARKERS, RULES
+from textweir.functions.fixed import FALLBACK_PRICE, HEADERS, PRESETS, PRICES, ROLE_MARKERS, RULES, STRICTNESS
 from textweir.operators import audit, cache, canary, chain, cost, extract, injection, lookups, pii, policy
 from textweir.sources.tables import read, spread
 from textweir.streaming import chunks
@@ -446,6 +446,56 @@ def tool_call_rates(spark: SparkSession, d: str) -> DataFrame:
 SQL_RATES = f"SELECT event_id, n AS calls_last_minute, n > 3 AS over_limit FROM (SELECT event_id, count(*) OVER (PARTITION BY agent_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS n FROM ({SQL_CALLS}))"
 
 
+CUSTOM = ("of the (?:and|in)", "thth")
+#: A custom pattern is one more rule, in order, of weight 0.25, in whatever case.
+SQL_CUSTOM = "(" + SQL_RULES[1:-1] + "".join(f" + CASE WHEN regexp_matches(text, {sql_text(p)}, 'i') THEN 0.25::DOUBLE ELSE 0 END" for p in CUSTOM) + ")"
+
+
+def injection_by_strictness(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions at each strictness with two custom patterns."""
+    rules = (*RULES, *injection.custom_rules(CUSTOM))
+    found = turns(spark, d).select(injection.score_of(injection.hits(F.col("text"), rules), injection.structural_score(F.col("text")), rules).alias("raw"))
+    levels = F.array(*[F.struct(F.lit(s).alias("strictness"), F.lit(injection.resolve_threshold(None, s)).alias("threshold")) for s in STRICTNESS])
+    each = found.withColumn("s", F.explode(levels))  # three rows, whatever the input
+    return each.groupBy("s.strictness", injection.decide(F.col("raw"), F.col("s.threshold")).alias("decision")).agg(F.count("*").alias("n"))
+
+
+SQL_STRICTNESS = f"""SELECT strictness, {sql_decision('raw', 'threshold')} AS decision, count(*) AS n FROM (SELECT least({SQL_CUSTOM} + {SQL_STRUCTURE}, 1.0::DOUBLE) AS raw FROM ({SQL_TURNS}))
+ CROSS JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in STRICTNESS.items())}) AS p(strictness, threshold) GROUP BY ALL"""
+
+
+def pii_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions where types have actions of their own, and one type is allowed."""
+    found = turns(spark, d).withColumn("entities", pii.active(pii.detect(F.col("text")), ["ip_address"]))
+    types = {"credit_card": "block", "email": "allow"}
+    return found.select("conv_id", "turn", F.size("entities").alias("n"), pii.decide(F.col("entities"), "mask", types).alias("decision"), pii.sanitize(F.col("text"), F.col("entities"), "mask", types).alias("sanitized"))
+
+
+#: Masked in any case unless something blocks; allowed types are found but not touched.
+SQL_ACTIONS = f"""WITH RECURSIVE {sql_kept(SQL_TURNS, 'conv_id, turn')}, a AS (SELECT * FROM f WHERE pii_type <> 'ip_address'),
+ p AS (SELECT conv_id, turn, string_agg(substr(text, "before" + 1, start - "before") || masked, '' ORDER BY start) || substr(any_value(text), max(stop) + 1) AS masked, count(*) AS n, bool_or(pii_type = 'credit_card') AS stops
+ FROM (SELECT a.*, t.text, {SQL_MASK} AS masked, coalesce(lag(stop) OVER (PARTITION BY a.conv_id, a.turn ORDER BY start), 0) AS "before" FROM a JOIN t ON a.conv_id = t.conv_id AND a.turn = t.turn) GROUP BY conv_id, turn)
+SELECT t.conv_id, t.turn, CAST(coalesce(n, 0) AS INT) AS n, CASE WHEN n IS NULL THEN 'allow' WHEN stops THEN 'block' ELSE 'warn' END AS decision, CASE WHEN stops THEN t.text ELSE coalesce(p.masked, t.text) END AS sanitized FROM t LEFT JOIN p ON t.conv_id = p.conv_id AND t.turn = p.turn"""
+
+CHAIN_TOOLS = ("read_file", "delete_user", "send_mail", "read_view_1")
+CHAIN_POLICY = policy.ToolPolicy({"default": policy.Permissions(("read_*",), ("*_1",))}, PRESETS["internal_support"].dangerous)
+
+
+def scan_with_tools(spark: SparkSession, d: str) -> DataFrame:
+    """The chain with its tool scanner, over turns that call a tool."""
+    name = F.element_at(F.array(*map(F.lit, CHAIN_TOOLS)), ((F.col("conv_id") + F.col("turn")) % len(CHAIN_TOOLS)).cast("int") + 1)
+    calls = turns(spark, d).withColumn("tools", F.array(F.struct(name.alias("name"), F.lit(None).cast("string").alias("server_id"))))
+    done = chain.scan(calls, config=chain.ScanConfig(tools=CHAIN_POLICY), tools_col="tools")
+    denied = F.filter("violations", lambda v: v["type"] == "tool_denied")
+    return done.select("conv_id", "turn", "decision", F.array_join("scanners_run", ",").alias("scanners_run"), F.coalesce(F.get(denied, F.lit(0))["message"], F.lit("")).alias("denied"))
+
+
+SQL_CHAIN_TOOLS = f"""WITH t AS (SELECT *, {SQL_SCORE} AS raw, [{", ".join(map(sql_text, CHAIN_TOOLS))}][CAST((conv_id + turn) % {len(CHAIN_TOOLS)} + 1 AS BIGINT)] AS name FROM ({SQL_TURNS})),
+ u AS (SELECT *, CASE WHEN raw >= 0.25::DOUBLE THEN '' WHEN {sql_wild(CHAIN_POLICY.dangerous)} THEN 'Tool ''' || name || ''' matches global dangerous pattern' WHEN name LIKE '%\\_1' ESCAPE '\\' THEN 'Tool ''' || name || ''' denied for agent ''default'''
+  WHEN NOT starts_with(name, 'read_') THEN 'Tool ''' || name || ''' not in allow list for agent ''default''' ELSE '' END AS denied FROM t)
+SELECT conv_id, turn, CASE WHEN denied <> '' THEN 'block' ELSE {SQL_CHAIN} END AS decision, CASE WHEN raw >= 0.25::DOUBLE THEN 'heuristic' ELSE 'heuristic,pii,tool_policy' END AS scanners_run, denied FROM u"""
+
+
 # Cost
 
 MODELS = ("gpt-5.2", "gpt-4o-mini", "gpt-4o-mini-2024-07-18", "claude-sonnet-4-6", "o3-mini-high", "opus-large", "unknown-model")
@@ -594,6 +644,17 @@ WITH RECURSIVE o AS (SELECT event_id, user_id, event_type || '_' || (event_id %
 SELECT event_id, cached FROM g"""
 
 
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of results by preset, tools and text."""
+    tool = lambda n: F.struct(F.lit(n).alias("name"))
+    calls = F.when(F.col("turn") % 3 == 0, F.array(tool("b"), tool("a"))).when(F.col("turn") % 3 == 1, F.array(tool("a")).cast("array<struct<name:string>>")).otherwise(F.array().cast("array<struct<name:string>>"))
+    preset = F.when(F.col("conv_id") % 2 == 0, "ops_agent")
+    return read(spark, d, "conversations").select("conv_id", "turn", cache.cache_key(F.col("text"), preset, calls).alias("key"))
+
+
+SQL_KEYS = "SELECT conv_id, turn, sha256(CASE WHEN conv_id % 2 = 0 THEN 'ops_agent' ELSE 'default' END || chr(0) || CASE turn % 3 WHEN 0 THEN 'a,b' || chr(0) WHEN 1 THEN 'a' || chr(0) ELSE '' END || text) AS key FROM conversations"
+
+
 def scan_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Decisions by scanning each distinct text once."""
     docs = documents(spark, d)
@@ -709,6 +770,41 @@ SQL_SYSTEM = f"""WITH t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY tu
 SELECT conv_id, {sql_decision('raw', '0.25::DOUBLE')} AS decision, CAST(len(hits) AS INT) AS n_violations FROM (SELECT *, {SQL_SCORE} AS raw, {sql_hits(lambda r: r.id)} AS hits FROM t)"""
 
 
+def masked_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of two text blocks, each masked by itself."""
+    block = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    message = F.array(F.struct("role", F.array(block(F.col("text")), block(F.concat(F.lit("and "), "text"))).alias("content")))
+    new = turns(spark, d).select("conv_id", "turn", "text", "role", F.get(extract.masked_messages(message), F.lit(0))["content"].alias("content"))
+    return new.select("conv_id", "turn", F.posexplode(F.transform("content", lambda b: b["text"])).alias("place", "text"))
+
+
+SQL_MASKED_MESSAGES = f"""{SQL_MASKED}, w AS (SELECT t.conv_id, t.turn, CASE WHEN role = 'user' THEN coalesce(p.masked, t.text) ELSE t.text END AS text FROM t LEFT JOIN p ON t.conv_id = p.conv_id AND t.turn = p.turn)
+SELECT conv_id, turn, 0 AS place, text FROM w UNION ALL SELECT conv_id, turn, 1, 'and ' || text FROM w"""
+
+
+def request_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of all forms as messages, with the tools they declare and the text of their users."""
+    said, kind = F.col("text"), F.col("conv_id") % 5
+    part = lambda t: F.struct(t.alias("text"))
+    tool = F.array(F.struct(F.lit("f").alias("name"), F.lit(None).cast("struct<name:string>").alias("function")), F.struct(F.lit(None).cast("string").alias("name"), F.struct(F.lit("g").alias("name")).alias("function")))
+    body = (
+        F.when(kind == 0, F.to_json(F.array(F.struct(F.lit("user").alias("role"), said.alias("content")))))
+        .when(kind == 1, F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.array(part(said), part(F.lit("more"))).alias("parts")), F.struct(F.lit("model").alias("role"), F.array(part(F.lit("no"))).alias("parts")))))
+        .when(kind == 2, F.to_json(F.struct(said.alias("content"))))
+        .when(kind == 3, F.to_json(F.struct(said.alias("content"), tool.alias("tools"))))
+        .otherwise(F.lit("5"))
+    )
+    asked = read(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
+    messages = extract.normalised(F.col("body"))
+    tools = F.transform(extract.declared_tools(F.col("body")), lambda t: t["name"])
+    # A response has the blocks of all messages.
+    blocks = F.flatten(F.transform(messages, lambda m: m["content"]))
+    return asked.select("conv_id", "turn", extract.user_text(messages, no_role_is_user=True).alias("users"), extract.response_text(blocks).alias("response"), F.array_join(tools, ",").alias("tools"))
+
+
+SQL_FORMS = """SELECT conv_id, turn, CASE conv_id % 5 WHEN 4 THEN NULL WHEN 1 THEN text || chr(10) || 'more' ELSE text END AS users, CASE conv_id % 5 WHEN 4 THEN NULL WHEN 1 THEN text || chr(10) || 'more' || chr(10) || 'no' ELSE text END AS response, CASE WHEN conv_id % 5 = 3 THEN 'f,g' ELSE '' END AS tools FROM conversations"""
+
+
 def stream_costs(spark: SparkSession, d: str) -> DataFrame:
     """Ends of streams: cost of what was used, and what the screening of the whole output says."""
     said = turns(spark, d).select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), "text", F.length("text").alias("in_tok"), F.when(F.col("turn") % 2 == 1, F.length("text")).alias("out_tok"), F.lit("gpt-4o-mini").alias("model"))
@@ -732,12 +828,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         injection_rule_hits, injection_scores, injection_decision_by_preset, structural_signals,
-        pii_type_counts, pii_values, pii_entities, pii_masked, pii_density_by_lang,
-        scan_decisions, scan_results, decision_rollup, scan_distinct,
+        injection_by_strictness, pii_actions, pii_type_counts, pii_values, pii_entities, pii_masked, pii_density_by_lang,
+        scan_decisions, scan_with_tools, scan_results, decision_rollup, scan_distinct,
         tool_policy, tool_policy_tables, tool_policy_wildcards, tool_policy_history, manifest_pins, manifest_verify, tool_call_rates, session_limits,
         cost_by_model, cost_by_price_table, budget_bucket_spend, current_spend, budget_check_running, budget_gated, spend_anomalies,
-        canary_leaks, cache_hits, audit_records, audit_by_month,
-        user_content, extract_bodies, routed_requests, blocked_responses, rewritten_turns, system_prompts, stream_reassembly, stream_costs,
+        canary_leaks, cache_hits, cache_keys, audit_records, audit_by_month,
+        user_content, request_forms, masked_messages, extract_bodies, routed_requests, blocked_responses, rewritten_turns, system_prompts, stream_reassembly, stream_costs,
     )
 }
 
@@ -751,6 +847,12 @@ ORACLES = {
     "pii_entities": SQL_PII_ENTITIES,
     "pii_masked": SQL_PII_MASKED,
     "scan_results": SQL_SCAN_RESULTS,
+    "injection_by_strictness": SQL_STRICTNESS,
+    "pii_actions": SQL_ACTIONS,
+    "scan_with_tools": SQL_CHAIN_TOOLS,
+    "cache_keys": SQL_KEYS,
+    "masked_messages": SQL_MASKED_MESSAGES,
+    "request_forms": SQL_FORMS,
     "rewritten_turns": SQL_REWRITTEN,
     "blocked_responses": SQL_BLOCKED,
     "system_prompts": SQL_SYSTEM,
