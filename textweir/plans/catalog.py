@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textweir.functions.fixed import FALLBACK_PRICE, HEADERS, PRESETS, PRICES, ROLE_MARKERS, RULES, STRICTNESS
 from textweir.operators import audit, cache, canary, chain, cost, extract, injection, lookups, pii, policy
 from textweir.sources.tables import read, spread
-from textweir.streaming import chunks
+from textweir.streaming import chunks, live
 
 #: Sentences added to texts by row number, since the given texts hold no attacks and few kinds of
 #: personal data: the queries and their SQL add the same ones.
@@ -165,7 +165,7 @@ TYPES = [p.type for p in pii.PII_PATTERNS]
 def pii_type_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     # One row a document first: a sum over an exploded array would make each count twice.
-    sized = docs.select(F.explode(F.array(F.array(*[F.size(pii.detect_type(F.col("text"), t)) for t in TYPES]))).alias("sizes"))
+    sized = docs.select(F.explode(F.array(F.array(*[F.size(pii.values_of(F.col("text"), t)) for t in TYPES]))).alias("sizes"))
     counts = sized.select(F.explode(F.zip_with(F.array(*map(F.lit, TYPES)), "sizes", lambda t, n: F.struct(t.alias("pii_type"), n.alias("n")))).alias("c"))
     return counts.groupBy("c.pii_type").agg(F.sum("c.n").alias("n_entities"), F.count_if(F.col("c.n") > 0).alias("n_docs"))
 
@@ -178,7 +178,8 @@ SQL_TYPE_COUNTS = f"WITH t AS MATERIALIZED ({SQL_DOCS}) " + " UNION ALL ".join(
 def pii_values(spark: SparkSession, d: str) -> DataFrame:
     """Every valid value by document and type, before overlaps are resolved."""
     docs = documents(spark, d)
-    values = F.flatten(F.array(*[F.transform(pii.detect_type(F.col("text"), t), lambda e: F.struct(e["type"].alias("pii_type"), e["value"].alias("value"))) for t in TYPES]))
+    typed = lambda t: lambda v: F.struct(F.lit(t).alias("pii_type"), v.alias("value"))
+    values = F.flatten(F.array(*[F.transform(pii.values_of(F.col("text"), t), typed(t)) for t in TYPES]))
     return docs.select("doc_id", F.explode(values).alias("v")).groupBy("doc_id", "v.pii_type", "v.value").agg(F.count("*").alias("n"))
 
 
@@ -234,7 +235,7 @@ SQL_PII_MASKED = f"{SQL_MASKED} SELECT t.conv_id, t.turn, CASE WHEN p.n > 0 THEN
 
 def pii_density_by_lang(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(read(spark, d, "documents").select("text", "lang"))
-    n = lambda t: F.size(pii.detect_type(F.col("text"), t))
+    n = lambda t: F.size(pii.values_of(F.col("text"), t))
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(n("email")).alias("n_email"), F.sum(n("credit_card")).alias("n_card"), F.sum(n("ip_address")).alias("n_ip"))
 
 
@@ -503,8 +504,12 @@ BUDGETS = {"user-0": cost.Budget(0.2, 0.5, "daily"), "user-1": cost.Budget(1.0,
 
 
 def cost_calls(spark: SparkSession, d: str) -> DataFrame:
+    return cost_calls_of(read(spark, d, "events"))
+
+
+def cost_calls_of(events: DataFrame) -> DataFrame:
     model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("event_id") % len(MODELS)).cast("int") + 1)
-    calls = read(spark, d, "events").select(
+    calls = events.select(
         "event_id",
         "ts",
         F.concat(F.lit("user-"), (F.col("user_id") % 10).cast("string")).alias("entity_id"),
@@ -816,6 +821,36 @@ SQL_STREAM_COSTS = f"""WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY t
 SELECT conv_id AS stream_id, round(coalesce(in_tok, 0) / 1e6::DOUBLE * {PRICES["gpt-4o-mini"][0]}::DOUBLE + coalesce(out_tok, 0) / 1e6::DOUBLE * {PRICES["gpt-4o-mini"][1]}::DOUBLE, 8) AS cost, {SQL_CHAIN} AS output_decision FROM (SELECT *, {SQL_SCORE} AS raw FROM t)"""
 
 
+def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table, of one file or of many, as a stream of what it holds now."""
+    return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
+
+
+def live_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The gate on a stream of calls, its sums kept as state."""
+    calls = cost_calls_of(streamed(spark, d, "events")).withColumn("estimate", cost.cost(F.col("model"), F.col("input_tokens"), F.lit(500)))
+    done = live.finished(live.admit_stream(calls, cost.budgets_table(spark, BUDGETS), "event_id"))
+    return done.where("bucket is not null").select("event_id", "entity_id", "allowed", F.round("spend", 8).alias("spend"))
+
+
+def live_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses that come as typed events, three for each turn, and what their end sets off."""
+    said = probed(streamed(spark, d, "conversations"), CONV_ROW)
+    ends = read(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("end"))
+    size = F.length("text")
+    kind = lambda t: F.lit(t).alias("type")
+    start = F.to_json(F.struct(kind("message_start"), F.struct(F.struct(size.alias("input_tokens")).alias("usage")).alias("message")))
+    delta = F.to_json(F.struct(kind("content_block_delta"), F.struct(kind("text_delta"), F.col("text").alias("text")).alias("delta")))
+    usage = F.when(F.col("turn") % 2 == 1, F.to_json(F.struct(kind("message_delta"), F.struct(size.alias("output_tokens")).alias("usage"))))
+    events = said.join(ends, "conv_id").select("conv_id", "turn", "end", F.posexplode(F.array(start, delta, usage)).alias("place", "payload"))
+    stop = (F.col("turn") == F.col("end")) & (F.col("place") == 2)
+    timed = live.response_chunks(events, "typed").select(
+        F.col("conv_id").alias("stream_id"), (F.col("turn") * 3 + F.col("place")).alias("seq"), "text", "in_tok", "out_tok", stop.alias("last"), F.lit("gpt-4o-mini").alias("model"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")).alias("ts")
+    )
+    ended = chunks.finish(live.reassemble_stream(timed.withWatermark("ts", "1 minute"), keep=["model"]))
+    return live.finished(ended).select("stream_id", F.round("cost", 8).alias("cost"), F.col("decision").alias("output_decision"))
+
+
 def stream_reassembly(spark: SparkSession, d: str) -> DataFrame:
     said = read(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), "text", F.length("text").alias("in_tok"), F.when(F.col("turn") % 2 == 1, F.length("text")).alias("out_tok"))
     return chunks.reassemble(said)
@@ -831,9 +866,9 @@ QUERIES = {
         injection_by_strictness, pii_actions, pii_type_counts, pii_values, pii_entities, pii_masked, pii_density_by_lang,
         scan_decisions, scan_with_tools, scan_results, decision_rollup, scan_distinct,
         tool_policy, tool_policy_tables, tool_policy_wildcards, tool_policy_history, manifest_pins, manifest_verify, tool_call_rates, session_limits,
-        cost_by_model, cost_by_price_table, budget_bucket_spend, current_spend, budget_check_running, budget_gated, spend_anomalies,
+        cost_by_model, cost_by_price_table, budget_bucket_spend, current_spend, budget_check_running, budget_gated, live_budget, spend_anomalies,
         canary_leaks, cache_hits, cache_keys, audit_records, audit_by_month,
-        user_content, request_forms, masked_messages, extract_bodies, routed_requests, blocked_responses, rewritten_turns, system_prompts, stream_reassembly, stream_costs,
+        user_content, request_forms, masked_messages, extract_bodies, routed_requests, blocked_responses, rewritten_turns, system_prompts, stream_reassembly, stream_costs, live_responses,
     )
 }
 
@@ -857,6 +892,7 @@ ORACLES = {
     "blocked_responses": SQL_BLOCKED,
     "system_prompts": SQL_SYSTEM,
     "stream_costs": SQL_STREAM_COSTS,
+    "live_responses": SQL_STREAM_COSTS,
     "tool_policy_tables": SQL_TOOLS,
     "tool_policy_wildcards": SQL_WILDCARDS,
     "tool_policy_history": SQL_HISTORY,
@@ -875,6 +911,7 @@ ORACLES = {
     "budget_bucket_spend": SQL_BUCKETS,
     "budget_check_running": SQL_RUNNING,
     "budget_gated": SQL_GATED,
+    "live_budget": SQL_GATED,
     "spend_anomalies": SQL_ANOMALIES,
     "canary_leaks": SQL_CANARY,
     "cache_hits": SQL_CACHE,

@@ -3,7 +3,10 @@ R1-R5, A6). All of it is kept by key in the RocksDB store, which timers need."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +33,26 @@ def milliseconds(at: pd.Timestamp) -> int:
     return int(at.timestamp() * 1000)
 
 
+@lru_cache(1)
+def local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="textweir-")
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """Runs a stream over what its sources hold now and gives its result as a table, in the folder of
+    spark.checkpoint.dir. Only a local master may do without that setting."""
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = local_folder()
+    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 class Admission(StatefulProcessor):
     """The sum that an entity has spent in a bucket, and a timer two periods after its start."""
 
@@ -84,7 +107,7 @@ def admit_stream(calls: DataFrame, budgets: DataFrame, tie: str, estimate: str =
     longest = budgets.agg(F.max(F.element_at(F.create_map(*[x for p, n in PERIOD_SECONDS.items() for x in (F.lit(p), F.lit(n))]), F.col("period")))).head()[0]
     made = ["period", "soft_limit", "hard_limit", "bucket", "spend", "allowed"]
     kept = [c for c in calls.columns if c not in made]
-    timed = calls.select(kept).withWatermark("ts", lateness or f"{2 * (longest or 0)} seconds")
+    timed = calls.select(kept).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness or f"{2 * (longest or 0)} seconds")
     limits = timed.join(budgets.select("entity_id", "period", "soft_limit", "hard_limit"), "entity_id", "left").withColumn("bucket", bucket(F.col("ts"), F.col("period")))
     start, dealt = fresh(limits, "_start", "_dealt")
     spread = F.when(F.col("bucket").isNull(), F.pmod(F.xxhash64(tie), F.lit(SPREAD)).cast("int")).otherwise(0)
