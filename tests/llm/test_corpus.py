@@ -85,30 +85,38 @@ def test_cuts_are_minimal(spark):
 # Language model
 
 
-def test_stupid_backoff(spark, clashing, nothing, texts, monkeypatch):
+@pytest.mark.parametrize("order,least,held_out", [(2, 2, False), (3, 2, False), (3, 1, True), (2, 3, True)])
+def test_stupid_backoff(spark, clashing, nothing, texts, monkeypatch, order, least, held_out):
     monkeypatch.setattr(ngrams, "CHUNK", 20_000)
     monkeypatch.setattr(ngrams, "PART", 9_000)
-    for order in (2, 3):
-        counts = [None] + [Counter() for _ in range(order)]
-        for t in texts:
-            w = words(t)
-            for n in range(1, order + 1):
-                counts[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-        total = sum(counts[1].values())
-
-        def score(w, i, n):
+
+    def grams(w, n):
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    counts = [None, *(sum((grams(words(t), n) for t in texts), Counter()) for n in range(1, order + 1))]
+    fell = 0
+    for r in ngrams.stupid_backoff(clashing, order=order, least=least, held_out=held_out).collect():
+        w = words(texts[r.doc_id])
+        own = [None, *(grams(w, n) if held_out else Counter() for n in range(1, order + 1))]
+        total = sum(counts[1].values()) - sum(own[1].values())
+        unigrams = 0
+
+        def seen(gram):
+            return counts[len(gram)][gram] - own[len(gram)][gram]
+
+        expected = 0.0
+        for i in range(len(w)):
+            n = min(order, i + 1)
+            while n > 1 and seen(tuple(w[i - n + 1 : i + 1])) < least:
+                expected += math.log(0.4)
+                n -= 1
             gram = tuple(w[i - n + 1 : i + 1])
-            if n == 1:
-                return math.log(counts[1][gram] / total)
-            if counts[n][gram] >= 2:
-                return math.log(counts[n][gram] / counts[n - 1][gram[:-1]])
-            return math.log(0.4) + score(w, i, n - 1)
-
-        for r in ngrams.stupid_backoff(clashing, order=order, least=2).collect():
-            w = words(texts[r.doc_id])
-            expected = sum(score(w, i, min(order, i + 1)) for i in range(len(w)))
-            assert r.n_tokens == len(w) and r.log_score == pytest.approx(expected, abs=1e-6)
-    assert ngrams.stupid_backoff(nothing).count() == 0
+            unigrams += n == 1
+            expected += math.log(seen(gram) / seen(gram[:-1])) if n > 1 else math.log(max(seen(gram), 1) / total)
+        fell += unigrams > 1
+        assert (r.n_tokens, r.n_unigram) == (len(w), unigrams) and r.log_score == pytest.approx(expected, abs=1e-6)
+    assert fell
+    assert ngrams.stupid_backoff(nothing, held_out=held_out).count() == 0
 
 
 # Personal data

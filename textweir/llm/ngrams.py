@@ -88,11 +88,10 @@ def unsqueezed_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueezed(data), dtype=np.uint64)
 
 
-def slices(keys: np.ndarray, parts: int, order: np.ndarray | None = None) -> list[int]:
-    """Where each partition's range of hashes begins among keys, sorted or in the given order, and
-    where the last ends."""
+def slices(keys: np.ndarray, parts: int) -> list[int]:
+    """Where each partition's range of hashes begins among sorted keys, and where the last ends."""
     width = (1 << 64) // parts + 1
-    return [*np.searchsorted(keys, np.array([i * width for i in range(parts)], np.uint64), sorter=order).tolist(), len(keys)]
+    return [*np.searchsorted(keys, np.array([i * width for i in range(parts)], np.uint64)).tolist(), len(keys)]
 
 
 def chunk_tables(order: int, parts: int):
@@ -125,30 +124,48 @@ def count_partition(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "n", "part", "others"])
 
 
-def looked_up(keys: np.ndarray, away: pd.DataFrame, parts: int) -> np.ndarray:
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of places where all keys are equal to those of the place before."""
+    size = len(keys[0])
+    begins = np.zeros(size, bool)
+    begins[:1] = True
+    for k in keys:
+        begins[1:] |= k[1:] != k[:-1]
+    return np.diff(np.append(np.flatnonzero(begins), size))
+
+
+def looked_up(keys: np.ndarray, away: pd.DataFrame, parts: int, owner: np.ndarray | None = None) -> np.ndarray:
     """The count of each n-gram in the corpus, by hash range: how often the chunk has it, and the
-    other chunks (rows part, others); 0 where there is no n-gram."""
-    order = np.argsort(keys)
-    edges = slices(keys, parts, order)
+    other chunks (rows part, others); 0 where there is no n-gram. With `owner`, the ascending number
+    of each n-gram's document, that document's own n-grams are left out."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    edges = slices(ranked, parts)
     edges[0] = int((keys == 0).sum())
-    out = np.zeros(len(keys), np.int64)
+    total = np.zeros(len(keys), np.int64)
     for part, others in zip(away["part"], away["others"]):
-        there = order[edges[part] : edges[part + 1]]
-        _, where, here = np.unique(keys[there], return_inverse=True, return_counts=True)
-        out[there] = (unsqueezed(others).astype(np.int64) + here)[where]
+        here = runs(ranked[edges[part] : edges[part + 1]])
+        total[edges[part] : edges[part + 1]] = np.repeat(unsqueezed(others).astype(np.int64) + here, here)
+    if owner is not None:
+        own = runs(ranked, owner[order])
+        total -= np.repeat(own, own)
+        total[: edges[0]] = 0
+    out = np.empty_like(total)
+    out[order] = total
     return out
 
 
-def score_chunk(order: int, least: int, parts: int):
+def score_chunk(order: int, least: int, parts: int, held_out: bool):
     """Joins the counts to the n-grams of a chunk's documents and sums scores by document."""
 
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         docs, counts = unpacked(packs["pack"].to_pylist()), answers.to_pandas()
         hashes, sizes = word_hashes(docs["text"])
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes) if held_out else None
         fell = np.ones(len(hashes), bool)
         score = context = None
         for n, keys in enumerate(grams(hashes, sizes, order), 1):
-            count = looked_up(keys, counts[counts["n"] == n], parts)
+            count = looked_up(keys, counts[counts["n"] == n], parts, owner)
             log_count = np.log(np.maximum(count, 1))
             if n == 1:
                 score = log_count.copy()
@@ -169,7 +186,7 @@ def score_chunk(order: int, least: int, parts: int):
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = 1) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = 1, held_out: bool = False) -> DataFrame:
     """(id, n_tokens, n_unigram, log_score, mean_log_score) for every row.
 
     Words are runs without ASCII white space. An n-gram's score is its count by that of its first
@@ -177,6 +194,9 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in the tables and back off, by factor 0.4, to the shorter one; single words score by their share
     of all words. Counts cover all documents; n_unigram says how many words fell back to that.
     log_score is the sum of natural logarithms, mean_log_score that by word (null without words).
+    With `held_out` a row is scored by the counts of all other rows: its own n-grams are taken off
+    those of the corpus, so what only this row says backs off, and a word that no other row has
+    counts as one. Otherwise a row is scored by counts that it is part of.
     A null text has no words. Rows that repeat count and are returned each; an empty table gives no
     rows; other columns are not read.
 
@@ -195,9 +215,9 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = chunks.applyInPandas(chunk_tables(order, parts), "part int, chunk long, n int, keys binary, counts binary")
     totals = tables.groupBy("part").applyInPandas(count_partition, "chunk long, n int, part int, others binary")
     schema = f"id {kind}, n_tokens long, n_unigram long, part_score double"
-    sums = staged(chunks.cogroup(totals.groupBy("chunk")).applyInArrow(score_chunk(order, least, parts), schema))
+    sums = staged(chunks.cogroup(totals.groupBy("chunk")).applyInArrow(score_chunk(order, least, parts, held_out), schema))
     tokens = sums.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
-    log_score = F.col("part_score") - F.col("n_unigram") * F.log(F.lit(float(max(tokens, 1))))
+    log_score = F.col("part_score") - F.col("n_unigram") * F.log(F.greatest(F.lit(float(tokens)) - (F.col("n_tokens") if held_out else 0), F.lit(1.0)))
     return sums.select(
         F.col("id").alias(id_col), "n_tokens", "n_unigram", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score")
     )

@@ -18,12 +18,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by counts of the whole corpus, which the document is part of: all its n-grams have
-    been seen, so a score is the mean share of a word after its two words before, and tells how
-    much of a document the corpus says elsewhere; backing off begins with `least` above 1."""
+    """Scores of every document by the counts of all others, so that what only one document says
+    backs off; n_unigram tells how many of its words fell back to their own share."""
     from .ngrams import stupid_backoff
 
-    return stupid_backoff(table(spark, sf_dir, "documents"), order=3, least=1)
+    return stupid_backoff(table(spark, sf_dir, "documents"), order=3, least=1, held_out=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
