@@ -20,8 +20,9 @@ DEGREE, REVERSE, SETTLED = 32, 32, 0.02
 #: Random trees that begin the graph and vectors of a leaf; the best partners that a vector keeps
 #: from one leaf, and from one join.
 TREES, LEAF, FIRST, PARTNERS = 6, 64, 16, 12
-#: Of a search: nodes kept, and nodes whose neighbours are visited in a round.
-KEPT, EXPANDED = 200, 64
+#: Of a search: nodes kept at first, nodes whose neighbours are visited in a round, and the recall
+#: that a sample of so many queries must show, else twice as many nodes are kept.
+KEPT, EXPANDED, RECALL, SAMPLE = 100, 64, 0.93, 400
 #: Products computed at once, and bytes of queries up to which they are broadcast.
 CELLS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
@@ -188,24 +189,26 @@ def products(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "v", "a", "b").mapInPandas(run, "q long, v long, s float")
 
 
-def greedy_search(graph: DataFrame, vectors: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(q, v, score): the `k` nearest nodes found for each of `queries` (id), nodes of the graph.
+def both_ways(graph: DataFrame) -> DataFrame:
+    """Edges of a graph and a draw of DEGREE reverse ones for each node."""
+    back = reversed_edges(graph, DEGREE, 0).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return staged(graph.union(back).distinct())
+
+
+def greedy_search(graph: DataFrame, links: DataFrame, points: DataFrame, queries: DataFrame, kept: int) -> DataFrame:
+    """(q, v, s): the `kept` nearest nodes found for each of `queries` (id), nodes of the graph.
 
     A search begins with the query's own neighbours. In each round the best EXPANDED nodes not
-    visited before give their neighbours, in both directions of the graph; of all nodes seen the
-    best KEPT stay. It ends when all that a query keeps are visited. Products are of packed
-    vectors; at the end the kept ones are compared by their original values in double precision,
-    ties to the smaller id.
+    visited before give their neighbours in `links`, both directions of the graph; of all nodes
+    seen the best `kept` stay. It ends when all that a query keeps are visited. Products s are of
+    packed vectors.
     """
-    back = reversed_edges(graph, DEGREE, 0).select(F.col("v").alias("u"), F.col("u").alias("v"))
-    links = staged(graph.union(back).distinct())
     targets = points.select(F.col("id").alias("v"), F.col("packed").alias("b"))
     asked = staged(points.join(queries.select("id"), "id").select(F.col("id").alias("q"), F.col("packed").alias("a")))
-    size = asked.agg(F.coalesce(F.sum(F.octet_length("a") + 32), F.lit(0))).head()[0]
-    small = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df
+    small = broadcast_if_small(asked, "a")
     scored = lambda pairs: products(pairs.join(targets, "v").join(small(asked), "q"))
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "v")
-    top = lambda df: df.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= KEPT).drop("r")
+    top = lambda df: df.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= kept).drop("r")
     first = asked.select("q").join(graph, F.col("q") == F.col("u")).select("q", "v")
     pool = staged(top(scored(first)).withColumn("visited", F.lit(False)))
     while not pool.where("not visited").isEmpty():
@@ -217,8 +220,62 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, points: DataFrame, queri
         after = staged(top(old.unionByName(fresh)))
         discard(pool)
         pool = after
+    discard(asked)
+    return pool
+
+
+def broadcast_if_small(df: DataFrame, col: str):
+    """A function that marks tables of the rows of `df` for a broadcast, if these are small."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(col) + 32), F.lit(0))).head()[0]
+    return F.broadcast if size <= BROADCAST_BYTES else lambda other: other
+
+
+def compared(points: DataFrame, sample: DataFrame, k: int) -> DataFrame:
+    """(q, v): the `k` nearest of all points for each of a bounded sample (q, a) of packed vectors.
+    Blocks of points meet the sample, which goes to every task, and keep k for each query."""
+    rows = sample.orderBy("q").collect()
+    names, asked = np.array([r.q for r in rows], np.int64), matrix(pd.Series([bytes(r.a) for r in rows])) if rows else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if asked is None or not len(batch):
+                continue
+            ids = batch["id"].to_numpy()
+            s = asked @ matrix(batch["packed"]).T
+            s[names[:, None] == ids] = -np.inf
+            near = np.argpartition(-s, min(k, len(ids)) - 1, axis=1)[:, :k]
+            out = pd.DataFrame({"q": np.repeat(names, near.shape[1]), "v": ids[near].ravel(), "s": np.take_along_axis(s, near, 1).ravel()})
+            yield out[out["s"] > -np.inf]
+
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))
+    return points.mapInPandas(run, "q long, v long, s float").withColumn("r", rank).where(F.col("r") <= k).select("q", "v")
+
+
+def search_width(graph: DataFrame, links: DataFrame, points: DataFrame, asked: DataFrame, k: int, n: int) -> int:
+    """How many nodes a search keeps: KEPT, and twice as many until SAMPLE of the queries (all, if
+    fewer, drawn by a hash) find RECALL of their `k` nearest by brute force, or all `n` are kept."""
+    chosen = staged(asked.select("id").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE))
+    vectors = points.join(F.broadcast(chosen), "id").select(F.col("id").alias("q"), F.col("packed").alias("a"))
+    exact = staged(compared(points, vectors, k))
+    total, kept = exact.count(), KEPT
+    while kept < n:
+        pool = greedy_search(graph, links, points, chosen, kept)
+        hits = pool.join(exact, ["q", "v"]).count()
+        discard(pool)
+        if hits >= RECALL * total:
+            break
+        kept *= 2
+    discard(chosen, exact)
+    return kept
+
+
+def exact_scores(pool: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, v, score): the `k` nearest of each query's pool by original values in double precision,
+    ties to the smaller id."""
     values = vectors.select(F.col("id").alias("v"), F.col("vec").alias("v_vec"))
-    own = small(vectors.join(queries.select("id"), "id").select(F.col("id").alias("q"), F.col("vec").alias("q_vec")))
+    own = staged(vectors.join(queries.select("id"), "id").select(F.col("id").alias("q"), F.col("vec").alias("q_vec"), F.size("vec").alias("width")))
+    bytes_ = own.agg(F.coalesce(F.sum(F.col("width") * 8 + 32), F.lit(0))).head()[0]
+    own = F.broadcast(own.drop("width")) if bytes_ <= BROADCAST_BYTES else own.drop("width")
     exact = pool.select("q", "v").join(values, "v").join(own, "q").select("q", "v", product("q_vec", "v_vec").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
     return exact.withColumn("r", rank).where(F.col("r") <= k).drop("r")
@@ -232,7 +289,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     for all, as no larger one can be among the nearest. Unusable vectors (see usable()) take no
     part, neither as queries; a vector with fewer components than another counts as filled with
     zeros. Of rows that share an id the vector that sorts first takes part. Fewer candidates than
-    k give all of them. An empty table gives no rows; other columns are not read.
+    k give all of them. An empty table gives no rows; other columns are not read. How widely queries
+    search is measured against brute force on a sample of them (see search_width()).
     """
     good = staged(usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("vec").alias("vec")))
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
@@ -242,7 +300,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     queries = staged(good.where(F.col("id") % every == 0).join(nodes.withColumnRenamed("id", "node"), "vec").select("id", "node"))
     asked = staged(queries.select(F.col("node").alias("id")).distinct())
     points = staged(packed(nodes))
-    found = greedy_search(nn_descent(points), nodes, points, asked, k)
+    n = points.count()
+    graph = nn_descent(points)
+    links = both_ways(graph)
+    width = search_width(graph, links, points, asked, k, n)
+    found = exact_scores(greedy_search(graph, links, points, asked, max(width, k)), nodes, asked, k)
     itself = nodes.join(asked, "id").select(F.col("id").alias("q"), F.col("id").alias("v"), product("vec", "vec").alias("score"))
     each = found.unionByName(itself).join(members.withColumnRenamed("node", "v"), "v")
     order = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
