@@ -108,6 +108,32 @@ def test_trusted_documents_score_as_held_out(spark):
         assert r.ratio == pytest.approx(expected, abs=1e-9)
 
 
+@pytest.mark.parametrize("broadcast", [quality.BROADCAST, 1])
+def test_all_good_labels_are_trusted(spark, broadcast, monkeypatch):
+    """More labels than the 20,000 of an earlier bound; ids that repeat lose the counts of all their rows."""
+    import math
+
+    monkeypatch.setattr(quality, "BROADCAST", broadcast)
+    labels = spark.range(20_100).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(labels).count() == 20_100
+    rows = [(i, " ".join(f"w{(7 * i + j * j) % 997}" for j in range(55))) for i in (1, 2, 2, 20_099, 30_000)] + [(2, "w1 w2 w1"), (3, " "), (None, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed = [r.b for r in docs.select(quality.buckets(quality.word_hashes(F.col("text"))).alias("b")).collect()]
+    ids = [i for i, _ in rows]
+    raw = Counter(b for x in listed for b in x)
+    good = Counter(b for i, x in zip(ids, listed) if i and i < 20_100 for b in x)
+    expected = []
+    for i, x in zip(ids, listed):
+        own = Counter(b for j, y in zip(ids, listed) if j == i for b in y) if i and i < 20_100 else Counter()
+        rest, all_ = good.total() - own.total() + quality.BUCKETS, raw.total() + quality.BUCKETS
+        expected.append((i or 0, sum(math.log((good[b] - own[b] + 1) / rest) - math.log((raw[b] + 1) / all_) for b in x) / len(x) if x else 9.0))
+    judged = quality.judge(docs, quality.trusted_ids(labels), keep=["doc_id"]).collect()
+    got = [(r.doc_id or 0, 9.0 if r.ratio is None else r.ratio) for r in judged]
+    assert [x for row in sorted(got) for x in row] == pytest.approx([x for row in sorted(expected) for x in row], abs=1e-9)
+    cut = min(r.ratio for r in judged if r.doc_id in (1, 2, 20_099) and not r.base_failed)
+    assert all(r.kept == (not r.base_failed and r.ratio >= cut) for r in judged)
+
+
 def test_clashing_columns_stay(spark, docs, clashing):
     """Every column of the input comes back as it was, beside what operators add."""
     from textweir.llm import mixing, pii

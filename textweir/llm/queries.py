@@ -39,7 +39,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge, trusted_ids
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs, trusted_ids(table(spark, sf_dir, "labels"))).select(
+    return judge(docs, trusted_ids(table(spark, sf_dir, "labels")), keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"
     )
 
