@@ -58,6 +58,17 @@ def test_near_copies_by_exact_jaccard(spark, shard, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()} == expected
 
 
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """Fingerprints in BK-trees link near copies by themselves; exact similarity confirms or refuses them."""
+    monkeypatch.setattr(jaccard, "band_links", lambda firsts: spark.createDataFrame([], "a long, b long"))
+    words = [[f"w{(i + 1) * j * j % 4001}" for j in range(300)] for i in range(8)]
+    texts = {100 * i + k: " ".join(["new"] * k + w[k:]) for i, w in enumerate(words) for k in range(3)} | {900: None, 901: "a b", 902: "a b c"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()} == joined_by_jaccard(texts)
+    monkeypatch.setattr(jaccard, "RADIUS", 30)
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()} == joined_by_jaccard(texts)
+
+
 def test_near_dedup_of_pipeline(spark):
     """One row of each class is kept, also when its id is repeated."""
     import corpus_pipeline as cp

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from .common import discard, staged, words
 from .components import components
 from .passages import gram_hashes, mixed, signed, word_hashes
+from .simhash import hamming_links, majority
 
 #: Words of a shingle. Texts are near copies from a similarity of LEAST[0] / LEAST[1].
 SHINGLE, LEAST = 5, (4, 5)
+#: Differing bits up to which SimHash fingerprints of shingles are linked.
+RADIUS = 8
 #: Least hashes by bands: a pair at 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 40, about 1e-7.
 BANDS, ROWS = 40, 5
 #: Equal least hashes below which a pair is not confirmed: at 0.8 fewer have a chance below 1e-13.
@@ -56,22 +59,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def routes(rows: DataFrame) -> DataFrame:
-    """(id, key, routes array<long>) from (id, key, text): one route for each band, none without words."""
+    """(id, key, fp long, routes array<long>) from (id, key, text): the SimHash of the shingles, and
+    one route for each band, none without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         band = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
-            found = []
+            found, prints = [], []
             for text in batch["text"]:
                 values = shingles(text)
                 route = mixed(band + np.uint64(1))
                 for part in signature(values).reshape(BANDS, ROWS).T:
                     route = mixed(route + part.astype(np.uint64))
                 found.append(signed(route) if len(values) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "routes": found})
+                prints.append(majority(values))
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "fp": prints, "routes": found})
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(run, f"id {kind}, key long, routes array<long>")
+    return rows.mapInPandas(run, f"id {kind}, key long, fp long, routes array<long>")
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,20 +118,34 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def print_links(firsts: DataFrame) -> DataFrame:
+    """Links (a, b) of keys whose fingerprints are connected by at most RADIUS differing bits, as BK-trees find them."""
+    prints = firsts.where(F.size("routes") > 0).select("key", "fp")
+    joined = components(hamming_links(staged(prints.select("fp").distinct()), RADIUS))
+    named = prints.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
+    return named.join(least, "root").where("key <> least").selectExpr("key as a", "least as b")
+
+
+def band_links(firsts: DataFrame) -> DataFrame:
+    """Links (a, b) of keys that share a band."""
+    keyed = firsts.select("key", F.explode("routes").alias("route"))
+    least = keyed.groupBy("route").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("route", "least")
+    return keyed.join(least, "route").where("key <> least").selectExpr("key as a", "least as b")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, key) of every row, and (key, first, root) of every distinct text: the smallest id that
     has it and the name of its class, which joins what pairs of LEAST or more connect.
 
-    Texts that share a band are joined to blocks, which hold every pair but for the chance at
-    BANDS. The texts of a block go to its shards once, and shards query those after them, so no
+    Texts with near fingerprints are joined to blocks. A radius loses links, so texts that share a
+    band are joined too; then the blocks hold every pair but for the chance at BANDS. The texts of a block go to its shards once, and shards query those after them, so no
     task holds a whole block; exact similarity decides, and only pairs that join sets are linked.
     """
     source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     rows = staged(routes(source))
-    firsts = staged(rows.groupBy("key").agg(F.min("id").alias("first"), F.first("routes").alias("routes")))
-    keyed = firsts.select("key", F.explode("routes").alias("route"))
-    least = keyed.groupBy("route").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("route", "least")
-    blocks = staged(components(keyed.join(least, "route").where("key <> least").selectExpr("key as a", "least as b")))
+    firsts = staged(rows.groupBy("key").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("routes").alias("routes")))
+    blocks = staged(components(print_links(firsts).union(band_links(firsts))))
     near = F.broadcast(blocks) if blocks.count() <= BROADCAST else blocks
     texts = staged(source.select(F.col("key").alias("node"), "text").join(near, "node").groupBy("root", "node").agg(F.first("text").alias("text")))
     sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
@@ -140,7 +159,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ordered = parts.repartition("root", "shard").sortWithinPartitions("root", "shard", "role", "node")
     joined = components(ordered.mapInPandas(_links, "a long, b long"))
     discard(texts, blocks)
-    named = firsts.drop("routes").join(joined.select(F.col("node").alias("key"), "root"), "key", "left")
+    named = firsts.drop("fp", "routes").join(joined.select(F.col("node").alias("key"), "root"), "key", "left")
     return rows.select("id", "key"), staged(named.withColumn("root", F.coalesce("root", "key")))
 
 

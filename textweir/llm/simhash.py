@@ -33,11 +33,16 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
     stops = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], "<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, as a signed integer: those set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, BLOCK):
+    for i in range(0, len(hashes), BLOCK):
         bits = np.unpackbits(hashes[i : i + BLOCK].view(np.uint8), bitorder="little").reshape(-1, 64)
         counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
