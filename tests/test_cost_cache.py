@@ -38,6 +38,12 @@ def test_check(spark):
     ]
 
 
+def test_cents_are_rounded_from_the_whole_double(spark):
+    df = spark.createDataFrame([(v,) for v in (0.185, 61.535, 61.535000000000004, 1234.0, -0.001)], "s double")
+    got = [r[0].split(" / ")[0].split("$")[1] for r in df.select(cost.check(F.col("s"), F.lit(1.0), F.lit(-9.0), F.lit(-9.0))["warning"]).collect()]
+    assert got == ["%.2f" % r.s for r in df.collect()] == ["0.18", "61.53", "61.54", "1234.00", "-0.00"]
+
+
 def test_gate(spark):
     rows = [("a", i, 1.0, w, 2.5) for i, w in enumerate([2.0, 2.0, 0.4, 0.2])] + [("b", 0, 9.0, 9.0, None)]
     df = spark.createDataFrame(rows, "k string, t int, est double, act double, most double")

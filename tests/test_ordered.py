@@ -30,6 +30,22 @@ def test_totals_and_places(spark):
     assert ordered.numbered(df.where("false"), ["k"], "at", "i", "place").count() == 0
 
 
+def test_totals_have_the_bits_of_a_loop(spark):
+    """Beyond `one_cell` rows a key is spread over hours; its sums may then round elsewhere."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", None]), START + dt.timedelta(minutes=rng.randint(0, 900)), i, rng.random() / 30) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, i int, v double").withColumns({"_n": F.lit("x"), "_k_of_large": F.lit("y")})
+    sums, want = collections.Counter(), {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = float(sums[k])
+        sums[k] += v
+    done = ordered.running_total(df, ["k"], "at", "i", "v", "total")
+    assert done.columns == [*df.columns, "total"] and {r.i: r.total for r in done.collect()} == want
+    spread = {r.i: r.total for r in ordered.running_total(df, ["k"], "at", "i", "v", "total", one_cell=200).collect()}
+    assert spread == pytest.approx(want, abs=1e-12) and spread.keys() == want.keys()
+    assert all(spread[i] == want[i] for k, _, i, _ in rows if k is None)
+
+
 def gate(rows):
     spent, out = collections.Counter(), {}
     for k, t, i, est, act, most in sorted(rows, key=lambda r: (r[1], r[2])):

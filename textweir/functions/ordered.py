@@ -13,6 +13,8 @@ from .names import fresh
 
 #: Width of a cell where an order is by numbers.
 WIDTH = 4096
+#: Rows up to which the running sum of a key is taken in one task.
+ONE_CELL = 1_000_000
 
 
 def cell(df: DataFrame, order: str, chunk: str = "hour") -> Column:
@@ -37,11 +39,14 @@ def with_totals(df: DataFrame, keys: Sequence[str], cut: str, totals: DataFrame,
     return df.join(named, same(df, named, list(zip((*keys, cut), other)))).drop(*other)
 
 
-def running_total(df: DataFrame, keys: list[str], at: str, tie: str, value: str, out: str, chunk: str = "hour") -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], at: str, tie: str, value: str, out: str, chunk: str = "hour", one_cell: int = ONE_CELL) -> DataFrame:
     """Adds the sum of `value` over earlier rows of the same keys, by `at` and `tie`; null values
-    count 0, null keys are keys."""
-    _, cut, sum_, before, inside = fresh(df, out, "_chunk", "_sum", "_before", "_inside")
-    celled = df.withColumn(cut, cell(df, at, chunk))
+    count 0, null keys are keys. Keys with up to `one_cell` rows are one cell: their doubles are added
+    in this order, so that sums have the same last bits as those of a plain loop."""
+    _, cut, sum_, before, inside, n, *other = fresh(df, out, "_chunk", "_sum", "_before", "_inside", "_n", *[f"_{k}_of_large" for k in keys])
+    large = df.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > one_cell).select(*[F.col(k).alias(o) for k, o in zip(keys, other)], n)
+    sized = df.join(large, same(df, large, list(zip(keys, other))), "left").drop(*other)
+    celled = sized.withColumn(cut, F.when(F.col(n).isNotNull(), cell(df, at, chunk))).drop(n)
     earlier = Window.partitionBy(*keys).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     totals = celled.groupBy(*keys, cut).agg(F.sum(value).alias(sum_)).withColumn(before, F.coalesce(F.sum(sum_).over(earlier), F.lit(0.0)))
     within = Window.partitionBy(*keys, cut).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)

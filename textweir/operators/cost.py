@@ -84,8 +84,9 @@ def live_counters(spent: DataFrame, budgets: DataFrame, now: Column) -> DataFram
 
 
 def check(spend: Column, estimate: Column, soft: Column, hard: Column) -> Column:
-    """struct<allowed, current_spend, remaining_budget, warning> (C9, C11); null limits: no budget."""
-    dollars = lambda c: F.format_string("%.2f", c)
+    """struct<allowed, current_spend, remaining_budget, warning> (C9, C11); null limits: no budget.
+    Cents are rounded from the whole value of a double, so 0.185, which is a little less, is 0.18."""
+    dollars = lambda c: F.call_function("format_number", c, F.lit("0.00"))
     limit = F.regexp_replace(hard.cast("string"), r"\.0$", "")
     denied = spend + estimate > hard
     warned = spend + estimate > soft
