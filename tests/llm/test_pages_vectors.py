@@ -129,6 +129,29 @@ def test_neighbours(spark, n, scale):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_a_node_sends_a_row_for_each_list(spark):
+    """Candidates do not travel as a row for each pair; long groups are merged in parts."""
+    x = vectors(64, 16)
+    rows = [(0, i, True, v.tobytes(), float("-inf")) for i, v in enumerate(x)]
+    lists = spark.createDataFrame(rows, "x long, y long, fresh boolean, packed binary, least float")
+    found = neighbours.joined(lists, 12)
+    assert found.count() == len(rows)
+    near = x @ x.T - 9 * np.eye(64, dtype=np.float32)
+    for r in neighbours.best(found, 12).collect():
+        edges = np.frombuffer(r.edges, neighbours.EDGE)
+        assert len(edges) == r.fresh == 12 and r.least == pytest.approx(edges["s"].min())
+        assert list(edges["s"]) == pytest.approx(sorted(near[r.u], reverse=True)[:12], abs=1e-6)
+    again = neighbours.best(neighbours.settled(found).unionByName(found), 12)
+    assert [r.fresh for r in again.collect()] == [0] * 64
+
+
+def test_sorting_by_two_keys():
+    first, second = np.array([1, 0, 1, 0, 1]), np.array([5, 2**62, -(2**62), 3, 5])
+    for by in (second, second % 7):
+        order = neighbours.by_two(first, by)
+        assert list(zip(first[order], by[order])) == sorted(zip(first, by))
+
+
 def test_what_all_articles_share_stays_and_boxes_go():
     from textweir.llm.wrapper import extract, induce
 

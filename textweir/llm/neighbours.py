@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 from math import ceil, log2
 
@@ -20,9 +21,12 @@ DEGREE, REVERSE, SETTLED = 32, 32, 0.02
 #: Random trees that begin the graph and vectors of a leaf; the best partners that a vector keeps
 #: from one leaf, and from one join.
 TREES, LEAF, FIRST, PARTNERS = 6, 64, 16, 12
-#: Of a search: nodes kept at first, nodes whose neighbours are visited in a round, and the recall
-#: that a sample of so many queries must show, else twice as many nodes are kept.
-KEPT, EXPANDED, RECALL, SAMPLE = 100, 64, 0.93, 400
+#: Of a search: nodes kept of a table of CROWD, nodes visited in its first round, the recall that a
+#: sample of so many queries must show, and by how much wider the search is else.
+KEPT, CROWD, EXPANDED, RECALL, SAMPLE, WIDER = 100, 10_000, 16, 0.93, 400, 1.5
+#: Visits that are scored at once in a task, visits up to which they are broadcast, and rows of a
+#: group that a task holds at most.
+VISITS, FEW, LONG = 256, 200_000, 50_000
 #: Products computed at once, and bytes of queries up to which they are broadcast.
 CELLS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
@@ -55,6 +59,41 @@ def matrix(points: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(points), np.float32).reshape(len(points), -1)
 
 
+def by_group(df: DataFrame, key: str, act: Callable[[pd.DataFrame], pd.DataFrame], schema: str, again: bool = False) -> DataFrame:
+    """`act` on blocks of whole groups of `key`, which stream through sorted partitions. With `again`,
+    `act` also takes what it gives, and a long group is put through it in parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            cut = int(np.searchsorted(rows[key].to_numpy(), rows[key].iloc[-1])) if len(rows) else 0
+            rest = rows.iloc[cut:]
+            if again and len(rest) > LONG:
+                rest = act(rest)
+            if cut:
+                yield act(rows.iloc[:cut])
+        if rest is not None and len(rest):
+            yield act(rest)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
+def starts_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def slices(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The bytes of each stretch of an array."""
+    each, step = values.tobytes(), values.itemsize
+    return [each[a * step : b * step] for a, b in zip(starts, np.append(starts[1:], len(values)))]
+
+
 def leaves(points: DataFrame, n: int, seed: int) -> DataFrame:
     """(x, y): vectors y in the leaves x of TREES random trees, leaves of about LEAF vectors.
 
@@ -78,14 +117,34 @@ def leaves(points: DataFrame, n: int, seed: int) -> DataFrame:
     return members.join(cuts, "leaf", "left").select(F.xxhash64("leaf", cut).alias("x"), "y")
 
 
-def join_block(rows: pd.DataFrame, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Neighbours of a node in one row: EDGE for each; how many are fresh, and the product that others
+#: must beat.
+LISTS = "u long, edges binary, fresh long, least float"
+EDGE = np.dtype([("v", "<i8"), ("s", "<f4"), ("fresh", "u1")])
+
+
+def listed(u: np.ndarray, edges: np.ndarray, degree: int) -> pd.DataFrame:
+    """Rows of LISTS from edges sorted by u and falling products."""
+    starts = starts_of(u)
+    last = np.append(starts[1:], len(u))
+    least = np.where(last - starts >= degree, edges["s"][last - 1] if len(u) else 0, -np.inf).astype(np.float32)
+    fresh = np.add.reduceat(edges["fresh"], starts, dtype=np.int64) if len(u) else starts
+    return pd.DataFrame({"u": u[starts], "edges": slices(edges, starts), "fresh": fresh, "least": least})
+
+
+def unlisted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows of LISTS, and their edges."""
+    return np.repeat(np.arange(len(rows)), [len(e) // EDGE.itemsize for e in rows["edges"]]), np.frombuffer(b"".join(rows["edges"]), EDGE)
+
+
+def join_block(rows: pd.DataFrame, partners: int) -> pd.DataFrame:
     """Of rows (x, y, fresh, packed, least) sorted by x: for each y its best partners with the same
-    x, of pairs with a fresh end and products above y's least."""
-    x, ids = rows["x"].to_numpy(), rows["y"].to_numpy()
+    x as a row of LISTS, of pairs with a fresh end and products above y's least."""
+    x, ids = rows["x"].to_numpy(), rows["y"].to_numpy(np.int64)
     fresh, least, points = rows["fresh"].to_numpy(bool), rows["least"].to_numpy(np.float32), matrix(rows["packed"])
-    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    starts = starts_of(x)
     sizes = np.diff(np.append(starts, len(x)))
-    out: list[tuple[np.ndarray, ...]] = []
+    out = []
     a = 0
     while a < len(starts):
         wide = int(sizes[a : a + 32].max())
@@ -100,39 +159,110 @@ def join_block(rows: pd.DataFrame, partners: int) -> tuple[np.ndarray, np.ndarra
         new = fresh[at]
         allowed = real[:, :, None] & real[:, None, :] & (new[:, :, None] | new[:, None, :]) & (product > least[at][:, :, None]) & ~np.eye(wide, dtype=bool)
         product[~allowed] = -np.inf
-        top = min(partners, wide)
-        best = np.argpartition(-product, top - 1, axis=2)[:, :, :top]
-        score = np.take_along_axis(product, best, 2)
-        g, i, k = np.nonzero(score > -np.inf)
-        out.append((ids[at[g, i]], ids[at[g, best[g, i, k]]], score[g, i, k]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+        if wide > partners:
+            cut = np.partition(product, wide - partners, axis=2)[:, :, wide - partners, None]
+            g, i, k = np.nonzero((product >= cut) & (product > -np.inf))
+        else:
+            g, i, k = np.nonzero(product > -np.inf)
+        edges = np.ones(len(g), EDGE)
+        edges["v"], edges["s"] = ids[at[g, k]], product[g, i, k]
+        # Places, not ids, tell the rows apart: a node is in several lists.
+        lists = listed(at[g, i], edges, len(ids))
+        out.append(lists.assign(u=ids[lists["u"].to_numpy(np.int64)]))
+    return pd.concat(out, ignore_index=True)
 
 
 def joined(lists: DataFrame, partners: int) -> DataFrame:
-    """Candidates (u, v, s) from lists (x, y, fresh, packed, least): members of a list meet."""
+    """Candidates as rows of LISTS from lists (x, y, fresh, packed, least): members of a list meet."""
+    return by_group(lists.select("x", "y", "fresh", "packed", "least"), "x", lambda rows: join_block(rows, partners), LISTS)
+
+
+def best(lists: DataFrame, degree: int) -> DataFrame:
+    """The `degree` nearest neighbours of each node in a row; an edge found again is not fresh."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        place, edges = unlisted(rows)
+        nodes = rows["u"].to_numpy(np.int64)
+        firsts = starts_of(nodes)
+        group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(nodes))))[place]
+        order = by_two(group, edges["v"])
+        group, edges = group[order], edges[order]
+        once = starts_of(group, edges["v"])
+        fresh = np.minimum.reduceat(edges["fresh"], once) if len(once) else edges["fresh"]
+        group, edges = group[once], edges[once]
+        edges["fresh"] = fresh
+        # Products as whole numbers that fall as they rise.
+        bits = np.ascontiguousarray(edges["s"]).view(np.int32).astype(np.int64)
+        order = by_two(group, -np.where(bits < 0, -(bits & 0x7FFFFFFF), bits))
+        starts = starts_of(group)
+        rank = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
+        order = order[rank < degree]
+        return listed(nodes[firsts][group[order]], edges[order], degree)
+
+    return by_group(lists, "u", merge, LISTS, again=True)
+
+
+def by_two(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order by small whole numbers, then by others; by one sort where both fit in 64 bits."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    low = int(second.min())
+    bits = (int(second.max()) - low).bit_length()
+    if bits + int(first.max()).bit_length() > 63:
+        return np.lexsort((second, first))
+    return np.argsort((first.astype(np.int64) << bits) | (second - low))
+
+
+def edges_of(graph: DataFrame) -> DataFrame:
+    """(u, v, fresh boolean) of rows of LISTS."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            cut = int(np.searchsorted(rows["x"].to_numpy(), rows["x"].iloc[-1])) if len(rows) else 0
-            rest = rows.iloc[cut:]
-            if cut:
-                u, v, s = join_block(rows.iloc[:cut], partners)
-                yield pd.DataFrame({"u": u, "v": v, "s": s})
-        if rest is not None and len(rest):
-            u, v, s = join_block(rest, partners)
-            yield pd.DataFrame({"u": u, "v": v, "s": s})
+            place, edges = unlisted(batch)
+            yield pd.DataFrame({"u": batch["u"].to_numpy(np.int64)[place], "v": edges["v"], "fresh": edges["fresh"].astype(bool)})
+
+    return graph.mapInPandas(run, "u long, v long, fresh boolean")
+
+
+def settled(graph: DataFrame) -> DataFrame:
+    """A graph without a fresh edge."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            place, edges = unlisted(batch)
+            edges = edges.copy()
+            edges["fresh"] = 0
+            yield batch.assign(edges=slices(edges, starts_of(place)), fresh=0)
+
+    return graph.mapInPandas(run, LISTS)
+
 
-    ordered = lists.select("x", "y", "fresh", "packed", "least").repartition("x").sortWithinPartitions("x", "y")
-    return ordered.mapInPandas(run, "u long, v long, s float")
+def shares(x: np.ndarray, y: np.ndarray, turn: int) -> np.ndarray:
+    """A draw from [0, 1) for each pair, by a hash."""
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return (h >> np.uint64(11)) / 2.0**53
 
 
-def best(edges: DataFrame, degree: int) -> DataFrame:
-    """The `degree` nearest neighbours of each node; an edge found again is not fresh."""
-    each = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-    return each.withColumn("r", rank).where(F.col("r") <= degree).drop("r")
+def meetings(near: DataFrame, back: DataFrame, turn: int) -> DataFrame:
+    """Lists (x, y, fresh) of what meets at x: its neighbours both ways, where one is fresh. As many
+    old ones are drawn as there are fresh ones: pairs of old ones have met before."""
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, fresh = rows["x"].to_numpy(np.int64), rows["y"].to_numpy(np.int64), rows["fresh"].to_numpy(bool)
+        order = np.lexsort((y, x))
+        once = starts_of(x[order], y[order])
+        fresh = np.maximum.reduceat(fresh[order], once)
+        x, y = x[order][once], y[order][once]
+        starts = starts_of(x)
+        sizes = np.diff(np.append(starts, len(x)))
+        new = np.add.reduceat(fresh, starts, dtype=np.int64)
+        drawn = shares(x, y, turn) * np.repeat(sizes - new, sizes) < np.repeat(new, sizes)
+        some = (fresh | drawn) & np.repeat(new > 0, sizes)
+        return pd.DataFrame({"x": x[some], "y": y[some], "fresh": fresh[some]})
+
+    return by_group(near.union(back), "x", draw, "x long, y long, fresh boolean")
 
 
 def reversed_edges(graph: DataFrame, most: int, salt: int) -> DataFrame:
@@ -152,25 +282,19 @@ def nn_descent(points: DataFrame, degree: int = DEGREE, seed: int = 11) -> DataF
     by the degree and the draw.
     """
     n = points.count()
+    none = F.lit(float("-inf")).cast("float")
     first = leaves(points, n, seed).join(points.withColumnRenamed("id", "y"), "y")
-    start = joined(first.withColumns({"fresh": F.lit(True), "least": F.lit(float("-inf")).cast("float")}), FIRST)
-    graph = staged(best(start.withColumn("fresh", F.lit(True)), degree))
+    graph = staged(best(joined(first.withColumns({"fresh": F.lit(True), "least": none}), FIRST), degree))
     for turn in count():
-        worst = graph.groupBy(F.col("u").alias("y")).agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        known = points.withColumnRenamed("id", "y").join(worst, "y", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
-        back = reversed_edges(graph, REVERSE, turn).select(F.col("v").alias("x"), F.col("u").alias("y"), "fresh")
-        near = graph.select(F.col("u").alias("x"), F.col("v").alias("y"), "fresh")
-        both = near.union(back).repartition("x").groupBy("x", "y").agg(F.max("fresh").alias("fresh"))
-        sizes = both.groupBy("x").agg(F.count_if("fresh").alias("new"), F.count_if(~F.col("fresh")).alias("old")).where("new > 0")
-        # As many old neighbours as there are fresh ones: pairs of old ones have met before.
-        drawn = F.pmod(F.xxhash64("y", "x", F.lit(turn)), F.lit(1_000_000)) / 1e6 * F.col("old") < F.col("new")
-        lists = both.join(sizes, "x").where(F.col("fresh") | drawn).select("x", "y", "fresh")
-        found = joined(lists.join(known, "y"), PARTNERS).withColumn("fresh", F.lit(True))
-        after = staged(best(graph.withColumn("fresh", F.lit(False)).unionByName(found), degree))
+        known = points.withColumnRenamed("id", "y").join(graph.select(F.col("u").alias("y"), "least"), "y", "left").withColumn("least", F.coalesce("least", none))
+        near = edges_of(graph)
+        back = reversed_edges(near, REVERSE, turn).select(F.col("v").alias("x"), F.col("u").alias("y"), "fresh")
+        lists = meetings(near.select(F.col("u").alias("x"), F.col("v").alias("y"), "fresh"), back, turn)
+        after = staged(best(settled(graph).unionByName(joined(lists.join(known.hint("shuffle_hash"), "y"), PARTNERS)), degree))
         discard(graph)
         graph = after
-        if graph.where("fresh").count() <= SETTLED * degree * n:
-            return graph.select("u", "v")
+        if graph.agg(F.coalesce(F.sum("fresh"), F.lit(0))).head()[0] <= SETTLED * degree * n:
+            return edges_of(graph).select("u", "v")
 
 
 def product(a: str, b: str) -> Column:
@@ -178,15 +302,55 @@ def product(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda t, x: t + x)
 
 
-def products(pairs: DataFrame) -> DataFrame:
-    """(q, v, s float) from pairs (q, v, a, b) of packed vectors."""
+def coded(points: DataFrame) -> DataFrame:
+    """(v, code binary): the largest component and each one's share of it in 127 steps, a byte each.
+    By these a search finds its way; what it finds is compared by the original values."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s = np.einsum("ij,ij->i", matrix(batch["a"]), matrix(batch["b"])) if len(batch) else np.zeros(0, np.float32)
-            yield pd.DataFrame({"q": batch["q"], "v": batch["v"], "s": s})
+            rows = matrix(batch["packed"]) if len(batch) else np.zeros((0, 1), np.float32)
+            most = np.abs(rows).max(axis=1, keepdims=True)
+            steps = np.rint(rows / np.where(most > 0, most, 1) * 127).astype(np.int8)
+            codes = np.concatenate([most.view(np.uint8), steps.view(np.uint8)], axis=1)
+            yield pd.DataFrame({"v": batch["id"], "code": [c.tobytes() for c in codes]})
+
+    return points.mapInPandas(run, "v long, code binary")
+
+
+def surroundings(links: DataFrame, points: DataFrame) -> DataFrame:
+    """(u, ids binary, codes binary): all neighbours of a node in one row, so that a visit needs one
+    join. Links of a node are bounded."""
+
+    def packed_up(rows: pd.DataFrame) -> pd.DataFrame:
+        u, ids = rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64)
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+        starts = starts_of(u)
+        return pd.DataFrame({"u": u[starts], "ids": slices(ids, starts), "codes": slices(codes.view(f"V{codes.shape[1]}").ravel(), starts)})
 
-    return pairs.select("q", "v", "a", "b").mapInPandas(run, "q long, v long, s float")
+    coded_ = coded(points).hint("shuffle_hash")
+    return by_group(links.join(coded_, "v").select("u", "v", "code"), "u", packed_up, "u long, ids binary, codes binary")
+
+
+def visited(visits: DataFrame, around: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """(q, v, s float): neighbours of visited nodes with products above what the query keeps, from
+    visits (q, u, least) and queries (q, a) with packed vectors. A few visits are broadcast."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), VISITS):
+                rows = batch.iloc[at : at + VISITS]
+                n = [len(x) // 8 for x in rows["ids"]]
+                ids = np.frombuffer(b"".join(rows["ids"]), np.int64)
+                codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(ids), -1)
+                asked = np.repeat(matrix(rows["a"]), n, axis=0)
+                s = np.einsum("ij,ij->i", codes[:, 4:].view(np.int8).astype(np.float32), asked)
+                s *= np.ascontiguousarray(codes[:, :4]).view(np.float32).ravel() / 127
+                q = np.repeat(rows["q"].to_numpy(), n)
+                good = (s > np.repeat(rows["least"].to_numpy(np.float32), n)) & (ids != q)
+                yield pd.DataFrame({"q": q[good], "v": ids[good], "s": s[good]})
+
+    met = around.join(F.broadcast(visits), "u").join(asked, "q") if few else visits.join(asked, "q").join(around, "u")
+    return met.select("q", "a", "least", "ids", "codes").mapInPandas(run, "q long, v long, s float")
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
@@ -195,33 +359,38 @@ def both_ways(graph: DataFrame) -> DataFrame:
     return staged(graph.union(back).distinct())
 
 
-def greedy_search(graph: DataFrame, links: DataFrame, points: DataFrame, queries: DataFrame, kept: int) -> DataFrame:
-    """(q, v, s): the `kept` nearest nodes found for each of `queries` (id), nodes of the graph.
+def greedy_search(around: DataFrame, points: DataFrame, queries: DataFrame, kept: int) -> DataFrame:
+    """(q, v): the `kept` nearest nodes found for each of `queries` (id), nodes of the graph.
 
-    A search begins with the query's own neighbours. In each round the best EXPANDED nodes not
-    visited before give their neighbours in `links`, both directions of the graph; of all nodes
-    seen the best `kept` stay. It ends when all that a query keeps are visited. Products s are of
-    packed vectors.
+    A search begins at the query's own node. In each round the best nodes not visited before give
+    their neighbours `around`, both directions of the graph: EXPANDED of them at first, twice as
+    many in each round up to 4 * EXPANDED or a quarter of what is kept. Of all nodes seen the best
+    `kept` stay. It ends when all that a query keeps are visited.
     """
-    targets = points.select(F.col("id").alias("v"), F.col("packed").alias("b"))
     asked = staged(points.join(queries.select("id"), "id").select(F.col("id").alias("q"), F.col("packed").alias("a")))
-    small = broadcast_if_small(asked, "a")
-    scored = lambda pairs: products(pairs.join(targets, "v").join(small(asked), "q"))
+    known = broadcast_if_small(asked, "a")(asked)
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "v")
-    top = lambda df: df.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= kept).drop("r")
-    first = asked.select("q").join(graph, F.col("q") == F.col("u")).select("q", "v")
-    pool = staged(top(scored(first)).withColumn("visited", F.lit(False)))
-    while not pool.where("not visited").isEmpty():
-        ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("q", "visited").orderBy(F.desc("s"), "v")))
-        marked = ranked.withColumn("now", ~F.col("visited") & (F.col("r") <= EXPANDED)).drop("r")
-        reached = marked.where("now").select("q", F.col("v").alias("u")).join(links, "u").where("v <> q").select("q", "v").distinct()
-        fresh = scored(reached.join(pool.select("q", "v"), ["q", "v"], "left_anti")).withColumn("visited", F.lit(False))
-        old = marked.withColumn("visited", F.col("visited") | F.col("now")).drop("now")
-        after = staged(top(old.unionByName(fresh)))
-        discard(pool)
-        pool = after
+    whole = by_score.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    least = F.coalesce(F.nth_value("s", kept).over(whole), F.lit(float("-inf"))).cast("float")
+    waiting = F.sum(F.when(F.col("seen"), 0).otherwise(1)).over(by_score.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    front = asked.select("q", F.col("q").alias("u"), F.lit(float("-inf")).cast("float").alias("least"))
+    pool, ended, most, n = None, [], EXPANDED, asked.count()
+    while n:
+        fresh = visited(front, around, known, n <= FEW).withColumn("seen", F.lit(False))
+        both = fresh if pool is None else fresh.unionByName(pool.where("active").select("q", "v", "s", (F.col("seen") | F.col("now")).alias("seen")))
+        each = both.repartition("q").groupBy("q", "v").agg(F.max("s").alias("s"), F.max("seen").alias("seen"))
+        ranked = each.withColumns({"r": F.row_number().over(by_score), "least": least, "waiting": waiting}).where(F.col("r") <= kept)
+        marked = ranked.withColumn("now", ~F.col("seen") & (F.col("waiting") <= most)).withColumn("active", F.max("now").over(Window.partitionBy("q")))
+        after = staged(marked.select("q", "v", "s", "seen", "least", "now", "active"))
+        if pool is not None:
+            discard(pool)
+        pool, most = after, min(2 * most, max(4 * EXPANDED, kept // 4))
+        n, over = pool.agg(F.count_if("now"), F.count_if(~F.col("active"))).head()
+        if over:  # searches that have ended are set aside
+            ended.append(staged(pool.where("not active").select("q", "v")))
+        front = pool.where("now").select("q", F.col("v").alias("u"), "least")
     discard(asked)
-    return pool
+    return reduce(DataFrame.union, ended) if ended else asked.select("q", F.col("q").alias("v")).limit(0)
 
 
 def broadcast_if_small(df: DataFrame, col: str):
@@ -251,20 +420,19 @@ def compared(points: DataFrame, sample: DataFrame, k: int) -> DataFrame:
     return points.mapInPandas(run, "q long, v long, s float").withColumn("r", rank).where(F.col("r") <= k).select("q", "v")
 
 
-def search_width(graph: DataFrame, links: DataFrame, points: DataFrame, asked: DataFrame, k: int, n: int) -> int:
-    """How many nodes a search keeps: KEPT, and twice as many until SAMPLE of the queries (all, if
-    fewer, drawn by a hash) find RECALL of their `k` nearest by brute force, or all `n` are kept."""
+def search_width(around: DataFrame, points: DataFrame, asked: DataFrame, k: int, n: int) -> int:
+    """How many nodes a search keeps: KEPT for CROWD nodes, growing with their number to the power
+    of 0.6, and WIDER times as many until SAMPLE of the queries (all, if fewer, drawn by a hash)
+    find RECALL of their `k` nearest by brute force, or all `n` are kept."""
     chosen = staged(asked.select("id").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE))
     vectors = points.join(F.broadcast(chosen), "id").select(F.col("id").alias("q"), F.col("packed").alias("a"))
     exact = staged(compared(points, vectors, k))
-    total, kept = exact.count(), KEPT
+    total, kept = exact.count(), max(KEPT, int(KEPT * (n / CROWD) ** 0.6))
     while kept < n:
-        pool = greedy_search(graph, links, points, chosen, kept)
-        hits = pool.join(exact, ["q", "v"]).count()
-        discard(pool)
+        hits = greedy_search(around, points, chosen, kept).join(exact, ["q", "v"]).count()
         if hits >= RECALL * total:
             break
-        kept *= 2
+        kept = int(kept * WIDER)
     discard(chosen, exact)
     return kept
 
@@ -302,9 +470,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     points = staged(packed(nodes))
     n = points.count()
     graph = nn_descent(points)
-    links = both_ways(graph)
-    width = search_width(graph, links, points, asked, k, n)
-    found = exact_scores(greedy_search(graph, links, points, asked, max(width, k)), nodes, asked, k)
+    around = staged(surroundings(both_ways(graph), points))
+    width = search_width(around, points, asked, k, n)
+    found = exact_scores(greedy_search(around, points, asked, max(width, k)), nodes, asked, k)
     itself = nodes.join(asked, "id").select(F.col("id").alias("q"), F.col("id").alias("v"), product("vec", "vec").alias("score"))
     each = found.unionByName(itself).join(members.withColumnRenamed("node", "v"), "v")
     order = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
